@@ -289,4 +289,171 @@ ORACLES: dict[str, str] = {
     "e12_worst_margin_orders_600": ctes(**E8_CTES) + "\n" + top_k_sql(ORDER_DIMS, "profit_margin", False, 600),
 }
 
-__all__ = ["ORACLES", "fx_scores_sql"]
+
+# ---- F: features, split, fitted statistics, metrics ---------------------------------
+
+FEAT = f"""SELECT *, CAST(month(order_date) AS INTEGER) AS order_month,
+  CAST(isodow(order_date) - 1 AS INTEGER) AS order_day_of_week
+FROM (
+  SELECT order_id, {_first('order_date')} AS order_date,
+    {_first('late_delivery_risk')} AS late_delivery_risk,
+    {_first('days_for_shipment_scheduled')} AS days_for_shipment,
+    {_first('shipping_mode')} AS shipping_mode, {_first('order_region')} AS order_region,
+    {_first('market')} AS market, {_first('customer_segment')} AS customer_segment,
+    {_first('type')} AS order_type,
+    {msum('order_item_total')} AS order_value, {msum('order_profit_per_order')} AS order_profit,
+    CAST(coalesce(sum(order_item_quantity), 0) AS BIGINT) AS quantity,
+    {msum('order_item_discount')} AS discount,
+    count(DISTINCT order_item_cardprod_id) AS unique_products,
+    count(DISTINCT category_id) AS unique_categories
+  FROM fx_lines WHERE order_id IS NOT NULL GROUP BY order_id)"""
+SPLIT = """SELECT *, CASE WHEN row_number() OVER (ORDER BY order_date, order_id)
+    <= CAST(floor(0.8 * count(*) OVER ()) AS BIGINT) THEN 'train' ELSE 'test' END AS split
+FROM feat"""
+F_CTES = dict(fx_lines=FX, feat=FEAT, split_t=SPLIT,
+              train=("SELECT * FROM split_t WHERE split = 'train'"),
+              test=("SELECT * FROM split_t WHERE split = 'test'"))
+NUMERIC = ("days_for_shipment", "order_value", "quantity", "discount", "unique_products",
+           "unique_categories", "order_month", "order_day_of_week")
+CATEGORICAL = ("shipping_mode", "order_region", "market", "customer_segment", "order_type")
+
+
+def _median_sql(c: str) -> str:
+    return f"""SELECT '{c}' AS feature, (CAST(min(x) FILTER (WHERE rn = (n + 1) // 2) AS DOUBLE)
+    + CAST(min(x) FILTER (WHERE rn = n // 2 + 1) AS DOUBLE)) / 2 AS median
+FROM (SELECT {c} AS x, row_number() OVER (ORDER BY {c}) AS rn, count(*) OVER () AS n
+      FROM train WHERE {c} IS NOT NULL)"""
+
+
+F8 = ctes(**F_CTES) + "\n" + "\nUNION ALL\n".join(_median_sql(c) for c in NUMERIC)
+_CAT_LONG = "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS feature, CAST({c} AS VARCHAR) AS value FROM train WHERE {c} IS NOT NULL"
+    for c in CATEGORICAL)
+F9 = ctes(**F_CTES, cat=_CAT_LONG) + """
+SELECT feature, value AS mode, n AS frequency FROM (
+  SELECT feature, value, count(*) AS n FROM cat GROUP BY feature, value)
+QUALIFY row_number() OVER (PARTITION BY feature ORDER BY n DESC, value ASC) = 1"""
+F12 = ctes(**F_CTES, cat=_CAT_LONG) + """
+SELECT feature, value AS category,
+  CAST(dense_rank() OVER (PARTITION BY feature ORDER BY value) - 1 AS INTEGER) AS code
+FROM (SELECT DISTINCT feature, value FROM cat)"""
+F15 = ctes(**F_CTES) + """
+SELECT order_id, late_delivery_risk,
+  (SELECT late_delivery_risk FROM train GROUP BY late_delivery_risk
+   ORDER BY count(*) DESC, late_delivery_risk ASC LIMIT 1) AS majority_prediction,
+  (SELECT CAST(sum(late_delivery_risk) AS DOUBLE) / count(*) FROM train) AS prior_probability
+FROM test"""
+
+SCORES = fx_scores_sql("fx_lines")
+S_CTES = dict(fx_lines=FX, scores=SCORES)
+_P = "late_delivery_probability"
+RISK3 = (f"CASE WHEN {_P} >= 0.0::DOUBLE AND {_P} <= 0.4::DOUBLE THEN 'Low' "
+         f"WHEN {_P} > 0.4::DOUBLE AND {_P} <= 0.7::DOUBLE THEN 'Medium' "
+         f"WHEN {_P} > 0.7::DOUBLE AND {_P} <= 1.0::DOUBLE THEN 'High' END")
+PRED = (f"SELECT *, CASE WHEN {_P} > 0.5::DOUBLE THEN 1 ELSE 0 END AS predicted_late_delivery, "
+        f"{RISK3} AS risk_level FROM scores")
+F21 = ctes(**S_CTES) + "\n" + PRED
+F22 = ctes(**S_CTES, pred=PRED) + """
+SELECT model, CAST(count(*) FILTER (WHERE late_delivery_risk = predicted_late_delivery) AS DOUBLE)
+  / count(*) AS accuracy FROM pred GROUP BY model"""
+AUC = f"""SELECT model, CASE WHEN sum(pos) > 0 AND sum(neg) > 0 THEN
+    CAST(sum(CAST(pos AS HUGEINT) * (2 * neg_below + neg)) AS DOUBLE)
+    / (2.0::DOUBLE * CAST(sum(pos) AS DOUBLE) * CAST(sum(neg) AS DOUBLE)) END AS roc_auc
+FROM (
+  SELECT *, coalesce(sum(neg) OVER (PARTITION BY model ORDER BY p
+                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS neg_below
+  FROM (SELECT model, CAST({_P} AS DOUBLE) AS p,
+          count(*) FILTER (WHERE late_delivery_risk = 1) AS pos,
+          count(*) FILTER (WHERE late_delivery_risk = 0) AS neg
+        FROM scores GROUP BY model, p))
+GROUP BY model"""
+F23 = ctes(**S_CTES) + "\n" + AUC
+
+
+def _div(a: str, b: str) -> str:
+    return f"(CASE WHEN {b} > 0 THEN CAST({a} AS DOUBLE) / ({b}) ELSE 0.0::DOUBLE END)"
+
+
+def metrics_cols() -> str:
+    fp, fn = "(pp - tp)", "(pos - tp)"
+    tn = f"(n - pp - {fn})"
+    return (f"CASE WHEN n > 0 THEN CAST(tp + {tn} AS DOUBLE) / n END AS accuracy, "
+            f"{_div('tp', 'pp')} AS precision, {_div('tp', 'pos')} AS recall, "
+            f"{_div('2 * tp', f'2 * tp + {fp} + {fn}')} AS f1, CAST(pp AS BIGINT) AS predicted_late_orders")
+
+
+def grid_sql(thresholds: str, where: str = "") -> str:
+    return f"""SELECT model, threshold, {metrics_cols()} FROM (
+  SELECT model, t AS threshold, count(*) AS n, count(*) FILTER (WHERE late_delivery_risk = 1) AS pos,
+    count(*) FILTER (WHERE {_P} >= t AND late_delivery_risk = 1) AS tp,
+    count(*) FILTER (WHERE {_P} >= t) AS pp
+  FROM scores, (SELECT unnest({thresholds}::DOUBLE[]) AS t) {where}
+  GROUP BY model, t)"""
+
+
+GRID = grid_sql("[0.3, 0.4, 0.5, 0.6, 0.7]", "WHERE model <> 'baseline'")
+F25 = ctes(**S_CTES) + "\n" + grid_sql("[0.5]")
+F26 = ctes(**S_CTES, auc=AUC, m=grid_sql("[0.5]")) + """
+SELECT auc.model, roc_auc, threshold, accuracy, precision, recall, f1, predicted_late_orders,
+  CAST(row_number() OVER (ORDER BY f1 DESC NULLS LAST, roc_auc DESC NULLS LAST, auc.model) AS INTEGER) AS rank
+FROM auc JOIN m ON auc.model = m.model"""
+F27 = ctes(**S_CTES) + "\n" + GRID
+BEST = "SELECT * FROM grid ORDER BY f1 DESC, recall DESC, precision DESC, model ASC, threshold ASC LIMIT 1"
+F28 = ctes(**S_CTES, grid=GRID) + "\n" + BEST
+
+
+def _report_rows() -> str:
+    d = _div
+    p1, r1, f1 = d("tp", "tp + fp"), d("tp", "tp + fn"), d("2 * tp", "2 * tp + fp + fn")
+    p0, r0, f0 = d("tn", "tn + fn"), d("tn", "tn + fp"), d("2 * tn", "2 * tn + fn + fp")
+    n, s0, s1 = "(tp + fp + fn + tn)", "(tn + fp)", "(tp + fn)"
+
+    def w(a, b):
+        return f"(CASE WHEN {n} > 0 THEN ({a} * {s0} + {b} * {s1}) / {n} END)"
+
+    rows = [(1, "0", p0, r0, f0, s0), (2, "1", p1, r1, f1, s1),
+            (3, "accuracy", "NULL", "NULL", d("tp + tn", n), n),
+            (4, "macro avg", f"({p0} + {p1}) / 2", f"({r0} + {r1}) / 2", f"({f0} + {f1}) / 2", n),
+            (5, "weighted avg", w(p0, p1), w(r0, r1), w(f0, f1), n)]
+    return "\nUNION ALL\n".join(
+        f"SELECT model, {o} AS row_order, '{lab}' AS label, CAST({pr} AS DOUBLE) AS precision, "
+        f"CAST({rc} AS DOUBLE) AS recall, CAST({f} AS DOUBLE) AS f1_score, CAST({s} AS BIGINT) AS support FROM c"
+        for o, lab, pr, rc, f, s in rows)
+
+
+F24 = ctes(**S_CTES, pred=PRED, c="""SELECT model,
+  count(*) FILTER (WHERE late_delivery_risk = 1 AND predicted_late_delivery = 1) AS tp,
+  count(*) FILTER (WHERE late_delivery_risk = 0 AND predicted_late_delivery = 1) AS fp,
+  count(*) FILTER (WHERE late_delivery_risk = 1 AND predicted_late_delivery = 0) AS fn,
+  count(*) FILTER (WHERE late_delivery_risk = 0 AND predicted_late_delivery = 0) AS tn
+FROM pred GROUP BY model""") + "\n" + _report_rows()
+
+F29 = ctes(**F_CTES, scores=SCORES, grid=GRID, best=BEST) + f"""
+SELECT t.order_id, t.order_date, s.late_delivery_risk, t.shipping_mode, t.order_region, t.market,
+  t.customer_segment, t.order_value, t.order_profit, s.{_P},
+  CASE WHEN s.{_P} >= b.threshold THEN 1 ELSE 0 END AS predicted_late_delivery,
+  {RISK3.replace(_P, 's.' + _P)} AS risk_level,
+  CASE WHEN s.late_delivery_risk = (CASE WHEN s.{_P} >= b.threshold THEN 1 ELSE 0 END) THEN 1 ELSE 0 END
+    AS prediction_correct
+FROM scores s JOIN best b ON s.model = b.model JOIN test t ON t.order_id = s.order_id"""
+
+ORACLES.update({
+    "f2_order_features": ctes(fx_lines=FX, feat=FEAT) + "\nSELECT * FROM feat",
+    "f5_time_split": ctes(**F_CTES) + "\nSELECT order_id, order_date, split FROM split_t",
+    "f6_split_profile": ctes(**F_CTES) + """
+SELECT split, count(*) AS orders, min(order_date) AS first_order_date, max(order_date) AS last_order_date
+FROM split_t GROUP BY split""",
+    "f8_medians": F8,
+    "f9_modes": F9,
+    "f12_ordinal_codes": F12,
+    "f15_baselines": F15,
+    "f21_predictions": F21,
+    "f22_accuracy": F22,
+    "f23_roc_auc": F23,
+    "f24_class_report": F24,
+    "f25_metrics_at_050": F25,
+    "f26_model_comparison": F26,
+    "f27_threshold_grid": F27,
+    "f28_select_best": F28,
+    "f29_final_predictions": F29,
+})

@@ -57,3 +57,70 @@ QUERIES: dict[str, Query] = {
     "e12_worst_margin_orders": lambda s, d: order_kpi.worst_margin_orders(_order_bd(s, d)),
     "e12_worst_margin_orders_600": lambda s, d: order_kpi.worst_margin_orders(_order_bd(s, d), min_orders=600),
 }
+
+
+# ---- F: features, split, fitted statistics, metrics on fixed scores ----------
+
+from pyspark.sql import functions as F  # noqa: E402
+
+from orderlens.operators import evaluate, features  # noqa: E402
+from orderlens.sources.fixtures import fx_scores  # noqa: E402
+
+NUMERIC_FEATURES = ("days_for_shipment", "order_value", "quantity", "discount", "unique_products",
+                    "unique_categories", "order_month", "order_day_of_week")
+CATEGORICAL_FEATURES = ("shipping_mode", "order_region", "market", "customer_segment", "order_type")
+
+
+def _features(s, d):
+    return features.order_features(fx_lines(s, d), LINE_ORDER)
+
+
+def _split(s, d):
+    return features.time_split(_features(s, d))
+
+
+def _train(s, d):
+    return features.split_frames(_split(s, d))[0]
+
+
+def _medians(s, d):
+    med = features.fit_medians(_train(s, d), NUMERIC_FEATURES)
+    return s.createDataFrame([(c, med[c]) for c in NUMERIC_FEATURES], "feature string, median double")
+
+
+def _baselines(s, d):
+    train, test = features.split_frames(_split(s, d))
+    return features.baseline_scores(test, features.fit_majority(train), features.fit_prior(train))
+
+
+def _scores(s, d):
+    return fx_scores(fx_lines(s, d))
+
+
+def _grid(s, d):
+    return evaluate.threshold_metrics(_scores(s, d), exclude=("baseline",))
+
+
+def _final(s, d):
+    test = features.split_frames(_split(s, d))[1]
+    return evaluate.final_predictions(_scores(s, d), evaluate.select_best(_grid(s, d)), orders=test)
+
+
+QUERIES.update({
+    "f2_order_features": _features,
+    "f5_time_split": lambda s, d: _split(s, d).select("order_id", "order_date", "split"),
+    "f6_split_profile": lambda s, d: features.split_profile(_split(s, d)),
+    "f8_medians": _medians,
+    "f9_modes": lambda s, d: features.mode_table(_train(s, d), CATEGORICAL_FEATURES),
+    "f12_ordinal_codes": lambda s, d: features.ordinal_codes(_train(s, d), CATEGORICAL_FEATURES),
+    "f15_baselines": _baselines,
+    "f21_predictions": lambda s, d: evaluate.predictions(_scores(s, d)),
+    "f22_accuracy": lambda s, d: evaluate.accuracy(evaluate.predictions(_scores(s, d))),
+    "f23_roc_auc": lambda s, d: evaluate.roc_auc(_scores(s, d)),
+    "f24_class_report": lambda s, d: evaluate.class_report(evaluate.predictions(_scores(s, d))),
+    "f25_metrics_at_050": lambda s, d: evaluate.metrics_at(_scores(s, d), 0.5),
+    "f26_model_comparison": lambda s, d: evaluate.model_comparison(_scores(s, d)),
+    "f27_threshold_grid": _grid,
+    "f28_select_best": lambda s, d: evaluate.select_best(_grid(s, d)),
+    "f29_final_predictions": _final,
+})
