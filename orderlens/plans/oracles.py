@@ -457,3 +457,113 @@ FROM split_t GROUP BY split""",
     "f28_select_best": F28,
     "f29_final_predictions": F29,
 })
+
+# ---- G, H: decision table and dashboard ------------------------------------------------
+
+_DEC_ORDER_COLS = ("order_date", "shipping_date", "revenue", "order_profit_per_order",
+                   "delivery_timing_group", "shipping_mode", "order_region", "market",
+                   "customer_segment", "days_for_shipping_real", "days_for_shipment_scheduled",
+                   "shipping_delay_days", "quantity", "unique_products", "unique_categories",
+                   "order_lines", "loss_flag")
+SC = "SELECT order_id, late_delivery_risk, late_delivery_probability FROM scores WHERE model = 'model_a'"
+JOINED = ("SELECT s.order_id, s.late_delivery_risk, s.late_delivery_probability, "
+          + ", ".join(f"o.{c}" for c in _DEC_ORDER_COLS)
+          + " FROM sc s LEFT JOIN orders_t o ON s.order_id = o.order_id")
+
+
+def _conf(tag: str) -> str:
+    f = f"prediction_{tag}"
+    return (f"CASE WHEN late_delivery_risk = 1 AND {f} = 1 THEN 'True Positive' "
+            f"WHEN late_delivery_risk = 0 AND {f} = 0 THEN 'True Negative' "
+            f"WHEN late_delivery_risk = 0 AND {f} = 1 THEN 'False Positive' "
+            f"WHEN late_delivery_risk = 1 AND {f} = 0 THEN 'False Negative' END")
+
+
+FLAGS = f"""SELECT *,
+  CASE WHEN {_P} >= 0.3::DOUBLE THEN 1 ELSE 0 END AS prediction_030,
+  CASE WHEN {_P} >= 0.4::DOUBLE THEN 1 ELSE 0 END AS prediction_040,
+  CASE WHEN {_P} >= 0.0::DOUBLE AND {_P} <= 0.3::DOUBLE THEN 'Low'
+       WHEN {_P} > 0.3::DOUBLE AND {_P} <= 0.4::DOUBLE THEN 'Watch'
+       WHEN {_P} > 0.4::DOUBLE AND {_P} <= 0.7::DOUBLE THEN 'High'
+       WHEN {_P} > 0.7::DOUBLE AND {_P} <= 1.0::DOUBLE THEN 'Critical' END AS risk_level
+FROM joined"""
+DEC = f"""SELECT *, {_conf('030')} AS prediction_result_030, {_conf('040')} AS prediction_result_040,
+  CASE WHEN prediction_030 = 1 THEN revenue ELSE 0.0::DOUBLE END AS revenue_at_risk_030,
+  CASE WHEN prediction_040 = 1 THEN revenue ELSE 0.0::DOUBLE END AS revenue_at_risk_040,
+  CASE WHEN prediction_030 = 1 THEN order_profit_per_order ELSE 0.0::DOUBLE END AS profit_at_risk_030,
+  CASE WHEN prediction_040 = 1 THEN order_profit_per_order ELSE 0.0::DOUBLE END AS profit_at_risk_040,
+  CASE risk_level WHEN 'Low' THEN 'Standard Monitoring' WHEN 'Watch' THEN 'Review if Capacity Allows'
+    WHEN 'High' THEN 'Priority Review' WHEN 'Critical' THEN 'Immediate Intervention' END
+    AS recommended_action
+FROM flags"""
+G_CTES = dict(fx_lines=FX, orders_t=ORDERS, scores=SCORES, sc=SC, joined=JOINED, flags=FLAGS, dec=DEC)
+
+
+def _threshold_rows(select_cols: str) -> str:
+    parts = []
+    for t, tag in (("0.3", "030"), ("0.4", "040")):
+        parts.append(f"""SELECT {t}::DOUBLE AS threshold, {select_cols.format(tag=tag)} FROM dec""")
+    return "\nUNION ALL\n".join(parts)
+
+
+H1_COLS = ("count(*) AS orders, CAST(count(*) FILTER (WHERE late_delivery_risk = 1) AS DOUBLE) / count(*) "
+           "AS late_delivery_rate, count(*) FILTER (WHERE prediction_{tag} = 1) AS flagged_orders, "
+           "count(*) FILTER (WHERE prediction_{tag} = 1 AND late_delivery_risk = 1) AS late_orders_detected, "
+           + msum("revenue_at_risk_{tag}") + " AS revenue_flagged")
+H4_COLS = ("count(*) FILTER (WHERE prediction_{tag} = 1) AS flagged_orders, "
+           "count(*) FILTER (WHERE prediction_{tag} = 1 AND late_delivery_risk = 1) AS true_positives, "
+           "count(*) FILTER (WHERE prediction_{tag} = 1 AND late_delivery_risk <> 1) AS false_positives, "
+           "CASE WHEN count(*) FILTER (WHERE late_delivery_risk = 1) > 0 THEN "
+           "CAST(count(*) FILTER (WHERE prediction_{tag} = 1 AND late_delivery_risk = 1) AS DOUBLE) "
+           "/ count(*) FILTER (WHERE late_delivery_risk = 1) ELSE 0.0::DOUBLE END AS recall, "
+           "CASE WHEN count(*) FILTER (WHERE prediction_{tag} = 1) > 0 THEN "
+           "CAST(count(*) FILTER (WHERE prediction_{tag} = 1 AND late_delivery_risk = 1) AS DOUBLE) "
+           "/ count(*) FILTER (WHERE prediction_{tag} = 1) ELSE 0.0::DOUBLE END AS precision, "
+           + msum("revenue_at_risk_{tag}") + " AS revenue_flagged, "
+           + msum("profit_at_risk_{tag}") + " AS profit_flagged")
+_QUEUE = f"order_id, {_P}, revenue, risk_level, recommended_action"
+
+ORACLES.update({
+    "g2_join_scores": ctes(**{k: G_CTES[k] for k in ("fx_lines", "orders_t", "scores", "sc", "joined")})
+    + "\nSELECT * FROM joined",
+    "g4_orphan_scores": ctes(**{k: G_CTES[k] for k in ("fx_lines", "orders_t", "scores", "sc")})
+    + "\nSELECT * FROM sc WHERE order_id NOT IN (SELECT order_id FROM orders_t)",
+    "g10_decision_table": ctes(**G_CTES) + "\nSELECT * FROM dec",
+    "g11_risk_distribution": ctes(**G_CTES) + """
+SELECT level_order, l.risk_level, CAST(coalesce(n, 0) AS BIGINT) AS orders FROM
+  (VALUES (1, 'Low'), (2, 'Watch'), (3, 'High'), (4, 'Critical')) l(level_order, risk_level)
+  LEFT JOIN (SELECT risk_level, count(*) AS n FROM dec GROUP BY risk_level) c ON l.risk_level = c.risk_level
+UNION ALL
+SELECT 5, NULL, count(*) FROM dec WHERE risk_level IS NULL HAVING count(*) > 0""",
+    "g12_confusion_counts": ctes(**G_CTES) + """
+SELECT 0.3::DOUBLE AS threshold, prediction_result_030 AS prediction_result, count(*) AS orders
+FROM dec WHERE prediction_result_030 IS NOT NULL GROUP BY 2
+UNION ALL
+SELECT 0.4::DOUBLE, prediction_result_040, count(*) FROM dec WHERE prediction_result_040 IS NOT NULL GROUP BY 2""",
+    "g13_decision_profile": ctes(**G_CTES) + """
+SELECT count(*) AS rows_exported, 30 AS columns_exported, min(order_date) AS first_order_date,
+  max(order_date) AS last_order_date FROM dec""",
+    "h1_headline": ctes(**G_CTES) + "\n" + _threshold_rows(H1_COLS),
+    "h2_late_by_mode": ctes(**G_CTES) + """
+SELECT shipping_mode, count(*) AS orders,
+  CAST(sum(late_delivery_risk) AS DOUBLE) / count(*) AS late_delivery_rate,
+  CAST(sum(prediction_030) AS DOUBLE) / count(*) AS flagged_rate_030,
+  CAST(sum(prediction_040) AS DOUBLE) / count(*) AS flagged_rate_040
+FROM dec GROUP BY shipping_mode""",
+    "h3_revenue_flagged_by_region": ctes(**G_CTES) + f"""
+SELECT order_region, count(*) AS orders, CAST(sum(prediction_030) AS BIGINT) AS flagged_030,
+  CAST(sum(prediction_040) AS BIGINT) AS flagged_040,
+  {msum('revenue_at_risk_030')} AS revenue_at_risk_030, {msum('revenue_at_risk_040')} AS revenue_at_risk_040
+FROM dec GROUP BY order_region""",
+    "h4_review_workload": ctes(**G_CTES) + "\n" + _threshold_rows(H4_COLS),
+    "h5_review_queue": ctes(**G_CTES) + f"""
+SELECT order_region, {_QUEUE}, CAST(queue_rank AS INTEGER) AS queue_rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY order_region ORDER BY {_P} DESC, revenue DESC NULLS LAST,
+    order_id ASC) AS queue_rank
+  FROM dec WHERE {_P} >= 0.3::DOUBLE) WHERE queue_rank <= 20""",
+    "h5_review_queue_overall": ctes(**G_CTES) + f"""
+SELECT order_region, {_QUEUE}, CAST(row_number() OVER (ORDER BY {_P} DESC, revenue DESC NULLS LAST,
+    order_id ASC) AS INTEGER) AS queue_rank
+FROM dec WHERE {_P} >= 0.3::DOUBLE
+ORDER BY {_P} DESC, revenue DESC NULLS LAST, order_id ASC LIMIT 50""",
+})

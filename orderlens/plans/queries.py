@@ -124,3 +124,35 @@ QUERIES.update({
     "f28_select_best": lambda s, d: evaluate.select_best(_grid(s, d)),
     "f29_final_predictions": _final,
 })
+
+
+# ---- G, H: decision table and dashboard aggregates ---------------------------
+
+from orderlens.operators import dashboard, decision  # noqa: E402
+
+DECISION_MODEL = "model_a"
+
+
+def _model_scores(s, d):
+    sc = _scores(s, d)
+    return sc.filter(F.col("model") == DECISION_MODEL).drop("model")
+
+
+def _decision(s, d):
+    return decision.decision_table(_model_scores(s, d), _orders(s, d))
+
+
+QUERIES.update({
+    "g2_join_scores": lambda s, d: decision.join_scores(_model_scores(s, d), _orders(s, d)),
+    "g4_orphan_scores": lambda s, d: decision.orphan_scores(_model_scores(s, d), _orders(s, d)),
+    "g10_decision_table": _decision,
+    "g11_risk_distribution": lambda s, d: decision.risk_distribution(_decision(s, d)),
+    "g12_confusion_counts": lambda s, d: decision.confusion_counts(_decision(s, d)),
+    "g13_decision_profile": lambda s, d: decision.decision_profile(_decision(s, d)),
+    "h1_headline": lambda s, d: dashboard.headline(_decision(s, d)),
+    "h2_late_by_mode": lambda s, d: dashboard.late_by_mode(_decision(s, d)),
+    "h3_revenue_flagged_by_region": lambda s, d: dashboard.revenue_flagged_by_region(_decision(s, d)),
+    "h4_review_workload": lambda s, d: dashboard.review_workload(_decision(s, d)),
+    "h5_review_queue": lambda s, d: dashboard.review_queue(_decision(s, d)),
+    "h5_review_queue_overall": lambda s, d: dashboard.review_queue_overall(_decision(s, d)),
+})
