@@ -156,3 +156,18 @@ QUERIES.update({
     "h5_review_queue": lambda s, d: dashboard.review_queue(_decision(s, d)),
     "h5_review_queue_overall": lambda s, d: dashboard.review_queue_overall(_decision(s, d)),
 })
+
+
+# ---- F16-F19: fitted model (rows-only check: scores of a fitted model have no SQL twin) ----
+
+from orderlens.plans import jobs  # noqa: E402
+
+
+def _logistic_run(s, d):
+    return jobs.model_comparison_run(s, fx_lines(s, d), LINE_ORDER, which=("baseline", "logistic"))
+
+
+QUERIES.update({
+    "f19_logistic_scores": lambda s, d: jobs.fitted_scores(s, fx_lines(s, d), LINE_ORDER, "logistic"),
+    "f26_fitted_comparison": lambda s, d: _logistic_run(s, d)["comparison"].drop("fit_seconds"),
+})
