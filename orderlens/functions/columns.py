@@ -57,7 +57,8 @@ def has_many_values(c: str | Column) -> Column:
     needs no Expand or second shuffle."""
     c = col(c)
     n_present = F.count(c)
-    return (F.min(c) < F.max(c)) | ((n_present > 0) & (n_present < F.count(F.lit(1))))
+    spread = F.coalesce(F.min(c) < F.max(c), F.lit(False))  # all-missing group: no spread
+    return spread | ((n_present > 0) & (n_present < F.count(F.lit(1))))
 
 
 def first_non_missing(c: str, order_cols: Sequence[str]) -> Column:
