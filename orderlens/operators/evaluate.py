@@ -49,29 +49,30 @@ def roc_auc(scored: DataFrame, by: str = "model", y: str = LABEL, p: str = PROB)
     """exact ROC-AUC per model with tied scores counted half.
 
     AUC = Σ_s pos(s)·(neg(<s) + neg(s)/2) / (P·N) over distinct scores s. The
-    running count of negatives below s is split in two: a prefix over at most
-    ``AUC_BUCKETS + 1`` probability buckets per model (a bounded table,
-    broadcast), plus a running sum inside each bucket (a window partitioned
-    by model and bucket, so the distinct scores spread over many tasks). Sums
-    are kept in exact integers."""
+    running count of negatives below s is split in two, with no join:
+      * inside its probability bucket (``AUC_BUCKETS`` equal-width buckets):
+        a window partitioned by (model, bucket), so distinct scores spread
+        over many tasks;
+      * before its bucket: a running sum over the bucket table, which has at
+        most ``AUC_BUCKETS + 1`` rows per model.
+    Sums are kept in exact integers (2 × numerator)."""
     prob = F.col(p).cast("double")
+    dec = "decimal(38,0)"
     g = scored.groupBy(by, prob.alias("p")).agg(
         F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) == 0).alias("neg"))
     g = g.withColumn("b", F.least(F.greatest(F.floor(F.col("p") * AUC_BUCKETS), F.lit(0)),
                                   F.lit(AUC_BUCKETS)).cast("int"))
-    wb = Window.partitionBy(by).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = (g.groupBy(by, "b").agg(F.sum("neg").alias("bneg"))
-               .withColumn("neg_before_bucket", F.coalesce(F.sum("bneg").over(wb), F.lit(0)))
-               .drop("bneg"))
     wi = Window.partitionBy(by, "b").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = (g.join(F.broadcast(buckets), [by, "b"])
-              .withColumn("neg_below", F.col("neg_before_bucket")
-                          + F.coalesce(F.sum("neg").over(wi), F.lit(0))))
-    dec = "decimal(38,0)"
-    res = ranked.groupBy(by).agg(
-        F.sum(F.col("pos").cast(dec) * (F.lit(2) * F.col("neg_below") + F.col("neg")).cast(dec))
+    inside = g.withColumn("below", F.coalesce(F.sum("neg").over(wi), F.lit(0)))
+    per_bucket = inside.groupBy(by, "b").agg(
+        F.sum(F.col("pos").cast(dec) * (F.lit(2) * F.col("below") + F.col("neg")).cast(dec))
         .alias("num2"),
-        F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+        F.sum("pos").alias("bpos"), F.sum("neg").alias("bneg"))
+    wb = Window.partitionBy(by).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    per_bucket = per_bucket.withColumn("neg_before", F.coalesce(F.sum("bneg").over(wb), F.lit(0)))
+    res = per_bucket.groupBy(by).agg(
+        F.sum(F.col("num2") + (F.lit(2) * F.col("bpos") * F.col("neg_before")).cast(dec)).alias("num2"),
+        F.sum("bpos").alias("P"), F.sum("bneg").alias("N"))
     auc = F.when((F.col("P") > 0) & (F.col("N") > 0),
                  F.col("num2").cast("double")
                  / (F.lit(2.0) * F.col("P").cast("double") * F.col("N").cast("double")))
