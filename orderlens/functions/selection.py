@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,7 +44,16 @@ def kth_smallest(df: DataFrame, values: Mapping[str, Column], ranks: Mapping[str
     stacked = df.select(F.explode(F.array(*[
         F.struct(F.lit(n).alias("name"), values[n].cast(cast).alias("x")) for n in names
     ])).alias("s")).select("s.name", "s.x").filter(F.col("x").isNotNull())
+    # every pass reads only this narrow (name, value) projection
+    stacked = stacked.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _refine(stacked, names, ranks, integral)
+    finally:
+        stacked.unpersist()
 
+
+def _refine(stacked: DataFrame, names: list[str], ranks: Mapping[str, int],
+            integral: bool) -> dict[str, object]:
     bounds = {r["name"]: (r["lo"], r["hi"]) for r in
               stacked.groupBy("name").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).collect()}
     k = {n: int(ranks[n]) for n in names}
@@ -112,19 +122,29 @@ def kth_key(df: DataFrame, keys: Sequence[Column], k: int) -> list[object]:
 
 def exact_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:
     """Exact median per column (mean of the two middle values for even counts,
-    missing ignored), as NumPy's ``nanmedian`` gives."""
+    missing ignored), as NumPy's ``nanmedian`` gives. The lower middle value is
+    refined; the upper one follows from one more aggregate (it is the lower
+    one again, or the smallest value above it)."""
     counts = df.agg(*[F.count(F.col(c)).alias(c) for c in columns]).first().asDict()
     lower = {c: (counts[c] + 1) // 2 for c in columns if counts[c]}
-    upper = {c: counts[c] // 2 + 1 for c in columns if counts[c] and counts[c] % 2 == 0}
     exprs = {c: F.col(c).cast("double") for c in columns}
-    lo_vals = kth_smallest(df, {c: exprs[c] for c in lower}, lower)
-    hi_vals = kth_smallest(df, {c: exprs[c] for c in upper}, upper)
+    lo = kth_smallest(df, {c: exprs[c] for c in lower}, lower)
+    even = [c for c in lower if counts[c] % 2 == 0]
+    hi: dict[str, float] = {}
+    if even:
+        aggs = []
+        for i, c in enumerate(even):
+            x, v = exprs[c], F.lit(float(lo[c]))
+            aggs += [F.count_if(x <= v).alias(f"le{i}"), F.min(F.when(x > v, x)).alias(f"gt{i}")]
+        r = df.agg(*aggs).first()
+        for i, c in enumerate(even):
+            hi[c] = float(lo[c]) if r[f"le{i}"] >= counts[c] // 2 + 1 else float(r[f"gt{i}"])
     out: dict[str, float | None] = {}
     for c in columns:
         if not counts[c]:
             out[c] = None
-        elif c in upper:
-            out[c] = (float(lo_vals[c]) + float(hi_vals[c])) / 2.0
+        elif c in hi:
+            out[c] = (float(lo[c]) + hi[c]) / 2.0
         else:
-            out[c] = float(lo_vals[c])
+            out[c] = float(lo[c])
     return out

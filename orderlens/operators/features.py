@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, NumericType, StringType, TimestampNTZType, TimestampType
@@ -83,14 +84,19 @@ def time_split(features: DataFrame, frac: float = TRAIN_FRACTION,
     'train', the rest 'test'. The boundary key is found exactly with a few
     distributed histogram passes (``functions.selection``), not a global sort
     into one partition; the split itself is then a plain filter expression."""
-    n = features.count()
-    k = int(n * frac)
-    if k <= 0:
-        return features.withColumn("split", F.lit("test"))
-    if k >= n:
-        return features.withColumn("split", F.lit("train"))
     keys = [_sort_key(features, c) for c in order]
-    bound = kth_key(features, keys, k)
+    narrow = features.select(*[k.alias(f"__k{i}") for i, k in enumerate(keys)]) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        n = narrow.count()
+        k = int(n * frac)
+        if k <= 0:
+            return features.withColumn("split", F.lit("test"))
+        if k >= n:
+            return features.withColumn("split", F.lit("train"))
+        bound = kth_key(narrow, [F.col(f"__k{i}") for i in range(len(keys))], k)
+    finally:
+        narrow.unpersist()
     return features.withColumn(
         "split", F.when(lexicographic_le(keys, bound), "train").otherwise("test"))
 

@@ -28,6 +28,7 @@ LOGISTIC = "Logistic Regression"
 FOREST = "Random Forest"
 BOOSTING = "HistGradientBoosting"
 LOGISTIC_MAX_ITER = 1000
+LOGISTIC_TOL = 1e-4  # the reference library's default stopping tolerance
 FOREST_TREES, FOREST_DEPTH, FOREST_MIN_LEAF, FOREST_SEED = 300, 15, 5, 42
 BOOSTING_ROUNDS, BOOSTING_RATE, BOOSTING_DEPTH, BOOSTING_BINS, BOOSTING_SEED = 200, 0.08, 5, 255, 42
 WEIGHT = "__w"
@@ -117,14 +118,14 @@ def fit_baseline(prep: Prepared) -> Fitted:
                   lambda df: df.withColumn("late_delivery_probability", F.lit(prior)))
 
 
-def fit_logistic(prep: Prepared, max_iter: int = LOGISTIC_MAX_ITER) -> Fitted:
+def fit_logistic(prep: Prepared, max_iter: int = LOGISTIC_MAX_ITER, tol: float = LOGISTIC_TOL) -> Fitted:
     """F16: L2 logistic regression with balanced class weights. ``regParam=1/n``
     with weights summing to n is the reference library's C = 1."""
     t0 = time.perf_counter()
     train = with_balanced_weights(prep.train)
     n = prep.train.count()
     lr = LogisticRegression(featuresCol="features", labelCol=LABEL, weightCol=WEIGHT,
-                            maxIter=max_iter, regParam=1.0 / max(n, 1), elasticNetParam=0.0,
+                            maxIter=max_iter, tol=tol, regParam=1.0 / max(n, 1), elasticNetParam=0.0,
                             standardization=False, family="binomial")
     model: PipelineModel = Pipeline(stages=[*linear_stages(prep.numeric, prep.categorical), lr]) \
         .fit(train)
