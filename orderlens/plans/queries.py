@@ -76,7 +76,9 @@ def _features(s, d):
 
 
 def _split(s, d):
-    return features.time_split(_features(s, d))
+    # the split and the fitted statistics make several passes: cut the lineage
+    # once (reliable checkpoint in spark.checkpoint.dir) instead of recomputing
+    return features.time_split(_features(s, d).checkpoint())
 
 
 def _train(s, d):
@@ -102,8 +104,10 @@ def _grid(s, d):
 
 
 def _final(s, d):
-    test = features.split_frames(_split(s, d))[1]
-    return evaluate.final_predictions(_scores(s, d), evaluate.select_best(_grid(s, d)), orders=test)
+    split = _split(s, d)  # checkpointed features: scores, grid and test side share them
+    sc = fx_scores(None, per_order=split)
+    best = evaluate.select_best(evaluate.threshold_metrics(sc, exclude=("baseline",)))
+    return evaluate.final_predictions(sc, best, orders=features.split_frames(split)[1])
 
 
 QUERIES.update({
@@ -133,13 +137,15 @@ from orderlens.operators import dashboard, decision  # noqa: E402
 DECISION_MODEL = "model_a"
 
 
-def _model_scores(s, d):
-    sc = _scores(s, d)
+def _model_scores(s, d, built=None):
+    built = built if built is not None else _orders(s, d)
+    sc = fx_scores(None, per_order=built)
     return sc.filter(F.col("model") == DECISION_MODEL).drop("model")
 
 
 def _decision(s, d):
-    return decision.decision_table(_model_scores(s, d), _orders(s, d))
+    built = _orders(s, d)  # one order table feeds both sides of the join
+    return decision.decision_table(_model_scores(s, d, built), built)
 
 
 QUERIES.update({

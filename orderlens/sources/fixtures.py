@@ -109,20 +109,27 @@ def fx_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fx_lines_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dirty text order lines with exact duplicates (FIXTURES.md §3)."""
+    """Dirty text order lines with exact duplicates (FIXTURES.md §3). The
+    duplicated rows are generated with ``explode`` in the same pass (one join,
+    not a union of two joins)."""
     j = _joined(spark, sf_dir)
+    copies = F.when(F.expr(FX_RAW_DUP_FILTER), 2).otherwise(1)
     cols = [F.expr(FX_RAW_OVERRIDES.get(n, e)).alias(n) for n, e in FX_LINES_COLUMNS]
-    base = j.select(*cols)
-    dups = j.filter(F.expr(FX_RAW_DUP_FILTER)).select(*cols)
-    return base.unionByName(dups)
+    return (j.select(F.explode(F.array_repeat(F.struct(*cols), copies)).alias("r"))
+            .select("r.*"))
 
 
-def fx_scores(lines: DataFrame) -> DataFrame:
+def fx_scores(lines: DataFrame, per_order: DataFrame | None = None) -> DataFrame:
     """Fixed scores per order and model, long form (FIXTURES.md §4).
 
     One ``groupBy('order_id')`` (no shuffle after ``fx_lines``), then the three
-    models are generated per row with ``explode``: no join."""
-    per_order = lines.groupBy("order_id").agg(F.max("late_delivery_risk").alias("risk"))
+    models are generated per row with ``explode``: no join. An order table
+    that already holds the (per-order constant) label can be passed as
+    ``per_order`` instead."""
+    if per_order is None:
+        per_order = lines.groupBy("order_id").agg(F.max("late_delivery_risk").alias("risk"))
+    else:
+        per_order = per_order.select("order_id", F.col("late_delivery_risk").alias("risk"))
     models = F.array(*[F.struct(F.lit(m).alias("model"), F.expr(e).alias("p"))
                        for m, e in FX_SCORE_MODELS])
     return (per_order.select("order_id", "risk", F.explode(models).alias("s"))
