@@ -47,3 +47,22 @@ def top_k(bd: DataFrame, dims: Sequence[str], metric: str, k: int, min_orders: i
     top = bd.filter(F.col("unique_orders") >= min_orders).orderBy(*order).limit(k)
     # numbering k rows: the window sees only the k rows left after the limit
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+
+
+def with_distinct_counts(per_key: DataFrame, rows: DataFrame, key: str,
+                         specs: Sequence[tuple[str, str]]) -> DataFrame:
+    """Attach ``count(DISTINCT column)`` per key (missing ignored) for each
+    ``(column, name)`` in ``specs``, as separate ``distinct`` + count
+    aggregates joined back on ``key``.
+
+    Several distinct aggregates inside one ``groupBy`` make Spark ``Expand``
+    every row once per distinct column and shuffle the copies twice. Here
+    each count reads only ``(key, column)``; when ``rows`` is partitioned by
+    ``key`` (as after the fixture join, or a table stored by order) neither
+    the de-duplication nor the count nor the join needs a shuffle."""
+    out = per_key
+    for column, name in specs:
+        counts = (rows.select(key, column).filter(F.col(column).isNotNull()).distinct()
+                  .groupBy(key).agg(F.count(F.lit(1)).alias(name)))
+        out = out.join(counts, key, "left").withColumn(name, F.coalesce(F.col(name), F.lit(0)))
+    return out

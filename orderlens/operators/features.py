@@ -14,9 +14,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, NumericType, StringType, TimestampNTZType, TimestampType
 
-from orderlens.functions.columns import first_non_missing, money_sum, nunique, sum0
+from orderlens.functions.columns import first_non_missing, money_sum, sum0
 from orderlens.functions.contracts import assert_dates, require_columns
 from orderlens.functions.selection import exact_medians, kth_key, lexicographic_le
+from orderlens.functions.shapes import with_distinct_counts
 
 # Required columns, model features and leakage exclusions of the reference.
 FEATURE_REQUIRED = ("order_id", "order_date", "late_delivery_risk", "days_for_shipment",
@@ -59,10 +60,11 @@ def order_features(lines: DataFrame, line_order: Sequence[str], with_profit: boo
     if with_profit:
         aggs.append(money_sum("order_profit_per_order").alias("order_profit"))
     aggs += [sum0("order_item_quantity").cast("long").alias("quantity"),
-             money_sum("order_item_discount").alias("discount"),
-             nunique("order_item_cardprod_id").alias("unique_products"),
-             nunique("category_id").alias("unique_categories")]
-    orders = df.filter(F.col("order_id").isNotNull()).groupBy("order_id").agg(*aggs)
+             money_sum("order_item_discount").alias("discount")]
+    known = df.filter(F.col("order_id").isNotNull())
+    orders = with_distinct_counts(known.groupBy("order_id").agg(*aggs), known, "order_id",
+                                  [("order_item_cardprod_id", "unique_products"),
+                                   ("category_id", "unique_categories")])
     return orders.withColumns({
         "order_month": F.month("order_date"),
         "order_day_of_week": F.weekday("order_date"),

@@ -13,9 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orderlens.functions.columns import (
-    first_non_missing, has_many_values, map_values, money_sum, nunique, sum0,
+    first_non_missing, has_many_values, map_values, money_sum, sum0,
 )
 from orderlens.functions.contracts import present, require_columns
+from orderlens.functions.shapes import with_distinct_counts
 
 # Required columns, first-value fields and status map of the order build.
 ORDER_REQUIRED = (
@@ -92,8 +93,9 @@ def build_orders(df: DataFrame, line_order: Sequence[str] | None = None,
     """One row per known order id.
 
     Sums (missing → 0), first non-missing value of each order field in line
-    order, distinct products and categories, line count, delay, timing group
-    from the status, and the loss flag — one aggregation."""
+    order, line count, distinct products and categories (co-partitioned
+    side aggregates, see ``with_distinct_counts``), delay, timing group from
+    the status, and the loss flag."""
     require_columns(df, ORDER_REQUIRED, "order lines")
     order = _line_order(df, line_order)
     rule = choose_profit_rule(df, profit_rule)
@@ -105,13 +107,14 @@ def build_orders(df: DataFrame, line_order: Sequence[str] | None = None,
          else money_sum("order_profit_per_order")).alias("order_profit_per_order"),
         *[first_non_missing(c, order).alias(c) for c in fields],
     ]
-    if "order_item_cardprod_id" in df.columns:
-        aggs.append(nunique("order_item_cardprod_id").alias("unique_products"))
-    if "category_name" in df.columns:
-        aggs.append(nunique("category_name").alias("unique_categories"))
     aggs.append(F.count(F.lit(1)).alias("order_lines"))
-    orders = df.filter(F.col("order_id").isNotNull()).groupBy("order_id").agg(*aggs)
-    return orders.withColumns({
+    known = df.filter(F.col("order_id").isNotNull())
+    specs = [(c, n) for c, n in (("order_item_cardprod_id", "unique_products"),
+                                 ("category_name", "unique_categories")) if c in df.columns]
+    orders = with_distinct_counts(known.groupBy("order_id").agg(*aggs), known, "order_id", specs)
+    columns = ["order_id", "revenue", "quantity", "order_profit_per_order", *fields,
+               *[n for _, n in specs], "order_lines"]
+    return orders.select(*columns).withColumns({
         "shipping_delay_days": F.col("days_for_shipping_real") - F.col("days_for_shipment_scheduled"),
         "delivery_timing_group": timing_from_status("delivery_status"),
         "loss_flag": F.when(F.col("order_profit_per_order") < 0, 1).otherwise(0),
