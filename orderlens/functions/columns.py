@@ -85,10 +85,15 @@ def ratio_or_zero(num: str | Column, den: str | Column) -> Column:
     return F.when(den != 0, num / den).otherwise(F.lit(0.0))
 
 
+# The characters Python's str.strip removes: every code point that isspace().
+WHITESPACE = "".join(chr(i) for i in range(0x110000) if chr(i).isspace())
+
+
 def strip_blank(c: str | Column) -> Column:
-    """Strip Unicode whitespace at both ends; empty text becomes NULL."""
-    stripped = F.regexp_replace(col(c), r"(?U)^\s+|\s+$", "")
-    return F.when(stripped != "", stripped)
+    """Strip Unicode whitespace at both ends; empty text becomes NULL.
+    ``btrim`` with a character set, not a regular expression (several times
+    faster per value)."""
+    return F.nullif(F.btrim(col(c), F.lit(WHITESPACE)), F.lit(""))
 
 
 def null_tokens(c: str | Column, tokens: Sequence[str]) -> Column:
