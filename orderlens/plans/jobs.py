@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from orderlens.operators import (
     clean, dashboard, decision, evaluate, features, line_kpi, models, order_kpi, orders,
 )
+from orderlens.session import ensure_checkpoint_dir
 from orderlens.sources.io import read_table, write_table
 
 ALL_MODELS = ("baseline", "logistic", "forest", "boosting")
@@ -66,6 +67,7 @@ def model_comparison_run(spark: SparkSession, model_lines: DataFrame, line_order
     The feature table is checkpointed to the session's shared checkpoint
     folder (it feeds several split passes and four fits), and both sides are
     persisted with spill to disk."""
+    ensure_checkpoint_dir(spark)
     feats = features.order_features(model_lines, line_order).checkpoint()
     split = features.time_split(feats)
     train, test = features.split_frames(split)

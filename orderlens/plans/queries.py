@@ -64,6 +64,7 @@ QUERIES: dict[str, Query] = {
 from pyspark.sql import functions as F  # noqa: E402
 
 from orderlens.operators import evaluate, features  # noqa: E402
+from orderlens.session import ensure_checkpoint_dir  # noqa: E402
 from orderlens.sources.fixtures import fx_scores  # noqa: E402
 
 NUMERIC_FEATURES = ("days_for_shipment", "order_value", "quantity", "discount", "unique_products",
@@ -78,6 +79,7 @@ def _features(s, d):
 def _split(s, d):
     # the split and the fitted statistics make several passes: cut the lineage
     # once (reliable checkpoint in spark.checkpoint.dir) instead of recomputing
+    ensure_checkpoint_dir(s)
     return features.time_split(_features(s, d).checkpoint())
 
 
