@@ -49,20 +49,26 @@ def top_k(bd: DataFrame, dims: Sequence[str], metric: str, k: int, min_orders: i
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
-def with_distinct_counts(per_key: DataFrame, rows: DataFrame, key: str,
-                         specs: Sequence[tuple[str, str]]) -> DataFrame:
-    """Attach ``count(DISTINCT column)`` per key (missing ignored) for each
-    ``(column, name)`` in ``specs``, as separate ``distinct`` + count
-    aggregates joined back on ``key``.
-
-    Several distinct aggregates inside one ``groupBy`` make Spark ``Expand``
-    every row once per distinct column and shuffle the copies twice. Here
-    each count reads only ``(key, column)``; when ``rows`` is partitioned by
-    ``key`` (as after the fixture join, or a table stored by order) neither
-    the de-duplication nor the count nor the join needs a shuffle."""
-    out = per_key
-    for column, name in specs:
-        counts = (rows.select(key, column).filter(F.col(column).isNotNull()).distinct()
-                  .groupBy(key).agg(F.count(F.lit(1)).alias(name)))
-        out = out.join(counts, key, "left").withColumn(name, F.coalesce(F.col(name), F.lit(0)))
-    return out
+def flag_first_values(rows: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """Mark one row of each distinct non-missing ``(key, column)`` pair with
+    ``__first_<column> = 1`` (all others 0), so that ``distinct_count`` is a
+    plain sum inside the same ``groupBy(key)`` as every other aggregate.
+
+    ``count(DISTINCT ...)`` for two columns makes Spark ``Expand`` each row
+    once per column and shuffle the copies twice (``Expand`` drops the input's
+    partitioning); separate distinct aggregates joined back would recompute
+    the whole input per column. A ``row_number`` window over ``(key, column)``
+    needs neither: input hash-partitioned by ``key`` (as after the fixture
+    join on the order key) already satisfies it, so each column costs one
+    sort inside the partition. Without that partitioning the window shuffles
+    on ``(key, column)``, which also spreads a hot key over its values."""
+    for c in columns:
+        w = Window.partitionBy(key, c).orderBy(c)
+        rows = rows.withColumn(f"__first_{c}", F.when(
+            F.col(c).isNotNull() & (F.row_number().over(w) == 1), 1).otherwise(0))
+    return rows
+
+
+def distinct_count(column: str) -> Column:
+    """``count(DISTINCT column)`` per group, over ``flag_first_values`` input."""
+    return F.sum(F.col(f"__first_{column}")).cast("long")

@@ -17,7 +17,7 @@ from pyspark.sql.types import DateType, NumericType, StringType, TimestampNTZTyp
 from orderlens.functions.columns import first_non_missing, money_sum, sum0
 from orderlens.functions.contracts import assert_dates, require_columns
 from orderlens.functions.selection import exact_medians, kth_key, lexicographic_le
-from orderlens.functions.shapes import with_distinct_counts
+from orderlens.functions.shapes import distinct_count, flag_first_values
 
 # Required columns, model features and leakage exclusions of the reference.
 FEATURE_REQUIRED = ("order_id", "order_date", "late_delivery_risk", "days_for_shipment",
@@ -61,10 +61,11 @@ def order_features(lines: DataFrame, line_order: Sequence[str], with_profit: boo
         aggs.append(money_sum("order_profit_per_order").alias("order_profit"))
     aggs += [sum0("order_item_quantity").cast("long").alias("quantity"),
              money_sum("order_item_discount").alias("discount")]
-    known = df.filter(F.col("order_id").isNotNull())
-    orders = with_distinct_counts(known.groupBy("order_id").agg(*aggs), known, "order_id",
-                                  [("order_item_cardprod_id", "unique_products"),
-                                   ("category_id", "unique_categories")])
+    distinct = [("order_item_cardprod_id", "unique_products"), ("category_id", "unique_categories")]
+    aggs += [distinct_count(c).alias(n) for c, n in distinct]
+    known = flag_first_values(df.filter(F.col("order_id").isNotNull()), "order_id",
+                              [c for c, _ in distinct])
+    orders = known.groupBy("order_id").agg(*aggs)
     return orders.withColumns({
         "order_month": F.month("order_date"),
         "order_day_of_week": F.weekday("order_date"),

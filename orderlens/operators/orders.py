@@ -16,7 +16,7 @@ from orderlens.functions.columns import (
     first_non_missing, has_many_values, map_values, money_sum, sum0,
 )
 from orderlens.functions.contracts import present, require_columns
-from orderlens.functions.shapes import with_distinct_counts
+from orderlens.functions.shapes import distinct_count, flag_first_values
 
 # Required columns, first-value fields and status map of the order build.
 ORDER_REQUIRED = (
@@ -93,8 +93,8 @@ def build_orders(df: DataFrame, line_order: Sequence[str] | None = None,
     """One row per known order id.
 
     Sums (missing → 0), first non-missing value of each order field in line
-    order, line count, distinct products and categories (co-partitioned
-    side aggregates, see ``with_distinct_counts``), delay, timing group from
+    order, line count, distinct products and categories (first-occurrence flags
+    summed in the same aggregate, see ``flag_first_values``), delay, timing group from
     the status, and the loss flag."""
     require_columns(df, ORDER_REQUIRED, "order lines")
     order = _line_order(df, line_order)
@@ -108,10 +108,12 @@ def build_orders(df: DataFrame, line_order: Sequence[str] | None = None,
         *[first_non_missing(c, order).alias(c) for c in fields],
     ]
     aggs.append(F.count(F.lit(1)).alias("order_lines"))
-    known = df.filter(F.col("order_id").isNotNull())
     specs = [(c, n) for c, n in (("order_item_cardprod_id", "unique_products"),
                                  ("category_name", "unique_categories")) if c in df.columns]
-    orders = with_distinct_counts(known.groupBy("order_id").agg(*aggs), known, "order_id", specs)
+    aggs += [distinct_count(c).alias(n) for c, n in specs]
+    known = flag_first_values(df.filter(F.col("order_id").isNotNull()), "order_id",
+                              [c for c, _ in specs])
+    orders = known.groupBy("order_id").agg(*aggs)
     columns = ["order_id", "revenue", "quantity", "order_profit_per_order", *fields,
                *[n for _, n in specs], "order_lines"]
     return orders.select(*columns).withColumns({

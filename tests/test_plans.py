@@ -5,7 +5,7 @@ operator is designed without one."""
 import pytest
 
 import __spark_entry__ as E
-from orderlens.operators import clean, line_kpi, orders
+from orderlens.operators import clean, features, line_kpi, orders
 from orderlens.sources.fixtures import LINE_ORDER, fx_lines
 
 MODEL = {"f19_logistic_scores", "f26_fitted_comparison"}
@@ -50,3 +50,14 @@ def test_order_build_reuses_join_partitioning(static, sf):
     # join's partitioning by order key: no exchange on order_id, no Expand
     assert "Exchange hashpartitioning(order_id" not in p
     assert "Expand" not in p
+
+
+def test_order_grain_reads_lines_once(static, sf):
+    # the distinct counts are flags inside the one per-order aggregate: the
+    # line fixture (lineitem scan, its joins and shuffles) is planned once
+    lines = fx_lines(static, sf)
+    for df in (orders.build_orders(lines, LINE_ORDER, profit_rule="sum"),
+               features.order_features(lines, LINE_ORDER, check_dates=False)):
+        p = plan(df)
+        assert p.count("lineitem") == 1
+        assert "Exchange hashpartitioning(order_id" not in p and "Expand" not in p

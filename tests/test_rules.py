@@ -107,3 +107,16 @@ def test_weekday_and_day_name(spark):
     r = with_calendar(df).select("order_day_of_week", "order_month", "order_year",
                                  F.weekday("order_date").alias("wd")).first()
     assert (r.order_day_of_week, r.order_month, r.order_year, r.wd) == ("Monday", "2024-01", 2024, 0)
+
+
+def test_first_value_flags_count_distinct(spark):
+    # a hot key (most rows), repeated values, missing values, a key with none
+    from orderlens.functions.shapes import distinct_count, flag_first_values
+    rows = [(1, p % 7 if p % 5 else None, f"c{p % 3}") for p in range(300)]
+    rows += [(2, 4, None), (2, 4, None), (3, None, None)]
+    df = spark.createDataFrame(rows, "k int, p int, c string").repartition(4, "k")
+    got = {r.k: (r.np, r.nc) for r in flag_first_values(df, "k", ["p", "c"]).groupBy("k").agg(
+        distinct_count("p").alias("np"), distinct_count("c").alias("nc")).collect()}
+    want = {r.k: (r.np, r.nc) for r in df.groupBy("k").agg(
+        F.countDistinct("p").alias("np"), F.countDistinct("c").alias("nc")).collect()}
+    assert got == want == {1: (7, 3), 2: (1, 0), 3: (0, 0)}
