@@ -139,20 +139,33 @@ from orderlens.operators import dashboard, decision  # noqa: E402
 DECISION_MODEL = "model_a"
 
 
-def _model_scores(s, d, built=None):
-    built = built if built is not None else _orders(s, d)
+def _shared_orders(s, d):
+    # one order table feeds both sides of the score join; each side prunes it
+    # differently, so Spark would plan the order build (lineitem scan, joins,
+    # shuffles) twice. Build it once and cut the lineage (reliable checkpoint
+    # in spark.checkpoint.dir, which keeps the partitioning by order_id).
+    ensure_checkpoint_dir(s)
+    return _orders(s, d).checkpoint()
+
+
+def _model_scores(built):
     sc = fx_scores(None, per_order=built)
     return sc.filter(F.col("model") == DECISION_MODEL).drop("model")
 
 
-def _decision(s, d):
-    built = _orders(s, d)  # one order table feeds both sides of the join
-    return decision.decision_table(_model_scores(s, d, built), built)
+def _joined(join):
+    def q(s, d):
+        built = _shared_orders(s, d)
+        return join(_model_scores(built), built)
+    return q
+
+
+_decision = _joined(decision.decision_table)
 
 
 QUERIES.update({
-    "g2_join_scores": lambda s, d: decision.join_scores(_model_scores(s, d), _orders(s, d)),
-    "g4_orphan_scores": lambda s, d: decision.orphan_scores(_model_scores(s, d), _orders(s, d)),
+    "g2_join_scores": _joined(decision.join_scores),
+    "g4_orphan_scores": _joined(decision.orphan_scores),
     "g10_decision_table": _decision,
     "g11_risk_distribution": lambda s, d: decision.risk_distribution(_decision(s, d)),
     "g12_confusion_counts": lambda s, d: decision.confusion_counts(_decision(s, d)),
