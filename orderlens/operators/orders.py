@@ -17,6 +17,7 @@ from orderlens.functions.columns import (
 )
 from orderlens.functions.contracts import present, require_columns
 from orderlens.functions.shapes import distinct_count, flag_first_values
+from orderlens.session import ensure_checkpoint_dir
 
 # Required columns, first-value fields and status map of the order build.
 ORDER_REQUIRED = (
@@ -98,13 +99,17 @@ def build_orders(df: DataFrame, line_order: Sequence[str] | None = None,
     the status, and the loss flag."""
     require_columns(df, ORDER_REQUIRED, "order lines")
     order = _line_order(df, line_order)
-    rule = choose_profit_rule(df, profit_rule)
+    if profit_rule not in ("auto", "first", "sum"):
+        raise ValueError(f"profit_rule must be auto, first or sum, not {profit_rule!r}")
     fields = present(df, ORDER_FIELDS)
+    profit = {"first": first_non_missing("order_profit_per_order", order).cast("double"),
+              "sum": money_sum("order_profit_per_order")}
     aggs = [
         money_sum("order_item_total").alias("revenue"),
         sum0("order_item_quantity").cast("long").alias("quantity"),
-        (first_non_missing("order_profit_per_order", order).cast("double") if rule == "first"
-         else money_sum("order_profit_per_order")).alias("order_profit_per_order"),
+        *([profit["first"].alias("__profit_first"), profit["sum"].alias("__profit_sum"),
+           has_many_values("order_profit_per_order").alias("__profit_many")]
+          if profit_rule == "auto" else [profit[profit_rule].alias("order_profit_per_order")]),
         *[first_non_missing(c, order).alias(c) for c in fields],
     ]
     aggs.append(F.count(F.lit(1)).alias("order_lines"))
@@ -114,6 +119,16 @@ def build_orders(df: DataFrame, line_order: Sequence[str] | None = None,
     known = flag_first_values(df.filter(F.col("order_id").isNotNull()), "order_id",
                               [c for c, _ in specs])
     orders = known.groupBy("order_id").agg(*aggs)
+    if profit_rule == "auto":
+        # D3 from the order table itself: both candidate profits and the D2 flag
+        # come out of the one per-order aggregate, which is checkpointed (shared
+        # spark.checkpoint.dir); the rule is then one boolean over the narrow
+        # flag column, not a second pass over the lines.
+        ensure_checkpoint_dir(df.sparkSession)
+        orders = orders.checkpoint()
+        constant = orders.agg(F.coalesce(F.bool_and(~F.col("__profit_many")), F.lit(True))).first()[0]
+        orders = orders.withColumn("order_profit_per_order",
+                                   F.col("__profit_first" if constant else "__profit_sum"))
     columns = ["order_id", "revenue", "quantity", "order_profit_per_order", *fields,
                *[n for _, n in specs], "order_lines"]
     return orders.select(*columns).withColumns({

@@ -139,23 +139,18 @@ from orderlens.operators import dashboard, decision  # noqa: E402
 DECISION_MODEL = "model_a"
 
 
-def _shared_orders(s, d):
-    # one order table feeds both sides of the score join; each side prunes it
-    # differently, so Spark would plan the order build (lineitem scan, joins,
-    # shuffles) twice. Build it once and cut the lineage (reliable checkpoint
-    # in spark.checkpoint.dir, which keeps the partitioning by order_id).
-    ensure_checkpoint_dir(s)
-    return _orders(s, d).checkpoint()
-
-
 def _model_scores(built):
     sc = fx_scores(None, per_order=built)
     return sc.filter(F.col("model") == DECISION_MODEL).drop("model")
 
 
 def _joined(join):
+    # one order table feeds both sides of the score join; each side prunes it
+    # differently, so a lazy table would be planned twice (lineitem scan, joins,
+    # shuffles). ``_orders`` ("auto" profit rule) is built once into a reliable
+    # checkpoint in spark.checkpoint.dir that keeps its partitioning by order_id.
     def q(s, d):
-        built = _shared_orders(s, d)
+        built = _orders(s, d)
         return join(_model_scores(built), built)
     return q
 

@@ -120,3 +120,22 @@ def test_first_value_flags_count_distinct(spark):
     want = {r.k: (r.np, r.nc) for r in df.groupBy("k").agg(
         F.countDistinct("p").alias("np"), F.countDistinct("c").alias("nc")).collect()}
     assert got == want == {1: (7, 3), 2: (1, 0), 3: (0, 0)}
+
+
+def test_auto_profit_rule_from_order_table(spark):
+    # D3 decided on the checkpointed order table: 'first' when every order
+    # holds one profit value (repeated on each line; missing counts as a
+    # value), else 'sum'
+    schema = ("order_id long, order_item_id int, order_item_total double, order_item_quantity int, "
+              "order_profit_per_order double, delivery_status string, late_delivery_risk int, "
+              "days_for_shipping_real int, days_for_shipment_scheduled int")
+    base = [(1, 1, 10.0, 1, 5.0, "Late delivery", 1, 3, 2), (1, 2, 20.0, 2, 5.0, "Late delivery", 1, 3, 2),
+            (2, 1, 7.0, 1, -2.0, "Shipping on time", 0, 2, 2), (2, 2, 3.0, 1, -2.0, "Shipping on time", 0, 2, 2)]
+    const = spark.createDataFrame(base, schema)
+    varied = spark.createDataFrame(base + [(2, 3, 1.0, 1, -1.0, "Shipping on time", 0, 2, 2)], schema)
+    got = {r.order_id: r.order_profit_per_order for r in orders.build_orders(const).collect()}
+    assert got == {1: 5.0, 2: -2.0}
+    assert orders.choose_profit_rule(const) == "first"
+    got = {r.order_id: r.order_profit_per_order for r in orders.build_orders(varied).collect()}
+    assert got == {1: 10.0, 2: -5.0}
+    assert orders.choose_profit_rule(varied) == "sum"
