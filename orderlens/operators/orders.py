@@ -91,7 +91,13 @@ def timing_from_status(status) -> object:
 
 def build_orders(df: DataFrame, line_order: Sequence[str] | None = None,
                  profit_rule: str = "auto") -> DataFrame:
-    """One row per known order id.
+    """One row per known order id (see ``build_orders_with_rule``)."""
+    return build_orders_with_rule(df, line_order, profit_rule)[0]
+
+
+def build_orders_with_rule(df: DataFrame, line_order: Sequence[str] | None = None,
+                           profit_rule: str = "auto") -> tuple[DataFrame, str]:
+    """One row per known order id, and the profit rule applied.
 
     Sums (missing → 0), first non-missing value of each order field in line
     order, line count, distinct products and categories (first-occurrence flags
@@ -127,15 +133,15 @@ def build_orders(df: DataFrame, line_order: Sequence[str] | None = None,
         ensure_checkpoint_dir(df.sparkSession)
         orders = orders.checkpoint()
         constant = orders.agg(F.coalesce(F.bool_and(~F.col("__profit_many")), F.lit(True))).first()[0]
-        orders = orders.withColumn("order_profit_per_order",
-                                   F.col("__profit_first" if constant else "__profit_sum"))
+        profit_rule = "first" if constant else "sum"
+        orders = orders.withColumn("order_profit_per_order", F.col(f"__profit_{profit_rule}"))
     columns = ["order_id", "revenue", "quantity", "order_profit_per_order", *fields,
                *[n for _, n in specs], "order_lines"]
     return orders.select(*columns).withColumns({
         "shipping_delay_days": F.col("days_for_shipping_real") - F.col("days_for_shipment_scheduled"),
         "delivery_timing_group": timing_from_status("delivery_status"),
         "loss_flag": F.when(F.col("order_profit_per_order") < 0, 1).otherwise(0),
-    })
+    }), profit_rule
 
 
 def value_counts(df: DataFrame, column: str, name: str = "orders") -> DataFrame:

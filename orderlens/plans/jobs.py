@@ -42,8 +42,9 @@ def operations_report(spark: SparkSession, raw_lines: DataFrame, out_dir: str,
     out["worst_late_lines"] = line_kpi.worst_late_lines(bd)
     out["worst_profit_lines"] = line_kpi.worst_profit_lines(bd)
     out["field_conflicts"] = orders.field_conflicts(lines)
-    rule = orders.choose_profit_rule(lines)
-    built = _stage(spark, orders.build_orders(lines, line_order, rule), out_dir, "orders", fmt)
+    # the profit rule comes out of the order build (one pass over the lines)
+    built, rule = orders.build_orders_with_rule(lines, line_order)
+    built = _stage(spark, built, out_dir, "orders", fmt)
     out["orders"] = built
     out["orders_profile"] = orders.orders_profile(lines, built, rule)
     out["timing_counts"] = orders.value_counts(built, "delivery_timing_group")

@@ -139,3 +139,13 @@ def test_auto_profit_rule_from_order_table(spark):
     got = {r.order_id: r.order_profit_per_order for r in orders.build_orders(varied).collect()}
     assert got == {1: 10.0, 2: -5.0}
     assert orders.choose_profit_rule(varied) == "sum"
+
+
+def test_build_reports_rule(spark):
+    schema = ("order_id long, order_item_id int, order_item_total double, order_item_quantity int, "
+              "order_profit_per_order double, delivery_status string, late_delivery_risk int, "
+              "days_for_shipping_real int, days_for_shipment_scheduled int")
+    df = spark.createDataFrame([(1, 1, 1.0, 1, 2.0, "Late delivery", 1, 3, 2),
+                                (1, 2, 1.0, 1, 3.0, "Late delivery", 1, 3, 2)], schema)
+    assert orders.build_orders_with_rule(df)[1] == "sum"
+    assert orders.build_orders_with_rule(df, profit_rule="first")[1] == "first"
