@@ -16,7 +16,6 @@ because all 256 single bytes have a rank.
 from __future__ import annotations
 
 import base64
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +25,8 @@ from pyspark.sql import functions as F
 
 from orderlens.llm.shared import map_text, text_or_empty
 
-#: encoded distinct units that a task keeps at most; beyond it they are forgotten and encoded anew
-CACHE_UNITS = 400_000
+#: distinct words, and units, that a task keeps at most; beyond it they are forgotten and encoded anew
+CACHE_WORDS = 700_000
 #: slots of the literal rank table
 SLOTS = 1 << 16
 
@@ -86,60 +85,154 @@ def _merge_long(parts: list[bytes], ranks: dict[bytes, int]) -> list[int]:
 
 
 class UnitEncoder:
-    """Ids of whole texts from the ids of their distinct units.
-
-    A unit is a space and what follows up to the next space. Both vocabularies' PATTERN
-    starts a new match at a space before a non-space, whatever stands before it, so units
-    can be encoded each for itself, unless a space touches other white space; such texts
-    are encoded as one unit. ``encode_many(units)`` returns uint32 little-endian id bytes.
+    """Ids of whole texts from the ids of their distinct words.
+
+    A word is a match of ``pattern``. Texts are cut at spaces and line ends into units,
+    which recur and are kept with their ids; the words of new units are matched, and only
+    words not met before are encoded. The pattern starts a match at a space or line end
+    that stands between two characters that are not white, so units can be matched each
+    for itself; a text where white space touches white space is matched as a whole.
+    ``encode_many(words)`` returns each word's ids as uint32 little-endian bytes.
     """
 
-    def __init__(self, encode_many, limit: int = CACHE_UNITS):
-        self.encode_many, self.limit, self.known = encode_many, limit, {}
-        self.touching = re.compile(r" \s|\s ").search
+    def __init__(self, pattern: str, encode_many, limit: int = CACHE_WORDS):
+        import regex
+
+        self.find, self.encode_many, self.limit = regex.compile(pattern).findall, encode_many, limit
+        self.words: dict[str, bytes] = {}
+        self.units: dict[str, bytes | bool] = {}  # False: not to be matched for itself
 
-    def __call__(self, text: str) -> bytes:
-        if self.touching(text):
-            return self.encode_many([text])[0]
-        head, *rest = text.split(" ")
-        new = list(set(rest).difference(self.known))
+    def matched(self, texts: list[str]) -> list[bytes]:
+        found = [self.find(t) for t in texts]
+        new = set().union(*found).difference(self.words)
         if new:
-            if len(self.known) + len(new) > self.limit:
-                self.known.clear()
-                new = list(set(rest))
-            self.known.update(zip(new, self.encode_many([" " + u for u in new])))
-        return b"".join([self.encode_many([head])[0] if head else b"", *map(self.known.__getitem__, rest)])
+            if len(self.words) + len(new) > self.limit:
+                self.words.clear()
+                new = set().union(*found)
+            new = list(new)
+            self.words.update(zip(new, self.encode_many(new)))
+        return [b"".join(map(self.words.__getitem__, f)) for f in found]
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        cut = [t.replace("\n", " \n").split(" ") for t in texts]
+        ends = [c.pop() if len(c) > 1 and c[-1] == "\n" else "" for c in cut]
+        heads = self.matched([c[0] for c in cut])
+        found = [list(map(self.units.get, c[1:])) for c in cut]
+        if any(None in ids for ids in found):
+            new = {u for c, ids in zip(cut, found) if None in ids for u, x in zip(c[1:], ids) if x is None}
+            if len(self.units) + len(new) > self.limit:
+                self.units.clear()
+                new = {u for c, ids in zip(cut, found) if None in ids for u in c[1:]}
+            self._add(new)
+            found = [list(map(self.units.get, c[1:])) if None in ids else ids for c, ids in zip(cut, found)]
+        out = []
+        for text, head, first, ids, end in zip(texts, cut, heads, found, ends):
+            try:
+                if head[0] and (head[0][0].isspace() or head[0][-1].isspace()):
+                    raise TypeError
+                out.append(b"".join([first, *ids, *(self.matched([end]) if end else [])]))
+            except TypeError:  # white space touches white space
+                out += self.matched([text])
+        return out
 
+    def _add(self, new: set[str]) -> None:
+        body = [u[1:] if u[:1] == "\n" else u for u in new]
+        sound = [u for u, b in zip(new, body) if b and not b[0].isspace() and not b[-1].isspace()]
+        self.units.update(dict.fromkeys(new, False))
+        self.units.update(zip(sound, self.matched([u if u[0] == "\n" else " " + u for u in sound])))
 
-def merge_units(ranks: dict[bytes, int], pattern: str):
-    """Encoder of units by ranked merges: each match of ``pattern`` separately."""
-    import regex
 
-    find = regex.compile(pattern).findall
+class MergeTable:
+    """The merges of a vocabulary as sorted arrays, to fold many words at once in numpy.
 
-    def many(units: list[str]) -> list[bytes]:
-        out = []
-        for unit in units:
-            ids: list[int] = []
-            for word in find(unit):
-                ids += merge_word(word.encode("utf-8"), ranks)
-            out.append(np.array(ids, "<u4").tobytes())
-        return out
+    Every split of a token into two tokens is a mergeable pair, whose rank is the token's.
+    """
 
-    return many
+    NONE = np.int64(1) << 40
+
+    def __init__(self, ranks: dict[bytes, int]):
+        pairs = [(ranks[t[:k]] << 32 | ranks[t[k:]], r) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
+        pairs.sort()
+        self.ranks = ranks
+        self.keys, self.values = (np.array(x, np.int64) for x in zip(*pairs)) if pairs else (np.zeros(1, np.int64), np.full(1, self.NONE))
+        self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+
+    def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rank of each pair of neighbours; NONE for pairs that do not merge (or with a -1, an empty place)."""
+        key = (a << 32) | b
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where((self.keys[at] == key) & (b >= 0) & (a >= 0), self.values[at], self.NONE)
+
+    def fold(self, words: list[bytes], width: int) -> list[bytes]:
+        """Ids of words of at most ``width`` bytes: each round joins every word's first pair of lowest rank."""
+        n = len(words)
+        sizes = np.array([len(w) for w in words])
+        parts = np.full((n, width), -1, np.int64)
+        inside = np.arange(width) < sizes[:, None]
+        parts[inside] = self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
+        ranks = self.rank(parts[:, :-1], parts[:, 1:])
+        rows = np.arange(n)
+        done = np.empty((n, width), np.int64)
+        column = np.arange(width)
+        while len(rows):
+            i = ranks.argmin(1)
+            best = ranks[np.arange(len(rows)), i]
+            ended = best == self.NONE
+            if ended.any():
+                done[rows[ended]] = parts[ended]
+                go = ~ended
+                rows, parts, ranks, i, best = rows[go], parts[go], ranks[go], i[go], best[go]
+            if not len(rows):
+                break
+            at = np.arange(len(rows))
+            parts[at, i] = best
+            move = np.minimum(column + (column > i[:, None]), width - 1)  # close the gap behind i
+            full = parts[:, -1].copy()
+            parts = np.take_along_axis(parts, move, 1)
+            parts[full >= 0, -1] = -1
+            ranks = np.take_along_axis(ranks, move[:, :-1].clip(max=width - 2), 1)
+            ranks[:, -1] = self.NONE
+            left, right = np.maximum(i - 1, 0), np.minimum(i + 1, width - 1)
+            ranks[at, np.minimum(i, width - 2)] = np.where(i < width - 1, self.rank(best, np.where(i < width - 1, parts[at, right], -1)), self.NONE)
+            has = i > 0
+            ranks[at[has], left[has]] = self.rank(parts[at[has], left[has]], best[has])
+        sizes = (done >= 0).sum(1)
+        flat = done[done >= 0].astype("<u4").tobytes()
+        ends = (4 * np.cumsum(sizes)).tolist()
+        return [flat[b - 4 * k:b] for b, k in zip(ends, sizes.tolist())]
+
+    def __call__(self, words: list[str]) -> list[bytes]:
+        out: list[bytes | None] = []
+        by_width: dict[int, list[int]] = {}
+        raw = [w.encode("utf-8") for w in words]
+        for k, w in enumerate(raw):
+            whole = self.ranks.get(w)
+            out.append(None if whole is None else whole.to_bytes(4, "little"))
+            if whole is None:
+                by_width.setdefault(next((x for x in (8, 16, 32, 64) if len(w) <= x), 0), []).append(k)
+        for width, places in by_width.items():
+            for p in range(0, len(places), 4096):
+                some = places[p:p + 4096]
+                ids = (self.fold([raw[k] for k in some], width) if width
+                       else [np.array(merge_word(raw[k], self.ranks), "<u4").tobytes() for k in some])
+                for k, x in zip(some, ids):
+                    out[k] = x
+        return out
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text") -> DataFrame:
     """``doc`` (all input columns) and ``ids`` (array<int>) of every whole text."""
-    ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))  # a fixed vocabulary file
+    shared = docs.sparkSession.sparkContext.broadcast(MergeTable(read_ranks(ranks_path)).__dict__)  # a fixed vocabulary file
     df = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), text_or_empty(text).alias("t"))
 
     def make():
-        encoder = UnitEncoder(merge_units(ranks.value, pattern))
+        table = MergeTable.__new__(MergeTable)
+        table.__dict__.update(shared.value)
+        encoder = UnitEncoder(pattern, table)
 
         def work(batch, raw, offs):
             buffer, at = raw.tobytes(), offs.tolist()
-            out = [encoder(buffer[a:b].decode("utf-8")) for a, b in zip(at, at[1:])]
+            out = encoder([buffer[a:b].decode("utf-8") for a, b in zip(at, at[1:])])
             ends = np.cumsum([0, *(len(x) // 4 for x in out)]).astype(np.int32)
             return [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(out), np.int32)))]
 

@@ -32,8 +32,10 @@ SHINGLE = 5
 SIMILAR = 75
 #: half keys in a collection, and minhash values in a half key
 M, R = 16, 3
-#: of the 2 * M * R signature bytes, how many must agree before sets are compared (expected at 75 %: 72, less 4 deviations)
-AGREE = 54
+#: signature: the least value in each of so many bins of one more hash, a byte each
+BINS = 512
+#: percent of the filled bins that must agree before sets are compared (75 less 4 standard deviations)
+AGREE = 67
 #: members of a bucket that are compared in one block
 BLOCK = 1024
 
@@ -69,18 +71,22 @@ def _reduce(op, values: np.ndarray, first: np.ndarray, full: np.ndarray) -> np.n
 
 
 def sketch(values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(two set hashes, half keys [n, 2 M], signature bytes [n, 2 M R]) of shingle sets."""
+    """(two set hashes, half keys [n, 2 M], signature bytes [n, BINS]) of shingle sets."""
     full = np.diff(first) > 0
     one = _reduce(np.add, mix(values), first, full)
     two = _reduce(np.add, mix(values * _MUL[0] + _XOR[0]), first, full)
     n = len(first) - 1
-    halves, signature = np.zeros((n, 2 * M), np.uint64), np.zeros((n, 2 * M * R), np.uint8)
+    halves = np.zeros((n, 2 * M), np.uint64)
     for k in range(2 * M):
         for r in range(R):
             low = _reduce(np.minimum, (values ^ _XOR[k * R + r]) * _MUL[k * R + r], first, full)
             halves[:, k] = mix(halves[:, k] + low)
-            signature[:, k * R + r] = mix(low) & np.uint64(255)
         halves[:, k] = mix(halves[:, k] + np.uint64(k))
+    v = mix(values ^ _XOR[-1])
+    least = np.full(n * BINS, np.iinfo(np.uint64).max, np.uint64)
+    bin_of = np.repeat(np.arange(n), np.diff(first)) * BINS + (v % np.uint64(BINS)).astype(np.int64)
+    np.minimum.at(least, bin_of, v)
+    signature = np.where(least == np.iinfo(np.uint64).max, 0, 1 + (least >> np.uint64(20)) % np.uint64(255)).astype(np.uint8).reshape(n, BINS)
     return one, two, halves, signature
 
 
@@ -102,21 +108,24 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def _shared_halves(nodes: DataFrame, side: str) -> DataFrame:
-    """(node, halves) with only the half keys that at least two nodes have."""
-    rows = nodes.select("node", F.explode(side).alias("half"))
+    """(node, places and values of the half keys that at least two nodes have)."""
+    rows = nodes.select("node", F.posexplode(side).alias("place", "half"))
     twice = rows.groupBy("half").agg(F.count("*").alias("c")).where("c > 1").select("half")
-    return rows.join(twice, "half").groupBy("node").agg(F.collect_set("half").alias(side))
+    return rows.join(twice, "half").groupBy("node").agg(F.collect_list(F.struct("place", "half")).alias(side))
 
 
 def table_keys(nodes: DataFrame) -> DataFrame:
-    """(key, node): all pairs of shared half keys, as far as at least two nodes have the key."""
+    """(key, ia, ib, node): all pairs of shared half keys, and their places in the collections."""
     halves = _shared_halves(nodes, "a").join(_shared_halves(nodes, "b"), "node")
     keys = halves.select("node", "b", F.explode("a").alias("x")).select("node", F.explode("b").alias("y"), "x")
-    return keys.select(F.xxhash64("x", "y").alias("key"), "node")
+    return keys.select(F.xxhash64("x.half", "y.half").alias("key"), F.col("x.place").cast("byte").alias("ia"),
+                       F.col("y.place").cast("byte").alias("ib"), "node")
 
 
 def _agree(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    return (left == right).sum(axis=1)
+    """Whether signatures agree in enough of the bins that either has filled."""
+    filled = ((left > 0) | (right > 0)).sum(axis=1)
+    return 100 * ((left == right) & (left > 0)).sum(axis=1) >= AGREE * filled
 
 
 def promising(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -126,9 +135,9 @@ def promising(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     def keep(batches):
         for b in batches:
-            left, right = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint8).reshape(-1, 2 * M * R) for k in (2, 3))
+            left, right = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint8).reshape(-1, BINS) for k in (2, 3))
             if b.num_rows:
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(_agree(left, right) >= AGREE))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(_agree(left, right)))
 
     return near.select("u", "v", "su", "sv").mapInArrow(keep, "u long, v long")
 
@@ -165,33 +174,36 @@ def confirm(pairs: DataFrame, texts: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _across(members: DataFrame) -> DataFrame:
-    """Pairs (u, v) of promising members of different components in the same bucket.
+    """Pairs (u, v) of promising members of different components in the same bucket, each once.
 
-    ``members``: key, node, component, n, signature, blocks. A bucket of many blocks is
-    compared block by block: a member is sent to every pair of blocks that holds its own.
+    ``members``: key, ia, ib, node, component, n, a, b, signature, blocks. A bucket of many
+    blocks is compared block by block: a member is sent to every pair of blocks that holds
+    its own. Of the buckets that two members share, only the one made of their first common
+    half keys reports them.
     """
     block = F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks"))
     sent = members.withColumn("mine", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    sent = sent.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "component", "n", "signature")
+    sent = sent.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "ia", "ib",
+                       "node", "component", "n", F.concat("a", "b").alias("halves"), "signature")
     sent = sent.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "n")
 
     def compare(batches):
-        held = None
+        held: list = []
         for batch in batches:
-            table = pa.Table.from_batches([batch] if held is None else [*held, batch])
+            table = pa.Table.from_batches([*held, batch])
             groups = [table.column(k).to_numpy() for k in range(3)]
-            n = table.num_rows
             change = np.flatnonzero(np.any([g[1:] != g[:-1] for g in groups], axis=0)) + 1
             cut = int(change[-1]) if len(change) else 0
             if cut:
                 yield from pairs_of(table.slice(0, cut))
-            held = table.slice(cut, n - cut).to_batches()
+            held = table.slice(cut).to_batches()
         if held:
             yield from pairs_of(pa.Table.from_batches(held))
 
     def pairs_of(table):
-        key, i, j, node, part, size = (table.column(k).to_numpy() for k in range(6))
-        signature = np.frombuffer(b"".join(table.column(6).to_pylist()), np.uint8).reshape(-1, 2 * M * R)
+        key, i, j, mine, ia, ib, node, part, size = (table.column(k).to_numpy() for k in range(9))
+        halves = table.column(9).combine_chunks().flatten().to_numpy().reshape(-1, 2 * M)
+        signature = np.frombuffer(b"".join(table.column(10).to_pylist()), np.uint8).reshape(-1, BINS)
         start = np.ones(len(key), bool)
         start[1:] = (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
         group = np.cumsum(start)
@@ -200,16 +212,18 @@ def _across(members: DataFrame) -> DataFrame:
             at = at[at + step < len(key)]
             # rows of a group are in order of size: once a size is too large, all later ones are
             at = at[(group[at] == group[at + step]) & (100 * size[at] >= SIMILAR * size[at + step])]
-            cross = at[part[at] != part[at + step]]
-            for k in range(0, len(cross), 1 << 16):
-                x = cross[k:k + (1 << 16)]
-                x = x[_agree(signature[x], signature[x + step]) >= AGREE]
+            cross = at[(part[at] != part[at + step]) & ((i[at] == j[at]) | (mine[at] != mine[at + step]))]
+            for k in range(0, len(cross), 1 << 14):
+                x = cross[k:k + (1 << 14)]
+                same = halves[x] == halves[x + step]
+                x = x[(same[:, :M].argmax(1) == ia[x]) & (same[:, M:].argmax(1) == ib[x])]
+                x = x[_agree(signature[x], signature[x + step])]
                 if len(x):
                     u, v = node[x], node[x + step]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
             step += 1
 
-    return sent.mapInArrow(compare, "u long, v long").distinct()
+    return sent.mapInArrow(compare, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -227,10 +241,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     found = store(components(links), "components")
     # buckets that hold several components
     placed = keys.join(found.withColumnRenamed("component", "c"), "node", "left").select(
-        "key", "node", F.coalesce("c", "node").alias("component"))
+        "key", "ia", "ib", "node", F.coalesce("c", "node").alias("component"))
     open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c")).where("lo != hi")
     members = (placed.join(open_keys.select("key", F.ceil(F.col("c") / BLOCK).alias("blocks")), "key")
-               .join(nodes.select("node", "n", "signature"), "node"))
+               .join(nodes.select("node", "n", "a", "b", "signature"), "node"))
     more = store(_across(members), "across").join(links, ["u", "v"], "left_anti")
     late = store(confirm(store(more, "late"), texts, nodes), "late-links")
     if not late.isEmpty():

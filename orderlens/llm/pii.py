@@ -35,7 +35,7 @@ TAGS = ["O", *(f"{p}-{k}" for k in KINDS for p in "BI")]
 WINDOW, STRIDE = 64, 32
 #: labelled windows that train the model at most (those with the smallest hash)
 SAMPLE = 1536
-HIDDEN, EMBED, EPOCHS, BATCH, RATE = 16, 8, 8, 64, 0.03
+HIDDEN, EMBED, EPOCHS, BATCH, RATE = 16, 8, 6, 128, 0.04
 #: an added span's characters must have at least this mean probability
 SURE = 0.98
 #: character classes; letters fall into lower, upper and other

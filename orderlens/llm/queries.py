@@ -62,7 +62,7 @@ def op6_maxent_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    images, dictionary = tokenfile.write_images(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+    images, dictionary = tokenfile.write_images(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
     return tokenfile.read_images(images, dictionary)
 
 

@@ -15,6 +15,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 #: bytes of text that one numpy step works on (a longer single text is a step of its own)
 STEP_BYTES = 1 << 20
+#: texts in one such step at most
+STEP_TEXTS = 4096
 #: code points of the ASCII white space that separates words: space, \t, \n, \v, \f, \r
 WHITE = " \t\n\x0b\x0c\r"
 
@@ -80,7 +82,7 @@ def steps(column: pa.Array, limit: int = STEP_BYTES) -> Iterator[tuple[int, int,
     raw, offs = utf8(column)
     n, i = len(offs) - 1, 0
     while i < n:
-        j = max(i + 1, int(np.searchsorted(offs, offs[i] + limit, "right")) - 1)
+        j = min(i + STEP_TEXTS, max(i + 1, int(np.searchsorted(offs, offs[i] + limit, "right")) - 1))
         yield i, j, raw[offs[i]:offs[j]], offs[i:j + 1] - offs[i]
         i = j
 

@@ -17,8 +17,10 @@ gives no images; a sample too small for training gives an empty dictionary.
 from __future__ import annotations
 
 import hashlib
+import os
 import struct
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orderlens.llm.bpe import UnitEncoder
-from orderlens.llm.shared import store, text_or_empty, utf8
+from orderlens.llm.shared import steps, store, text_or_empty
 
 END_ID = 2
 #: the dictionary is trained on this many documents (smallest hash of the id) of at most so many bytes
@@ -41,25 +43,37 @@ MAGIC = b"IDZ1"
 HEADER = "<4s32sQ"
 
 
-def library_units(path: str):
-    """Encoder of units with the tokenizers library; strings of special tokens are ordinary text."""
+def library_words(path: str):
+    """Encoder of words with the tokenizers library; strings of special tokens are ordinary text."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the threads
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
 
-    def many(units: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in tokenizer.encode_batch(units, add_special_tokens=False)]
+    merge, alphabet = tokenizer.model.tokenize, byte_alphabet()
+
+    def many(words: list[str]) -> list[bytes]:
+        # a word is one match of the pre-tokenizer, so its byte characters can go to the library's model at once
+        return [array("I", [t.id for t in merge(w.encode("utf-8").decode("latin-1").translate(alphabet))]).tobytes() for w in words]
 
     return many
 
 
-def train_dictionary(docs: DataFrame, path: str) -> bytes:
+def byte_alphabet() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: visible Latin-1
+    characters stand for themselves, the others follow from 256 on."""
+    visible = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(b) for b in visible} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
+def train_dictionary(docs: DataFrame, path: str, pattern: str) -> bytes:
     """A dictionary trained on the serialized ids of a bounded sample."""
     rows = (docs.select("id", "t").where(F.octet_length("t") <= SAMPLE_BYTES)
             .orderBy(F.xxhash64("id", F.lit(1)), F.xxhash64("t")).limit(SAMPLE_DOCS).collect())
-    encoder = UnitEncoder(library_units(path))
-    samples = [encoder(r.t) for r in rows]
+    encoder = UnitEncoder(pattern, library_words(path))
+    samples = encoder([r.t for r in rows])
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except zstandard.ZstdError:
@@ -99,16 +113,16 @@ class Image:
         return self.reader.decompress(self.data[a:b], max_output_size=4 * int(self.counts[k]))
 
 
-def write_images(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, bytes]:
+def write_images(docs: DataFrame, path: str, pattern: str, text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, bytes]:
     """(table of images, dictionary). Table: part, before (ids of the part before the image), n_docs, n_ids, image."""
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), text_or_empty(text).alias("t"))
-    dictionary = train_dictionary(rows, path)
+    dictionary = train_dictionary(rows, path, pattern)
     digest = hashlib.sha256(dictionary).digest()
     shared = docs.sparkSession.sparkContext.broadcast(dictionary)  # at most DICTIONARY_BYTES
     ordered = rows.withColumn("h", F.xxhash64("t")).repartitionByRange("id", "h").sortWithinPartitions("id", "h")
 
     def run(batches):
-        encoder = UnitEncoder(library_units(path))
+        encoder = UnitEncoder(pattern, library_words(path))
         writer = zstandard.ZstdCompressor(level=3, dict_data=_compression(shared.value), write_content_size=True)
         end, part = np.array([END_ID], "<u4").tobytes(), TaskContext.get().partitionId()
         before, ids, counts, frames, size = 0, [], [], [], 0
@@ -117,11 +131,11 @@ def write_images(docs: DataFrame, path: str, text: str = "text", doc_id: str = "
             data = pack_image(ids, counts, frames, digest)
             return pa.RecordBatch.from_pylist([{"part": part, "before": before, "n_docs": len(ids), "n_ids": sum(counts), "image": data}], IMAGES)
 
-        for batch in batches:
-            raw, offs = utf8(batch.column(1))
+        for batch, i, j, raw, offs in ((b, *s) for b in batches for s in steps(b.column(1))):
             at = offs.tolist()
-            for k, key in enumerate(batch.column(0).to_pylist()):
-                tokens = encoder(raw[at[k]:at[k + 1]].tobytes().decode("utf-8")) + end
+            texts = encoder([raw[a:b].tobytes().decode("utf-8") for a, b in zip(at, at[1:])])
+            for key, tokens in zip(batch.column(0).slice(i, j - i).to_pylist(), texts):
+                tokens += end
                 ids.append(key)
                 counts.append(len(tokens) // 4)
                 frames.append(writer.compress(tokens))
