@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orderlens.llm.shared import map_text, text_or_empty
+from orderlens.llm.shared import in_process, map_text, text_or_empty
 
 #: distinct words, and units, that a task keeps at most; beyond it they are forgotten and encoded anew
 CACHE_WORDS = 700_000
@@ -92,7 +92,9 @@ class UnitEncoder:
     words not met before are encoded. The pattern starts a match at a space or line end
     that stands between two characters that are not white, so units can be matched each
     for itself; a text where white space touches white space is matched as a whole.
-    ``encode_many(words)`` returns each word's ids as uint32 little-endian bytes.
+    ``encode_many(words)`` returns each word's ids as uint32 little-endian bytes. The
+    pattern is that of the public byte-level vocabularies: contractions, or an optional
+    space with letters, digits or marks, or white space.
     """
 
     def __init__(self, pattern: str, encode_many, limit: int = CACHE_WORDS):
@@ -103,7 +105,9 @@ class UnitEncoder:
         self.units: dict[str, bytes | bool] = {}  # False: not to be matched for itself
 
     def matched(self, texts: list[str]) -> list[bytes]:
-        found = [self.find(t) for t in texts]
+        return self._joined([self.find(t) for t in texts])
+
+    def _joined(self, found: list[list[str]]) -> list[bytes]:
         new = set().union(*found).difference(self.words)
         if new:
             if len(self.words) + len(new) > self.limit:
@@ -139,7 +143,17 @@ class UnitEncoder:
         body = [u[1:] if u[:1] == "\n" else u for u in new]
         sound = [u for u, b in zip(new, body) if b and not b[0].isspace() and not b[-1].isspace()]
         self.units.update(dict.fromkeys(new, False))
-        self.units.update(zip(sound, self.matched([u if u[0] == "\n" else " " + u for u in sound])))
+        found = [self._words_of(u) for u in sound]
+        self.units.update(zip(sound, self._joined(found)))
+
+    def _words_of(self, unit: str) -> list[str]:
+        """The words of a unit; letters, and letters before one mark, need no matching."""
+        lead, body = ("\n", unit[1:]) if unit[0] == "\n" else ("", unit)
+        if body.isalpha():
+            return [lead, body] if lead else [" " + body]
+        if body[-1] in ".,;:!?" and body[:-1].isalpha():
+            return [lead, body[:-1], body[-1]] if lead else [" " + body[:-1], body[-1]]
+        return self.find(unit if lead else " " + unit)
 
 
 class MergeTable:
@@ -226,9 +240,12 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text") -
     df = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), text_or_empty(text).alias("t"))
 
     def make():
-        table = MergeTable.__new__(MergeTable)
-        table.__dict__.update(shared.value)
-        encoder = UnitEncoder(pattern, table)
+        def build():
+            table = MergeTable.__new__(MergeTable)
+            table.__dict__.update(shared.value)
+            return UnitEncoder(pattern, table)
+
+        encoder = in_process(("merges", ranks_path, pattern), build)
 
         def work(batch, raw, offs):
             buffer, at = raw.tobytes(), offs.tolist()

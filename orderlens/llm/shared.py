@@ -3,6 +3,8 @@ numpy work on whole Arrow text columns inside Spark tasks."""
 
 from __future__ import annotations
 
+import sys
+import types
 import uuid
 from collections.abc import Iterator
 
@@ -191,6 +193,17 @@ def ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return np.cumsum(out)
 
 
+def in_process(key: tuple, build):
+    """An object that the tasks of one Python worker share, built by the first of them.
+
+    Only caches belong here: a task must give the same rows whether it finds one or not.
+    """
+    held = sys.modules.setdefault("_orderlens_task_objects", types.ModuleType("_orderlens_task_objects")).__dict__
+    if key not in held:
+        held[key] = build()
+    return held[key]
+
+
 def map_text(df: DataFrame, text: str, new_fields: str, make) -> DataFrame:
     """Append columns computed from whole texts, batch by batch, in bounded memory.
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orderlens.llm.bpe import UnitEncoder
-from orderlens.llm.shared import steps, store, text_or_empty
+from orderlens.llm.shared import in_process, steps, store, text_or_empty
 
 END_ID = 2
 #: the dictionary is trained on this many documents (smallest hash of the id) of at most so many bytes
@@ -122,7 +122,7 @@ def write_images(docs: DataFrame, path: str, pattern: str, text: str = "text", d
     ordered = rows.withColumn("h", F.xxhash64("t")).repartitionByRange("id", "h").sortWithinPartitions("id", "h")
 
     def run(batches):
-        encoder = UnitEncoder(pattern, library_words(path))
+        encoder = in_process(("library", path, pattern), lambda: UnitEncoder(pattern, library_words(path)))
         writer = zstandard.ZstdCompressor(level=3, dict_data=_compression(shared.value), write_content_size=True)
         end, part = np.array([END_ID], "<u4").tobytes(), TaskContext.get().partitionId()
         before, ids, counts, frames, size = 0, [], [], [], 0
