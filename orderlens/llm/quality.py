@@ -100,6 +100,8 @@ def quality_rules(docs: DataFrame, text: str = "text") -> DataFrame:
     base_failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
     left = _word_chars(F.col("clean_text")).cast("long")
     lost = (F.col("word_chars") - left) * 100 > F.col("word_chars") * MAX_LOST_PERCENT
-    return df.select("doc", F.struct(
-        "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"),
-        left.alias("clean_chars"), "clean_text", (~base_failed & ~lost).alias("kept")).alias("quality"))
+    found = F.struct("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"),
+                     left.alias("clean_chars"), "clean_text", (~base_failed & ~lost).alias("kept"))
+    # a generated column: a filter on it must not be pushed down, where each step above would be
+    # written out once for every use of it
+    return df.select("doc", F.explode(F.array(found)).alias("quality"))
