@@ -183,7 +183,7 @@ def test_language_model(spark, sf, docs):
 
 
 def test_language_model_is_a_distribution():
-    m = maxent.Model([(k + 1, 100 - k) for k in range(maxent.HEAD)], {b: (50, 7) for b in range(maxent.BUCKETS)})
+    m = maxent.Model([(k + 1, 1000 - k) for k in range(maxent.HEAD)], {b: (50, 7) for b in range(maxent.BUCKETS)})
     m.class_weights += np.random.default_rng(0).normal(0, 1, m.class_weights.shape).astype(np.float32)
     total = 0.0
     for out in range(maxent.OUTPUTS):
