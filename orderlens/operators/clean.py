@@ -24,7 +24,8 @@ ALIASES = {
     "days_for_shipment": "days_for_shipment_scheduled",
 }
 TIMESTAMP_COLUMNS = ("order_date", "shipping_date")
-TIMESTAMP_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "M/d/yyyy H:mm", "M/d/yyyy")
+TIMESTAMP_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "M/d/yyyy H:mm", "M/d/yyyy", "M/d/yyyy H:mm:ss",
+                     "yyyy-MM-dd HH:mm", "yyyy-MM-dd'T'HH:mm:ss")
 NUMERIC_TARGETS = {
     "days_for_shipping_real": "int",
     "days_for_shipment_scheduled": "int",
@@ -73,7 +74,8 @@ def coerce_timestamps(df: DataFrame, columns: Sequence[str] = TIMESTAMP_COLUMNS,
     out = {}
     for c in present(df, columns):
         if isinstance(df.schema[c].dataType, StringType):
-            parsed = F.coalesce(*[F.try_to_timestamp(F.col(c), F.lit(f)) for f in formats])
+            # last resort: the cast, which also takes fractions of a second
+            parsed = F.coalesce(*[F.try_to_timestamp(F.col(c), F.lit(f)) for f in formats], F.col(c).try_cast("timestamp"))
         else:
             parsed = F.col(c)
         out[c] = parsed.cast("timestamp_ntz")
@@ -81,11 +83,15 @@ def coerce_timestamps(df: DataFrame, columns: Sequence[str] = TIMESTAMP_COLUMNS,
 
 
 def coerce_numeric(df: DataFrame, targets: Mapping[str, str] = NUMERIC_TARGETS) -> DataFrame:
-    """Coerce to numbers; bad text → NULL, NaN → NULL."""
+    """Coerce to numbers; bad text → NULL, NaN → NULL. An integer column may be
+    written with decimals ("3.0", as pandas writes one with gaps): whole values count."""
     out = {}
     for c in present(df, targets):
-        value = F.col(c).try_cast(targets[c])
-        out[c] = nan_to_null(value) if targets[c] in ("double", "float") else value
+        value = nan_to_null(F.col(c).try_cast("double"))
+        if targets[c] in ("double", "float"):
+            out[c] = value
+        else:
+            out[c] = F.when(value == F.floor(value), value.try_cast(targets[c]))
     return df.withColumns(out) if out else df
 
 

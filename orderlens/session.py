@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import SparkSession
 
 BASE_CONF = {
@@ -50,8 +47,7 @@ def get_spark(master: str | None = None, app_name: str = "orderlens",
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the shared folder named by ``spark.checkpoint.dir``.
 
-    Only a local-mode session (tests) without that setting gets a private
-    folder under the system temp dir; a cluster session must name one.
+    Where that is unset (tests) it is a folder in the warehouse, which executors share too.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -59,12 +55,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder on the cluster")
-        configured = tempfile.mkdtemp(prefix="orderlens-ckpt-")
+        configured = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
-
-
-def default_partitions() -> int:
-    return int(os.environ.get("ORDERLENS_SHUFFLE_PARTITIONS", "8"))
