@@ -9,10 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, StringType
 
-MONEY = "decimal(18,4)"
+# Sums of money are exact to 18 decimals; a group with a value of 10^20 or more is summed as doubles.
+MONEY = "decimal(38,18)"
 
 
 def col(c: str | Column) -> Column:
@@ -25,8 +27,18 @@ def sum0(c: str | Column) -> Column:
 
 
 def money_sum(c: str | Column) -> Column:
-    """Exact decimal sum (order-independent), then double, 0 when all missing."""
-    return sum0(col(c).cast(MONEY)).cast("double")
+    """Sum as a double, 0 when all missing. The values are summed as decimals as wide
+    as a double's digits, so the result does not depend on their order; a group that
+    holds a value too large for that (or an infinity) is summed as doubles instead."""
+    c = col(c)
+    exact = c.try_cast(MONEY)
+    return F.coalesce(F.when(F.count(exact) == F.count(c), F.try_sum(exact)).cast("double"),
+                      F.sum(c.cast("double")), F.lit(0.0))
+
+
+def quantity_sum(df: DataFrame, c: str) -> Column:
+    """Sum of a quantity: whole numbers stay whole, fractions are kept."""
+    return sum0(c).cast("long") if isinstance(df.schema[c].dataType, IntegralType) else money_sum(c)
 
 
 def mean(c: str | Column) -> Column:
@@ -61,12 +73,23 @@ def has_many_values(c: str | Column) -> Column:
     return spread | ((n_present > 0) & (n_present < F.count(F.lit(1))))
 
 
-def first_non_missing(c: str, order_cols: Sequence[str]) -> Column:
+def line_order_keys(df: DataFrame, order: Sequence[str]) -> list[Column]:
+    """Sort keys of the line order. Numbers that a file without a schema holds as text
+    compare as numbers ("9" before "10"); texts that are no numbers come first, as text."""
+    keys = []
+    for c in order:
+        if isinstance(df.schema[c].dataType, StringType):
+            keys.append(F.col(c).try_cast("decimal(38,6)").alias(f"__{c}_number"))
+        keys.append(F.col(c))
+    return keys
+
+
+def first_non_missing(c: str, order_cols: Sequence[str | Column]) -> Column:
     """First non-missing value of ``c`` in line order.
 
     ``F.first`` has no defined order after a shuffle; the minimum of a
     struct led by the line-order key does, and it is a plain aggregate."""
-    s = F.struct(*[F.col(o) for o in order_cols], F.col(c).alias("__v"))
+    s = F.struct(*[col(o) for o in order_cols], F.col(c).alias("__v"))
     return F.min(F.when(F.col(c).isNotNull(), s)).getField("__v")
 
 

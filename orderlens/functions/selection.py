@@ -15,41 +15,58 @@ Several columns are refined together in one pass over a stacked
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Mapping, Sequence
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orderlens.functions.columns import nan_to_null
+
 BUCKETS = 1024
+# the widest finite and the smallest positive double
+WIDEST, SMALLEST = sys.float_info.max, 5e-324
 
 
 def _bucket(x: Column, lo, hi, integral: bool) -> Column:
     if integral:
-        width = (int(hi) - int(lo)) // BUCKETS + 1
-        return F.expr(f"(x - ({int(lo)}L)) div {width}L")
-    width = (float(hi) - float(lo)) / BUCKETS
+        lo, hi = int(lo), int(hi)
+        if hi - lo >= 1 << 62:  # halved, so that differences of 64-bit hashes fit into a long
+            width = ((hi >> 1) - (lo >> 1)) // BUCKETS + 1
+            return F.expr(f"(shiftright(x, 1) - ({lo >> 1}L)) div {width}L")
+        return F.expr(f"(x - ({lo}L)) div {(hi - lo) // BUCKETS + 1}L")
+    width = max(float(hi) / BUCKETS - float(lo) / BUCKETS, SMALLEST)
     return F.least(F.floor((x - F.lit(float(lo))) / F.lit(width)), F.lit(BUCKETS - 1)).cast("long")
 
 
+def _finite(c: Column) -> Column:
+    x = nan_to_null(c.cast("double"))  # a missing value stays missing
+    return F.when(x > WIDEST, WIDEST).when(x < -WIDEST, -WIDEST).otherwise(x)
+
+
 def kth_smallest(df: DataFrame, values: Mapping[str, Column], ranks: Mapping[str, int],
                  integral: bool = False) -> dict[str, object]:
     """Return ``{name: k-th smallest non-missing value}`` for each named column
     expression, with ``ranks[name]`` 1-based. Integral columns are refined with
-    exact integer buckets; others as doubles."""
+    exact integer buckets; others as doubles, where NaN is missing and an infinity
+    stands as the widest finite double while the range is refined."""
     names = list(values)
     if not names:
         return {}
-    cast = "long" if integral else "double"
+    kind = (lambda c: c.cast("long")) if integral else _finite
     stacked = df.select(F.explode(F.array(*[
-        F.struct(F.lit(n).alias("name"), values[n].cast(cast).alias("x")) for n in names
+        F.struct(F.lit(n).alias("name"), kind(values[n]).alias("x")) for n in names
     ])).alias("s")).select("s.name", "s.x").filter(F.col("x").isNotNull())
     # every pass reads only this narrow (name, value) projection
     stacked = stacked.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return _refine(stacked, names, ranks, integral)
+        found = _refine(stacked, names, ranks, integral)
     finally:
         stacked.unpersist()
+    if not integral:
+        found = {n: float("inf") if v == WIDEST else -float("inf") if v == -WIDEST else v for n, v in found.items()}
+    return found
 
 
 def _refine(stacked: DataFrame, names: list[str], ranks: Mapping[str, int],
@@ -125,9 +142,9 @@ def exact_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float | No
     missing ignored), as NumPy's ``nanmedian`` gives. The lower middle value is
     refined; the upper one follows from one more aggregate (it is the lower
     one again, or the smallest value above it)."""
-    counts = df.agg(*[F.count(F.col(c)).alias(c) for c in columns]).first().asDict()
+    exprs = {c: nan_to_null(F.col(c).cast("double")) for c in columns}
+    counts = df.agg(*[F.count(exprs[c]).alias(c) for c in columns]).first().asDict()
     lower = {c: (counts[c] + 1) // 2 for c in columns if counts[c]}
-    exprs = {c: F.col(c).cast("double") for c in columns}
     lo = kth_smallest(df, {c: exprs[c] for c in lower}, lower)
     even = [c for c in lower if counts[c] % 2 == 0]
     hi: dict[str, float] = {}

@@ -14,10 +14,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, NumericType, StringType, TimestampNTZType, TimestampType
 
-from orderlens.functions.columns import first_non_missing, money_sum, sum0
+from orderlens.functions.columns import first_non_missing, line_order_keys, money_sum, quantity_sum
 from orderlens.functions.contracts import assert_dates, require_columns
 from orderlens.functions.selection import exact_medians, kth_key, lexicographic_le
 from orderlens.functions.shapes import distinct_count, flag_first_values
+from orderlens.operators.clean import coerce_timestamps
 
 # Required columns, model features and leakage exclusions of the reference.
 FEATURE_REQUIRED = ("order_id", "order_date", "late_delivery_risk", "days_for_shipment",
@@ -48,18 +49,19 @@ def order_features(lines: DataFrame, line_order: Sequence[str], with_profit: boo
     df = to_model_names(lines)
     require_columns(df, FEATURE_REQUIRED, "model lines")
     if isinstance(df.schema["order_date"].dataType, StringType):
-        df = df.withColumn("order_date", F.try_to_timestamp("order_date").cast("timestamp_ntz"))
+        df = coerce_timestamps(df, ["order_date"])
     if check_dates:
         assert_dates(df, "order_date")
     firsts = [("order_date", "order_date"), (LABEL, LABEL),
               ("days_for_shipment", "days_for_shipment"), ("shipping_mode", "shipping_mode"),
               ("order_region", "order_region"), ("market", "market"),
               ("customer_segment", "customer_segment"), ("type", "order_type")]
-    aggs = [first_non_missing(src, line_order).alias(dst) for src, dst in firsts]
+    order = line_order_keys(df, line_order)
+    aggs = [first_non_missing(src, order).alias(dst) for src, dst in firsts]
     aggs.append(money_sum("order_item_total").alias("order_value"))
     if with_profit:
         aggs.append(money_sum("order_profit_per_order").alias("order_profit"))
-    aggs += [sum0("order_item_quantity").cast("long").alias("quantity"),
+    aggs += [quantity_sum(df, "order_item_quantity").alias("quantity"),
              money_sum("order_item_discount").alias("discount")]
     distinct = [("order_item_cardprod_id", "unique_products"), ("category_id", "unique_categories")]
     aggs += [distinct_count(c).alias(n) for c, n in distinct]

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderlens.functions.columns import MONEY, money_sum, ratio_or_zero, ratio_with_inf
+from orderlens.functions.columns import money_sum, ratio_or_zero, ratio_with_inf
 from orderlens.functions.contracts import present, require_columns
 from orderlens.functions.shapes import kpi_table, stack_dimensions, top_k
 
@@ -37,12 +37,12 @@ def line_kpis(df: DataFrame) -> DataFrame:
     shuffle at all when the input is already partitioned by ``order_id``), then
     one global aggregate reads the much smaller order grain."""
     require_columns(df, LINE_REQUIRED, "order lines")
-    p = F.col("order_profit_per_order").cast(MONEY)
+    p = F.col("order_profit_per_order")
     risk = F.col("late_delivery_risk")
     per_order = df.groupBy("order_id").agg(
         F.count(F.lit(1)).alias("n_lines"),
-        F.sum(F.col("revenue_value").cast(MONEY)).alias("revenue"),
-        F.sum(p).alias("profit"),
+        money_sum("revenue_value").alias("revenue"),
+        money_sum(p).alias("profit"),
         F.sum(risk).alias("risk_sum"), F.count(risk).alias("risk_n"),
         F.sum("days_for_shipping_real").alias("real_sum"),
         F.count("days_for_shipping_real").alias("real_n"),
@@ -51,7 +51,7 @@ def line_kpis(df: DataFrame) -> DataFrame:
         F.sum("shipping_delay_days").alias("delay_sum"),
         F.count("shipping_delay_days").alias("delay_n"),
         F.max(F.when(p < 0, 1).otherwise(0)).alias("has_loss"),
-        F.sum(F.when(risk == 1, p)).alias("late_profit"),
+        money_sum(F.when(risk == 1, p)).alias("late_profit"),
     )
     known = F.col("order_id").isNotNull()
     totals = per_order.agg(

@@ -79,7 +79,7 @@ def linear_stages(numeric: Sequence[str], categorical: Sequence[str]) -> list:
         _indexers(categorical),
         OneHotEncoder(inputCols=[f"{c}__idx" for c in categorical],
                       outputCols=[f"{c}__ohe" for c in categorical],
-                      dropLast=True, handleInvalid="keep"),
+                      dropLast=True),  # the last index is the unknown value
         VectorAssembler(inputCols=["__num_scaled", *[f"{c}__ohe" for c in categorical]],
                         outputCol="features"),
     ]
@@ -146,21 +146,24 @@ def _tree_fit(prep: Prepared, estimator, name: str, weighted: bool) -> Fitted:
     return Fitted(name, secs, lambda df: _probability(model.transform(encode(df))))
 
 
-def fit_forest(prep: Prepared, trees: int = FOREST_TREES, depth: int = FOREST_DEPTH) -> Fitted:
-    """random forest, balanced class weights, sqrt features per split."""
+def fit_forest(prep: Prepared, trees: int = FOREST_TREES, depth: int = FOREST_DEPTH,
+               bins: int = BOOSTING_BINS) -> Fitted:
+    """random forest, balanced class weights, sqrt features per split; ``bins``
+    bounds the split points per feature."""
     rf = RandomForestClassifier(featuresCol="features", labelCol=LABEL, weightCol=WEIGHT,
                                 numTrees=trees, maxDepth=depth, minInstancesPerNode=FOREST_MIN_LEAF,
                                 featureSubsetStrategy="sqrt", bootstrap=True, seed=FOREST_SEED,
-                                maxBins=64, maxMemoryInMB=1024)
+                                maxBins=bins, maxMemoryInMB=1024)
     return _tree_fit(prep, rf, FOREST, weighted=True)
 
 
 def fit_boosting(prep: Prepared, rounds: int = BOOSTING_ROUNDS) -> Fitted:
     """gradient-boosted trees (depth 5 ≤ 32 leaves, 255 bins, rate 0.08).
-    The reference grows leaf-wise trees; Spark grows them depth-wise."""
+    The reference grows leaf-wise trees; Spark grows them depth-wise. A leaf holds at
+    least 20 rows, the reference library's default."""
     gbt = GBTClassifier(featuresCol="features", labelCol=LABEL, maxIter=rounds,
                         stepSize=BOOSTING_RATE, maxDepth=BOOSTING_DEPTH, maxBins=BOOSTING_BINS,
-                        seed=BOOSTING_SEED, maxMemoryInMB=1024)
+                        seed=BOOSTING_SEED, minInstancesPerNode=20, maxMemoryInMB=1024)
     return _tree_fit(prep, gbt, BOOSTING, weighted=False)
 
 

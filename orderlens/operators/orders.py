@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orderlens.functions.columns import (
-    first_non_missing, has_many_values, map_values, money_sum, sum0,
+    first_non_missing, has_many_values, line_order_keys, map_values, money_sum, quantity_sum,
 )
 from orderlens.functions.contracts import present, require_columns
 from orderlens.functions.shapes import distinct_count, flag_first_values
@@ -39,13 +39,13 @@ STATUS_TO_TIMING = {
 DEFAULT_LINE_ORDER = ("order_item_id",)
 
 
-def _line_order(df: DataFrame, line_order: Sequence[str] | None) -> list[str]:
+def _line_order(df: DataFrame, line_order: Sequence[str] | None) -> list[Column]:
     order = list(line_order or DEFAULT_LINE_ORDER)
     missing = [c for c in order if c not in df.columns]
     if missing:
         raise ValueError(f"line-order columns absent: {missing}; pass line_order= or add an "
                          "ordinal at ingest")
-    return order
+    return line_order_keys(df, order)
 
 
 def field_conflicts(df: DataFrame, key: str = "order_id",
@@ -112,7 +112,7 @@ def build_orders_with_rule(df: DataFrame, line_order: Sequence[str] | None = Non
               "sum": money_sum("order_profit_per_order")}
     aggs = [
         money_sum("order_item_total").alias("revenue"),
-        sum0("order_item_quantity").cast("long").alias("quantity"),
+        quantity_sum(df, "order_item_quantity").alias("quantity"),
         *([profit["first"].alias("__profit_first"), profit["sum"].alias("__profit_sum"),
            has_many_values("order_profit_per_order").alias("__profit_many")]
           if profit_rule == "auto" else [profit[profit_rule].alias("order_profit_per_order")]),

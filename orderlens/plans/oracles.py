@@ -10,7 +10,6 @@ from __future__ import annotations
 from orderlens.sources.fixtures import FX_LINES_COLUMNS, fx_lines_raw_sql, fx_lines_sql, fx_scores_sql
 from orderlens.sources.io import PANDAS_NA_TOKENS
 
-MONEY = "DECIMAL(18,4)"
 
 LINE_DIMS = ("shipping_mode", "market", "order_region", "category_name", "customer_segment")
 ORDER_DIMS = ("shipping_mode", "market", "order_region", "customer_segment")
@@ -21,7 +20,8 @@ LINE_ORDER_SQL = "line_no, order_item_cardprod_id, supp_key, sales"
 
 
 def msum(x: str) -> str:
-    return f"CAST(coalesce(sum(CAST({x} AS {MONEY})), 0) AS DOUBLE)"
+    """Sum of the values as they are written, to 18 decimals; texts between, as the casts round."""
+    return f"coalesce(CAST(CAST(sum(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38,18))) AS VARCHAR) AS DOUBLE), 0.0::DOUBLE)"
 
 
 def mean(x: str) -> str:
