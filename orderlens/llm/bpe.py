@@ -108,31 +108,38 @@ class UnitEncoder:
         return self._joined([self.find(t) for t in texts])
 
     def _joined(self, found: list[list[str]]) -> list[bytes]:
-        new = set().union(*found).difference(self.words)
+        ids = self._ids_of(set().union(*found))
+        return [b"".join(map(ids, f)) for f in found]
+
+    def _ids_of(self, wanted: set[str]):
+        """Lookup of the ids of words, after those not met before were encoded."""
+        new = wanted.difference(self.words)
         if new:
             if len(self.words) + len(new) > self.limit:
                 self.words.clear()
-                new = set().union(*found)
+                new = wanted
             new = list(new)
             self.words.update(zip(new, self.encode_many(new)))
-        return [b"".join(map(self.words.__getitem__, f)) for f in found]
+        return self.words.__getitem__
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         cut = [t.replace("\n", " \n").split(" ") for t in texts]
-        ends = [c.pop() if len(c) > 1 and c[-1] == "\n" else "" for c in cut]
-        heads = self.matched([c[0] for c in cut])
-        found = [list(map(self.units.get, c[1:])) for c in cut]
-        if any(None in ids for ids in found):
-            new = {u for c, ids in zip(cut, found) if None in ids for u, x in zip(c[1:], ids) if x is None}
+        heads = [c.pop(0) for c in cut]
+        ends = [c.pop() if c and c[-1] == "\n" else "" for c in cut]
+        found = [list(map(self.units.get, c)) for c in cut]
+        fresh = [c for c, ids in zip(cut, found) if None in ids]
+        if fresh:
+            wanted = set().union(*fresh)
+            new = wanted.difference(self.units)
             if len(self.units) + len(new) > self.limit:
                 self.units.clear()
-                new = {u for c, ids in zip(cut, found) if None in ids for u in c[1:]}
+                new = wanted
             self._add(new)
-            found = [list(map(self.units.get, c[1:])) if None in ids else ids for c, ids in zip(cut, found)]
+            found = [list(map(self.units.get, c)) if None in ids else ids for c, ids in zip(cut, found)]
         out = []
-        for text, head, first, ids, end in zip(texts, cut, heads, found, ends):
+        for text, head, first, ids, end in zip(texts, heads, self.matched(heads), found, ends):
             try:
-                if head[0] and (head[0][0].isspace() or head[0][-1].isspace()):
+                if head and (head[0].isspace() or head[-1].isspace()):
                     raise TypeError
                 out.append(b"".join([first, *ids, *(self.matched([end]) if end else [])]))
             except TypeError:  # white space touches white space
@@ -140,11 +147,13 @@ class UnitEncoder:
         return out
 
     def _add(self, new: set[str]) -> None:
-        body = [u[1:] if u[:1] == "\n" else u for u in new]
-        sound = [u for u, b in zip(new, body) if b and not b[0].isspace() and not b[-1].isspace()]
         self.units.update(dict.fromkeys(new, False))
-        found = [self._words_of(u) for u in sound]
-        self.units.update(zip(sound, self._joined(found)))
+        plain = [u for u in new if u.isalpha()]  # letters alone are one word
+        sound = [u for u in new if not u.isalpha() and (body := u[1:] if u[:1] == "\n" else u) and body.strip() == body]
+        found, words = [self._words_of(u) for u in sound], [" " + u for u in plain]
+        ids = self._ids_of(set(words).union(*found))
+        self.units.update(zip(plain, map(ids, words)))
+        self.units.update(zip(sound, [b"".join(map(ids, f)) for f in found]))
 
     def _words_of(self, unit: str) -> list[str]:
         """The words of a unit; letters, and letters before one mark, need no matching."""
