@@ -16,6 +16,7 @@ because all 256 single bytes have a rank.
 from __future__ import annotations
 
 import base64
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,8 @@ from orderlens.llm.shared import in_process, map_text, text_or_empty
 
 #: distinct words, and units, that a task keeps at most; beyond it they are forgotten and encoded anew
 CACHE_WORDS = 700_000
+#: marks that are a word of their own after letters and before white space
+MARKS = frozenset(".,;:!?")
 #: slots of the literal rank table
 SLOTS = 1 << 16
 
@@ -147,22 +150,26 @@ class UnitEncoder:
         return out
 
     def _add(self, new: set[str]) -> None:
-        self.units.update(dict.fromkeys(new, False))
-        plain = [u for u in new if u.isalpha()]  # letters alone are one word
-        sound = [u for u in new if not u.isalpha() and (body := u[1:] if u[:1] == "\n" else u) and body.strip() == body]
-        found, words = [self._words_of(u) for u in sound], [" " + u for u in plain]
-        ids = self._ids_of(set(words).union(*found))
+        # letters, and letters before one mark, need no matching
+        plain = [u for u in new if u.isalpha()]
+        marked = [u for u in new if u[-1:] in MARKS and u[:-1].isalpha()]
+        rest = new.difference(plain, marked)
+        self.units.update(dict.fromkeys(rest, False))
+        rest = [u for u in rest if (body := u[1:] if u[:1] == "\n" else u) and body.strip() == body]
+        found = [self._words_of(u) for u in rest]
+        words, stems, marks = [" " + u for u in plain], [" " + u[:-1] for u in marked], [u[-1] for u in marked]
+        ids = self._ids_of({*words, *stems, *marks}.union(*found))
         self.units.update(zip(plain, map(ids, words)))
-        self.units.update(zip(sound, [b"".join(map(ids, f)) for f in found]))
+        self.units.update(zip(marked, map(add, map(ids, stems), map(ids, marks))))
+        self.units.update(zip(rest, [b"".join(map(ids, f)) for f in found]))
 
     def _words_of(self, unit: str) -> list[str]:
-        """The words of a unit; letters, and letters before one mark, need no matching."""
-        lead, body = ("\n", unit[1:]) if unit[0] == "\n" else ("", unit)
-        if body.isalpha():
-            return [lead, body] if lead else [" " + body]
-        if body[-1] in ".,;:!?" and body[:-1].isalpha():
-            return [lead, body[:-1], body[-1]] if lead else [" " + body[:-1], body[-1]]
-        return self.find(unit if lead else " " + unit)
+        """The words of a unit that stands at a line's start, or after a space."""
+        if unit[0] != "\n":
+            return self.find(" " + unit)
+        if unit[1:].isalpha():
+            return ["\n", unit[1:]]
+        return ["\n", unit[1:-1], unit[-1]] if unit[-1] in MARKS and unit[1:-1].isalpha() else self.find(unit)
 
 
 class MergeTable:

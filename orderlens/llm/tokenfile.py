@@ -21,6 +21,7 @@ import os
 import struct
 import zlib
 from array import array
+from itertools import accumulate, chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -51,11 +52,24 @@ def library_words(path: str):
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
 
-    merge, alphabet = tokenizer.model.tokenize, byte_alphabet()
+    merge, hidden = tokenizer.model.tokenize, [(chr(b), c) for b, c in byte_alphabet().items() if chr(b) != c]
+
+    def spelled(words: list[str]) -> list[str]:
+        """The words in the vocabulary's byte characters, all in one pass where no word holds a NUL."""
+        text = "\0".join(words).encode("utf-8").decode("latin-1")
+        if text.count("\0") != len(words) - 1:
+            return [spelled([w])[0] if "\0" not in w else "\u0100".join(spelled(w.split("\0"))) for w in words]
+        for b, c in hidden:
+            if b != "\0" and b in text:
+                text = text.replace(b, c)
+        return text.split("\0")
 
     def many(words: list[str]) -> list[bytes]:
         # a word is one match of the pre-tokenizer, so its byte characters can go to the library's model at once
-        return [array("I", [t.id for t in merge(w.encode("utf-8").decode("latin-1").translate(alphabet))]).tobytes() for w in words]
+        found = [[t.id for t in merge(w)] for w in spelled(words)]
+        flat = array("I", chain.from_iterable(found)).tobytes()
+        ends = list(accumulate(map(len, found), initial=0))
+        return [flat[4 * i:4 * j] for i, j in pairwise(ends)]
 
     return many
 
@@ -70,8 +84,11 @@ def byte_alphabet() -> dict[int, str]:
 
 def train_dictionary(docs: DataFrame, path: str, pattern: str) -> bytes:
     """A dictionary trained on the serialized ids of a bounded sample."""
-    rows = (docs.select("id", "t").where(F.octet_length("t") <= SAMPLE_BYTES)
-            .orderBy(F.xxhash64("id", F.lit(1)), F.xxhash64("t")).limit(SAMPLE_DOCS).collect())
+    h = F.xxhash64("id", F.lit(1))
+    # the ids alone first: a limit on whole rows would send so many texts from every task to the driver
+    least = [r.h for r in docs.select(h.alias("h")).orderBy("h").limit(SAMPLE_DOCS).collect()]
+    rows = (docs.select("id", "t").where((h <= F.lit(max(least, default=0))) & (F.octet_length("t") <= SAMPLE_BYTES))
+            .orderBy(h, F.xxhash64("t")).limit(SAMPLE_DOCS).collect())
     encoder = UnitEncoder(pattern, library_words(path))
     samples = encoder([r.t for r in rows])
     try:
