@@ -248,7 +248,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     more = store(_across(members), "across").join(links, ["u", "v"], "left_anti")
     late = store(confirm(store(more, "late"), texts, nodes), "late-links")
     if not late.isEmpty():
-        found = store(components(links.unionByName(late)), "components")
+        joined = found.where("node != component").select(F.col("node").alias("u"), F.col("component").alias("v"))
+        found = store(components(joined.unionByName(late)), "components")
     of_class = classes.select("s1", "s2", "n", "node").join(found, "node", "left").select(
         "s1", "s2", "n", F.coalesce("component", "node").alias("c"))
     return (rows.select("id", "n", "s1", "s2").join(of_class, ["s1", "s2", "n"], "left")
