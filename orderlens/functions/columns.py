@@ -130,12 +130,6 @@ def nan_to_null(c: str | Column) -> Column:
     return F.when(~F.isnan(col(c)), col(c))
 
 
-def safe_double(c: str | Column) -> Column:
-    """Bad text becomes NULL; NaN becomes NULL too."""
-    return nan_to_null(F.expr(f"try_cast({c} as double)") if isinstance(c, str)
-                       else c.try_cast("double"))
-
-
 # Bin edges and labels of the reference's risk levels.
 RISK3_EDGES = (0.0, 0.40, 0.70, 1.0)
 RISK3_LABELS = ("Low", "Medium", "High")

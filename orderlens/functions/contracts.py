@@ -48,11 +48,3 @@ def assert_unique(df: DataFrame, key: str, table: str = "input") -> DataFrame:
     if dup.count():
         raise ContractError(f"duplicate {key} in {table}")
     return df
-
-
-def assert_no_orphans(joined: DataFrame, column: str = "revenue") -> DataFrame:
-    """Abort when a scored order has no order data after the left join,
-    i.e. ``column`` is missing (absent order or missing value)."""
-    if joined.filter(F.col(column).isNull()).limit(1).count():
-        raise ContractError(f"scored orders without {column} in the order table")
-    return joined

@@ -74,13 +74,22 @@ def order_features(lines: DataFrame, line_order: Sequence[str], with_profit: boo
     })
 
 
-def _sort_key(df: DataFrame, column: str):
-    t = df.schema[column].dataType
+def _sort_keys(df: DataFrame, column: str) -> list:
+    """Whole numbers that order a column. Texts: whole numbers first, by value, then the
+    others by their bytes, seven to a key (the longest text is one more small aggregate)."""
+    t, c = df.schema[column].dataType, F.col(column)
     if isinstance(t, DateType):
-        return F.unix_date(F.col(column)).cast("long")
+        return [F.unix_date(c).cast("long")]
     if isinstance(t, (TimestampType, TimestampNTZType)):
-        return F.unix_micros(F.col(column).cast("timestamp"))
-    return F.col(column).cast("long")
+        return [F.unix_micros(c.cast("timestamp"))]
+    if not isinstance(t, StringType):
+        return [c.cast("long")]
+    text = F.encode(F.coalesce(c, F.lit("")), "UTF-8")
+    size = F.octet_length(text).cast("long")
+    longest = df.agg(F.max(size)).first()[0] or 0
+    chunks = [F.conv(F.rpad(F.hex(F.substring(text, 1 + i, 7)), 14, "0"), 16, 10).cast("long")
+              for i in range(0, longest, 7)]
+    return [F.coalesce(F.trim(c).try_cast("long"), F.lit((1 << 63) - 1)), *chunks, size]
 
 
 def time_split(features: DataFrame, frac: float = TRAIN_FRACTION,
@@ -89,7 +98,7 @@ def time_split(features: DataFrame, frac: float = TRAIN_FRACTION,
     'train', the rest 'test'. The boundary key is found exactly with a few
     distributed histogram passes (``functions.selection``), not a global sort
     into one partition; the split itself is then a plain filter expression."""
-    keys = [_sort_key(features, c) for c in order]
+    keys = [k for c in order for k in _sort_keys(features, c)]
     narrow = features.select(*[k.alias(f"__k{i}") for i, k in enumerate(keys)]) \
         .persist(StorageLevel.MEMORY_AND_DISK)
     try:

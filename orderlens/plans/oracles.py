@@ -527,7 +527,7 @@ ORACLES.update({
     "g2_join_scores": ctes(**{k: G_CTES[k] for k in ("fx_lines", "orders_t", "scores", "sc", "joined")})
     + "\nSELECT * FROM joined",
     "g4_orphan_scores": ctes(**{k: G_CTES[k] for k in ("fx_lines", "orders_t", "scores", "sc")})
-    + "\nSELECT * FROM sc WHERE order_id NOT IN (SELECT order_id FROM orders_t)",
+    + "\nSELECT * FROM sc WHERE order_id NOT IN (SELECT order_id FROM orders_t WHERE loss_flag = 0)",
     "g10_decision_table": ctes(**G_CTES) + "\nSELECT * FROM dec",
     "g11_risk_distribution": ctes(**G_CTES) + """
 SELECT level_order, l.risk_level, CAST(coalesce(n, 0) AS BIGINT) AS orders FROM

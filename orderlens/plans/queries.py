@@ -18,7 +18,20 @@ def _lines(spark, d):
 
 
 def _orders(spark, d):
-    return orders.build_orders(fx_lines(spark, d), line_order=LINE_ORDER, profit_rule="auto")
+    # the profit rule comes from a two-column aggregate, so the order table stays a
+    # lazy plan that each query prunes down to the scan
+    return orders.build_orders(fx_lines(spark, d), LINE_ORDER, orders.choose_profit_rule(fx_lines(spark, d)))
+
+
+def _timing_groups(spark, d):
+    # no profit column is read, so the rule need not be found
+    return orders.build_orders(fx_lines(spark, d), LINE_ORDER, "sum").select("delivery_timing_group")
+
+
+def _orders_profile(spark, d):
+    lines = fx_lines(spark, d)
+    rule = orders.choose_profit_rule(lines)
+    return orders.orders_profile(lines, orders.build_orders(lines, LINE_ORDER, rule), rule)
 
 
 def _line_bd(spark, d):
@@ -46,11 +59,10 @@ QUERIES: dict[str, Query] = {
     "d1_field_conflicts": lambda s, d: orders.field_conflicts(fx_lines(s, d)),
     "d2_profit_constant": lambda s, d: orders.profit_constant_per_order(fx_lines(s, d)),
     "d4_build_orders": _orders,
-    "d9_timing_counts": lambda s, d: orders.value_counts(_orders(s, d), "delivery_timing_group"),
-    "d10_orders_profile": lambda s, d: orders.orders_profile(
-        fx_lines(s, d), _orders(s, d), orders.choose_profit_rule(fx_lines(s, d))),
+    "d9_timing_counts": lambda s, d: orders.value_counts(_timing_groups(s, d), "delivery_timing_group"),
+    "d10_orders_profile": _orders_profile,
     # E: order-level KPIs
-    "e7_order_kpis": lambda s, d: order_kpi.order_kpis(_orders(s, d)),
+    "e7_order_kpis": lambda s, d: order_kpi.order_kpis(_orders(s, d), unique_keys=True),
     "e8_order_breakdown": _order_bd,
     "e11_worst_late_orders": lambda s, d: order_kpi.worst_late_orders(_order_bd(s, d)),
     "e11_worst_late_orders_600": lambda s, d: order_kpi.worst_late_orders(_order_bd(s, d), min_orders=600),
@@ -147,10 +159,10 @@ def _model_scores(built):
 def _joined(join):
     # one order table feeds both sides of the score join; each side prunes it
     # differently, so a lazy table would be planned twice (lineitem scan, joins,
-    # shuffles). ``_orders`` ("auto" profit rule) is built once into a reliable
+    # shuffles). With the "auto" profit rule it is built once into a reliable
     # checkpoint in spark.checkpoint.dir that keeps its partitioning by order_id.
     def q(s, d):
-        built = _orders(s, d)
+        built = orders.build_orders(fx_lines(s, d), LINE_ORDER, "auto")
         return join(_model_scores(built), built)
     return q
 
@@ -160,7 +172,8 @@ _decision = _joined(decision.decision_table)
 
 QUERIES.update({
     "g2_join_scores": _joined(decision.join_scores),
-    "g4_orphan_scores": _joined(decision.orphan_scores),
+    # against an order table without loss-making orders, so that there are orphans to find
+    "g4_orphan_scores": _joined(lambda sc, built: decision.orphan_scores(sc, built.where("loss_flag = 0"))),
     "g10_decision_table": _decision,
     "g11_risk_distribution": lambda s, d: decision.risk_distribution(_decision(s, d)),
     "g12_confusion_counts": lambda s, d: decision.confusion_counts(_decision(s, d)),

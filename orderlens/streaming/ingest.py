@@ -28,11 +28,12 @@ def line_stream(spark: SparkSession, input_dir: str, schema: StructType,
 
 def ingest_clean_lines(spark: SparkSession, input_dir: str, schema: StructType, output_dir: str,
                        checkpoint_dir: str, available_now: bool = True) -> StreamingQuery:
-    """Clean every new file (B1-B12) and append it to ``output_dir``."""
-    def write_batch(batch: DataFrame, batch_id: int) -> None:
-        prepare_lines(batch).write.mode("append").parquet(output_dir)
+    """Clean every new file (B1-B12) and append it to ``output_dir``.
 
-    writer = (line_stream(spark, input_dir, schema).writeStream
-              .foreachBatch(write_batch).option("checkpointLocation", checkpoint_dir))
+    The file sink's own log says which batches are committed, so a batch that was
+    written but not committed is not seen twice after a restart."""
+    writer = (prepare_lines(line_stream(spark, input_dir, schema)).writeStream
+              .format("parquet").outputMode("append").option("path", output_dir)
+              .option("checkpointLocation", checkpoint_dir))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
     return writer.start()

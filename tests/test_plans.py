@@ -4,8 +4,8 @@ operator is designed without one."""
 
 import pytest
 
-import __spark_entry__ as E
 from orderlens.operators import clean, features, line_kpi, orders
+from orderlens.plans.queries import QUERIES
 from orderlens.sources.fixtures import LINE_ORDER, fx_lines
 
 MODEL = {"f19_logistic_scores", "f26_fitted_comparison"}
@@ -25,9 +25,9 @@ def static(spark):
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-@pytest.mark.parametrize("name", sorted(set(E.queries()) - MODEL))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - MODEL))
 def test_no_cross_or_nested_loop_join(static, sf, name):
-    p = plan(E.queries()[name](static, sf))
+    p = plan(QUERIES[name](static, sf))
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
 
 
@@ -52,6 +52,15 @@ def test_order_build_reuses_join_partitioning(static, sf):
     assert "Expand" not in p
 
 
+def test_order_queries_are_lazy_and_pruned(static, sf):
+    # no checkpointed order table in between: the plan reaches the scans, and
+    # the timing counts read neither money nor quantities
+    for name in ("d4_build_orders", "d9_timing_counts", "e7_order_kpis", "e8_order_breakdown"):
+        assert "ExistingRDD" not in plan(QUERIES[name](static, sf)), name
+    p = plan(QUERIES["d9_timing_counts"](static, sf))
+    assert "lineitem" in p and "l_tax" not in p and "sum(" not in p
+
+
 def test_order_grain_reads_lines_once(static, sf):
     # the distinct counts are flags inside the one per-order aggregate: the
     # line fixture (lineitem scan, its joins and shuffles) is planned once

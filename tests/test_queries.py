@@ -4,6 +4,8 @@ runs the same comparison at sf0.01)."""
 import pytest
 
 import __spark_entry__ as E
+from orderlens.plans.oracles import ORACLES
+from orderlens.plans.queries import QUERIES
 from tools.compare import compare, open_duckdb
 
 HEAVY = {"f19_logistic_scores", "f26_fitted_comparison"}
@@ -22,7 +24,12 @@ def test_query_matches_oracle(spark, sf, con, name):
 
 
 def test_every_query_has_oracle_or_is_model_fit():
-    assert set(E.queries()) - set(E.oracle_sql()) == HEAVY
+    assert set(QUERIES) - set(ORACLES) == HEAVY
+    assert set(QUERIES) <= set(E.queries())
+
+
+def test_orphan_scores_are_found(spark, sf):
+    assert QUERIES["g4_orphan_scores"](spark, sf).count() > 0
 
 
 def test_entry(spark):

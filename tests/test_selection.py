@@ -118,3 +118,12 @@ def test_select_best_on_published_grid(spark):
     for m in {r[0] for r in THRESHOLD_ROWS}:
         rows = sorted((r for r in THRESHOLD_ROWS if r[0] == m), key=lambda r: r[1])
         assert all(a[6] >= b[6] and a[4] >= b[4] for a, b in zip(rows, rows[1:]))
+
+
+def test_time_split_text_ids(spark):
+    ids = ["A-6", "A-10", "10", "9", "", "A-6 with a longer tail", "é", "A", "B-1", "2"]
+    df = spark.createDataFrame([(i, "2020-01-01") for i in ids], "order_id string, d string") \
+        .select("order_id", F.to_date("d").alias("order_date"))
+    out = features.time_split(df)
+    want = sorted(ids, key=lambda x: (int(x) if x.isdigit() else 1 << 63, x.encode()))
+    assert {r.order_id for r in out.filter("split = 'train'").collect()} == set(want[:8])
