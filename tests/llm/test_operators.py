@@ -191,6 +191,12 @@ def test_language_model_is_a_distribution():
     assert total == pytest.approx(1, abs=1e-3)
 
 
+def test_language_model_learns_from_every_position():
+    begin = np.array([0, 1, 1, 8, 13, 2013])
+    seen = np.concatenate([maxent.positions(begin, k) for k in range(maxent.ROUNDS)])
+    assert sorted(seen) == list(range(2013))
+
+
 def test_language_model_odd_rows(odd, none):
     assert maxent.score_documents(odd).count() == len(ODD) and maxent.score_documents(none).count() == 0
 
