@@ -191,6 +191,31 @@ def test_language_model_is_a_distribution():
     assert total == pytest.approx(1, abs=1e-3)
 
 
+def test_language_model_histories_are_words():
+    """Two rare words of the same first bytes are different histories, and what follows them is learned."""
+    text = " ".join(["xxrareone left", "xxraretwo right"] * 400)
+    h, bucket, begin = maxent.tokens(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))
+    words, count = np.unique(h.view(np.int64), return_counts=True)
+    own = [int(x) for x in h[[1, 3]].view(np.int64)]  # left, right: the only words of their own
+    m = maxent.Model([(w, int(c)) for w, c in zip(words, count) if w in own], {int(bucket[0]): (800, 2)})
+    assert bucket[0] == bucket[2]
+    state = [np.zeros_like(m.class_weights), np.zeros_like(m.word_weights)]
+    for _ in range(20):
+        m.learn(m.outputs(h, bucket), h, begin, np.arange(len(h)), state)
+    only = h[[0, 1, 0, 3]], bucket[[0, 1, 0, 3]], np.array([0, 2, 4])  # each word after xxrareone alone
+    s = m.score(m.outputs(*only[:2]), only[2], only[0])
+    assert s[1] > s[3] + 0.3
+
+
+def test_language_model_size_follows_the_corpus():
+    small, large = maxent.sizes(5_000), maxent.sizes(50_000_000)
+    assert small == (maxent.CLASS_SIZE, maxent.CLASS_ROWS) and large[0] ** 2 > 4 * maxent.OUTPUTS and large[1] > 10 * maxent.CLASS_ROWS
+    m = maxent.Model([(k + 1, 5000 - k) for k in range(20 * 20 - maxent.BUCKETS)], {b: (50, 7) for b in range(maxent.BUCKETS)}, 20, 1 << 15)
+    assert m.class_weights.shape == (1 << 15, 20) and m.word_weights.shape == (1 << 16, 20)
+    m.class_weights += np.random.default_rng(0).normal(0, 1, m.class_weights.shape).astype(np.float32)
+    assert sum(10 ** m.score(np.array([3, 5, out]), np.array([0, 3]))[2] for out in range(400)) == pytest.approx(1, abs=1e-3)
+
+
 def test_language_model_learns_from_every_position():
     begin = np.array([0, 1, 1, 8, 13, 2013])
     seen = np.concatenate([maxent.positions(begin, k) for k in range(maxent.ROUNDS)])
