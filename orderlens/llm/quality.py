@@ -9,6 +9,8 @@ through inside ``doc`` so that no name can clash; an empty table gives an empty
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +27,8 @@ BOILERPLATE = [
     "terms of service", "terms of use", "privacy policy", "cookie policy", "uses cookies",
     "click here", "sign up", "log in", "subscribe to our", "powered by", "javascript is disabled",
 ]
+#: a boilerplate phrase fails a line of at most so many words, or one whose word characters it covers to more than half
+SHORT_LINE = 16
 #: a document is rejected when more than this share (percent) of its word characters is on failing lines
 MAX_LOST_PERCENT = 40
 #: a line fails as noise with at least so many marks, and more than so many marks in a hundred characters
@@ -44,6 +48,23 @@ def split_words(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(text, WHITE, " " * len(WHITE)), " ", -1), "")
 
 
+def _phrase(text: str) -> str:
+    """Pattern of a phrase that no letter, digit or underscore continues on either side."""
+    before, after = (r"(?<![\p{L}\p{N}_])" * text[0].isalnum(), r"(?![\p{L}\p{N}_])" * text[-1].isalnum())
+    return before + re.sub(r"([^\w\s])", r"\\\1", text) + after
+
+
+def _boilerplate(line: Column) -> Column:
+    low = F.lower(line)
+    hit = F.lit(False)
+    for phrase in BOILERPLATE:  # a plain search first: few lines need the patterns
+        hit = hit | F.contains(low, F.lit(phrase))
+    rest = F.regexp_replace(low, "|".join(map(_phrase, BOILERPLATE)), "")
+    size = _word_chars(low)
+    covered = size - _word_chars(rest)
+    return hit & (covered > 0) & ((F.size(split_words(line)) <= SHORT_LINE) | (covered * 2 > size))
+
+
 def line_fails(line: Column) -> Column:
     """True for a line that the punctuation, navigation or boilerplate rules remove."""
     marks = _count(line, BASE_SYMBOLS + "!?=_~^")
@@ -52,11 +73,7 @@ def line_fails(line: Column) -> Column:
     bare = (size > 0) & ~line.rlike(r"[\p{L}\p{N}]")
     separators = _count(line, NAV_MARKS)
     navigation = (separators >= 3) & (separators * 4 >= F.size(split_words(line)))
-    low = F.lower(line)
-    boiler = F.lit(False)
-    for phrase in BOILERPLATE:
-        boiler = boiler | F.contains(low, F.lit(phrase))
-    return noise | bare | navigation | boiler
+    return noise | bare | navigation | _boilerplate(line)
 
 
 def _next(array: str, by: int) -> Column:

@@ -55,6 +55,20 @@ def test_quality_keeps_prose_and_rejects_noise(spark):
     assert out[1] == (True, prose) and out[2] == (True, prose) and not out[3][0] and not out[4][0]
 
 
+def test_quality_boilerplate_needs_whole_phrases_and_short_lines(spark):
+    prose = " ".join(f"plain{k}" for k in range(30))
+    one_line = f"{prose} click here {prose.replace('plain', 'more')}"
+    kept = ["the catalog in the hall lists every dialog in the play", "our design update and the blog in question",
+            prose + " then click here © to read on " + prose, f"{prose} released under pressure, {prose}"]
+    lost = ["Click here to log in.", "© 2020 A Company", "Copyright (c) 2020 A Company", "(All rights reserved)", "PRIVACY POLICY",
+            "sign up log in terms of service terms of use privacy policy cookie policy click here powered by us all"]
+    texts = [(k, f"{prose}\n{prose[::-1]}\n{x}") for k, x in enumerate(kept + lost)] + [(99, one_line)]
+    out = {r.i: (r.clean_text, r.kept) for r in quality.quality_rules(spark.createDataFrame(texts, "doc_id long, text string"))
+           .select(F.col("doc.doc_id").alias("i"), "quality.clean_text", "quality.kept").collect()}
+    assert [k for k in range(len(texts) - 1) if out[k][0] == texts[k][1]] == list(range(len(kept)))
+    assert out[99] == (one_line, True)
+
+
 def test_quality_odd_rows(odd, none):
     out = quality.quality_rules(odd).select("doc.*", F.col("quality.kept").alias("kept"))
     assert out.count() == len(ODD) and quality.quality_rules(none).count() == 0
