@@ -192,11 +192,17 @@ QUERIES.update({
 from orderlens.plans import jobs  # noqa: E402
 
 
-def _logistic_run(s, d):
-    return jobs.model_comparison_run(s, fx_lines(s, d), LINE_ORDER, which=("baseline", "logistic"))
+def _all_models_run(s, d):
+    return jobs.model_comparison_run(s, fx_lines(s, d), LINE_ORDER)
 
 
 QUERIES.update({
     "f19_logistic_scores": lambda s, d: jobs.fitted_scores(s, fx_lines(s, d), LINE_ORDER, "logistic"),
-    "f26_fitted_comparison": lambda s, d: _logistic_run(s, d)["comparison"].drop("fit_seconds"),
+    "f26_fitted_comparison": lambda s, d: _all_models_run(s, d)["comparison"].drop("fit_seconds"),
 })
+
+#: full-size fits of F17 and F18 (minutes each): registered beside QUERIES, which the oracle and plan tests go through
+FOREST_AND_BOOSTING = {
+    "f17_forest_scores": lambda s, d: jobs.fitted_scores(s, fx_lines(s, d), LINE_ORDER, "forest"),
+    "f18_boosting_scores": lambda s, d: jobs.fitted_scores(s, fx_lines(s, d), LINE_ORDER, "boosting"),
+}

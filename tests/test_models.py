@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as E
 from orderlens.operators import models
 from orderlens.plans import jobs
 from orderlens.sources.fixtures import LINE_ORDER, fx_lines
@@ -44,3 +45,15 @@ def test_same_seed_same_scores(spark, sf, run):
     a = run["scores"].filter(F.col("model") == models.FOREST).select("order_id", "late_delivery_probability")
     b = again["scores"].select("order_id", "late_delivery_probability")
     assert a.exceptAll(b).count() == 0
+
+
+def test_registered_queries_fit_all_four_models(spark, sf, monkeypatch):
+    """The registered queries at a small forest and few rounds: every model has its rows."""
+    full = jobs.model_comparison_run
+    monkeypatch.setattr(jobs, "model_comparison_run", lambda s, lines, order, which=jobs.ALL_MODELS: full(
+        s, lines, order, which=which, forest_trees=5, boosting_rounds=3))
+    names = {r.model for r in E.queries()["f26_fitted_comparison"](spark, sf).collect()}
+    assert names == {models.BASELINE, models.LOGISTIC, models.FOREST, models.BOOSTING}
+    for query, model in (("f17_forest_scores", models.FOREST), ("f18_boosting_scores", models.BOOSTING)):
+        scores = E.queries()[query](spark, sf)
+        assert scores.count() == 1473 - int(1473 * 0.8) and {r.model for r in scores.select("model").distinct().collect()} == {model}
