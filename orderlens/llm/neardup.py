@@ -36,6 +36,8 @@ M, R = 16, 3
 BINS = 512
 #: percent of the filled bins that must agree before sets are compared (75 less 4 standard deviations)
 AGREE = 67
+#: pairs with fewer filled bins go to the exact check untested: colliding bins weigh too much there
+FEW_BINS = 32
 #: members of a bucket that are compared in one block
 BLOCK = 1024
 
@@ -123,9 +125,9 @@ def table_keys(nodes: DataFrame) -> DataFrame:
 
 
 def _agree(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Whether signatures agree in enough of the bins that either has filled."""
+    """Whether signatures agree in enough of the bins that either has filled, or fill too few to tell."""
     filled = ((left > 0) | (right > 0)).sum(axis=1)
-    return 100 * ((left == right) & (left > 0)).sum(axis=1) >= AGREE * filled
+    return (filled < FEW_BINS) | (100 * ((left == right) & (left > 0)).sum(axis=1) >= AGREE * filled)
 
 
 def promising(pairs: DataFrame, nodes: DataFrame) -> DataFrame:

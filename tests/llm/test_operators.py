@@ -316,6 +316,16 @@ def test_near_duplicates(spark, sf, docs):
     assert rows(spark, sf, "op10_near_duplicates", ["doc_id", "n_shingles", "component_id", "kept"]) == brute.near(docs)
 
 
+def test_near_duplicates_filter_loses_no_small_sets():
+    r = np.random.default_rng(3)
+    for n in (4, 8, 20):  # a quarter of the shingles is missing: exactly 75 %
+        full = r.integers(0, 1 << 63, (1500, n), dtype=np.uint64)
+        left, right = (neardup.sketch(np.sort(x, axis=1).reshape(-1), np.arange(0, x.size + 1, x.shape[1]))[3] for x in (full, full[:, :3 * n // 4]))
+        assert neardup._agree(left, right).all()
+    other = neardup.sketch(np.sort(r.integers(0, 1 << 63, (50, 200), dtype=np.uint64), axis=1).reshape(-1), np.arange(0, 50 * 200 + 1, 200))[3]
+    assert not neardup._agree(other[:25], other[25:]).any()
+
+
 def test_near_duplicates_chain_and_odd_rows(spark, odd, none):
     words = [f"w{k}" for k in range(400)]
     chain = []
