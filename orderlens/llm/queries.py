@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, and the SQL that must give the same rows."""
+"""The registered queries of the operators, and the SQL that must give the same rows."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderlens.llm import bpe, chat, decontam, maxent, neardup, pii, quality, repeats, sharding, tokenfile
+from orderlens.llm import bpe, chat, decontam, hardneg, maxent, neardup, phrases, pii, quality, repeats, sharding, tokenfile, urltrie
 from orderlens.llm.oracles import ORACLES as ORACLES
 
 
@@ -88,6 +88,28 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_documents(spark, sf_dir))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.col("label").cast("long")
+    label = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    out = hardneg.mine_hard_negatives(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+    return out.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+
+
+#: the contract's rules: (host, path, verdict)
+URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    out = urltrie.judge_urls(_read(spark, sf_dir, "pages").select("page_id", "url"), rules)
+    return out.select("page.page_id", "host", "path", "rule", "verdict")
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_read(spark, sf_dir, "documents").select("lang", "text"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_chat_format, op3_minimax_shards, op4_byte_bpe, op5_decontaminate,
-    op6_maxent_score, op7_token_files, op8_repeated_substrings, op9_personal_data, op10_near_duplicates)}
+    op6_maxent_score, op7_token_files, op8_repeated_substrings, op9_personal_data, op10_near_duplicates,
+    op11_hard_negatives, op12_url_filter, op13_collocations)}

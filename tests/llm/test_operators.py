@@ -356,4 +356,4 @@ def test_pipeline(spark, sf, odd, none, tmp_path):
 
 
 def test_queries_are_plain_json_names():
-    assert json.dumps(sorted(QUERIES)) and len(QUERIES) == 10
+    assert json.dumps(sorted(QUERIES)) and len(QUERIES) == 13
