@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -42,6 +42,12 @@ def assert_dates(df: DataFrame, column: str) -> DataFrame:
     return df
 
 
+def known_date(value: Column, missing: Column, column: str) -> Column:
+    """F1 inside a plan: ``value``, or the job ends with an error where ``missing`` counts any
+    missing (unparsable) value of ``column``. No pass of its own over the data."""
+    return F.when(missing > 0, F.raise_error(F.lit(f"invalid values in {column}")).cast("timestamp")).otherwise(value)
+
+
 def assert_unique(df: DataFrame, key: str, table: str = "input") -> DataFrame:
     """Abort when a key occurs twice (one-to-one join validation)."""
     dup = df.groupBy(key).count().filter(F.col("count") > 1).limit(1)

@@ -1,16 +1,17 @@
 """Cleaning, derivations and data-quality profile of order lines.
 
 B1-B12 are one projection (Catalyst collapses the chained ``select``s); the
-only shuffle is the exact de-duplication, and the profile (B13, B15, B16)
-is computed from that same grouped table.
+only shuffle is the exact de-duplication, over the columns read and not the
+derived ones, and the profile (B13, B15, B16) is computed from that same
+grouped table.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -26,14 +27,8 @@ ALIASES = {
 TIMESTAMP_COLUMNS = ("order_date", "shipping_date")
 TIMESTAMP_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "M/d/yyyy H:mm", "M/d/yyyy", "M/d/yyyy H:mm:ss",
                      "yyyy-MM-dd HH:mm", "yyyy-MM-dd'T'HH:mm:ss")
-NUMERIC_TARGETS = {
-    "days_for_shipping_real": "int",
-    "days_for_shipment_scheduled": "int",
-    "late_delivery_risk": "int",
-    "order_item_total": "double",
-    "sales": "double",
-    "order_profit_per_order": "double",
-}
+NUMERIC_TARGETS = ("days_for_shipping_real", "days_for_shipment_scheduled", "late_delivery_risk",
+                   "order_item_total", "sales", "order_profit_per_order")
 TIMING_FROM_DELAY = ("Late", "On Time", "Early")
 
 
@@ -82,16 +77,9 @@ def coerce_timestamps(df: DataFrame, columns: Sequence[str] = TIMESTAMP_COLUMNS,
     return df.withColumns(out) if out else df
 
 
-def coerce_numeric(df: DataFrame, targets: Mapping[str, str] = NUMERIC_TARGETS) -> DataFrame:
-    """Coerce to numbers; bad text → NULL, NaN → NULL. An integer column may be
-    written with decimals ("3.0", as pandas writes one with gaps): whole values count."""
-    out = {}
-    for c in present(df, targets):
-        value = nan_to_null(F.col(c).try_cast("double"))
-        if targets[c] in ("double", "float"):
-            out[c] = value
-        else:
-            out[c] = F.when(value == F.floor(value), value.try_cast(targets[c]))
+def coerce_numeric(df: DataFrame, targets: Sequence[str] = NUMERIC_TARGETS) -> DataFrame:
+    """Coerce to doubles, fractions kept; bad text → NULL, NaN → NULL."""
+    out = {c: nan_to_null(F.col(c).try_cast("double")) for c in present(df, targets)}
     return df.withColumns(out) if out else df
 
 
@@ -141,11 +129,15 @@ def derive_line_columns(df: DataFrame) -> DataFrame:
     return with_profit_status(with_revenue(with_calendar(with_delay(df))))
 
 
+def type_lines(raw: DataFrame, na_tokens: Sequence[str] = PANDAS_NA_TOKENS) -> DataFrame:
+    """Named, cleaned and typed lines, as one projection."""
+    df = rename_aliases(normalize_names(raw))
+    return coerce_numeric(coerce_timestamps(clean_strings(df, na_tokens)))
+
+
 def prepare_lines(raw: DataFrame, na_tokens: Sequence[str] = PANDAS_NA_TOKENS) -> DataFrame:
     """Everything before de-duplication, as one projection."""
-    df = rename_aliases(normalize_names(raw))
-    df = coerce_numeric(coerce_timestamps(clean_strings(df, na_tokens)))
-    return derive_line_columns(df)
+    return derive_line_columns(type_lines(raw, na_tokens))
 
 
 def drop_exact_duplicates(df: DataFrame) -> DataFrame:
@@ -154,8 +146,9 @@ def drop_exact_duplicates(df: DataFrame) -> DataFrame:
 
 
 def clean_lines(raw: DataFrame, na_tokens: Sequence[str] = PANDAS_NA_TOKENS) -> DataFrame:
-    """The cleaned order-line table."""
-    return drop_exact_duplicates(prepare_lines(raw, na_tokens))
+    """The cleaned order-line table. The derived columns follow from the typed ones, so
+    rows are compared, and shuffled, without them."""
+    return derive_line_columns(drop_exact_duplicates(type_lines(raw, na_tokens)))
 
 
 def _row_groups(df: DataFrame) -> DataFrame:
@@ -164,46 +157,68 @@ def _row_groups(df: DataFrame) -> DataFrame:
 
 
 def duplicate_count(df: DataFrame) -> DataFrame:
-    """Rows beyond the first copy of each distinct row."""
+    """Rows beyond the first copy of each distinct row. Typed lines will do: columns
+    derived from them make no two rows differ."""
     return _row_groups(df).agg(
         F.coalesce(F.sum(F.col("__copies") - 1), F.lit(0)).cast("long").alias("duplicates"))
 
 
 def missing_by_column(df: DataFrame) -> DataFrame:
-    """Missing cells per column, only columns with any, most first."""
+    """Missing cells per column, only columns with any, ranked: most first, ties in
+    column order."""
     counts = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in df.columns])
     long = counts.select(F.explode(F.array(*[
         F.struct(F.lit(i).alias("column_position"), F.lit(c).alias("column_name"),
                  F.col(c).cast("long").alias("missing_cells"))
         for i, c in enumerate(df.columns)
     ])).alias("m")).select("m.*")
-    return long.filter(F.col("missing_cells") > 0)
-
-
-def cleaning_profile(prepared: DataFrame) -> DataFrame:
-    """Rows before/after de-duplication, columns, duplicates removed and
-    missing cells after, all from one grouping of the prepared lines."""
-    g = _row_groups(prepared)
-    nulls = sum((F.col(c).isNull().cast("long") for c in prepared.columns), F.lit(0).cast("long"))
-    agg = g.agg(F.sum("__copies").cast("long").alias("rows_before"),
-                F.count(F.lit(1)).cast("long").alias("rows_after"),
-                F.coalesce(F.sum(nulls), F.lit(0)).cast("long").alias("missing_cells"))
-    metrics = [
-        (1, "rows_before", F.col("rows_before")),
-        (2, "rows_after", F.col("rows_after")),
-        (3, "columns", F.lit(len(prepared.columns)).cast("long")),
-        (4, "duplicates_removed", F.col("rows_before") - F.col("rows_after")),
-        (5, "missing_cells", F.col("missing_cells")),
-    ]
+    w = Window.orderBy(F.col("missing_cells").desc(), F.col("column_position").asc())  # a row per column
+    return long.filter(F.col("missing_cells") > 0).withColumn("rank", F.row_number().over(w))
+
+
+def _missing_cells(columns: Sequence[str]):
+    return F.coalesce(F.sum(sum((F.col(c).isNull().cast("long") for c in columns), F.lit(0).cast("long"))), F.lit(0))
+
+
+def _profile_rows(rows_before, rows_after, columns: int, missing_cells) -> list:
+    values = [("rows_before", rows_before), ("rows_after", rows_after), ("columns", columns),
+              ("duplicates_removed", rows_before - rows_after), ("missing_cells", missing_cells)]
+    return [(i + 1, m, v) for i, (m, v) in enumerate(values)]
+
+
+def cleaning_profile(typed: DataFrame) -> DataFrame:
+    """Rows before and after de-duplication, columns, duplicates removed and missing
+    cells after, from one grouping of the typed lines; the derived columns (B6-B12) are added
+    to the distinct rows and count as columns and cells too."""
+    distinct = derive_line_columns(_row_groups(typed))
+    columns = [c for c in distinct.columns if c != "__copies"]
+    agg = distinct.agg(F.coalesce(F.sum("__copies"), F.lit(0)).cast("long").alias("before"), F.count(F.lit(1)).alias("after"),
+                       _missing_cells(columns).alias("missing"))
+    rows = _profile_rows(F.col("before"), F.col("after"), F.lit(len(columns)).cast("long"), F.col("missing"))
     return agg.select(F.explode(F.array(*[
-        F.struct(F.lit(i).alias("metric_order"), F.lit(n).alias("metric"), v.alias("value"))
-        for i, n, v in metrics
+        F.struct(F.lit(i).alias("metric_order"), F.lit(n).alias("metric"), v.alias("value")) for i, n, v in rows
     ])).alias("m")).select("m.*")
 
 
+def observed_clean_lines(raw: DataFrame, na_tokens: Sequence[str] = PANDAS_NA_TOKENS) -> tuple[DataFrame, Callable[[], DataFrame]]:
+    """B1-B14 and B16 in one job: the cleaned lines to write and, once they are written, their
+    cleaning profile. The counts ride on the write as observed metrics."""
+    before, after = Observation(), Observation()
+    typed = type_lines(raw, na_tokens).observe(before, F.count(F.lit(1)).alias("n"))
+    clean = derive_line_columns(drop_exact_duplicates(typed))
+    columns = clean.columns
+    clean = clean.observe(after, F.count(F.lit(1)).alias("n"), _missing_cells(columns).alias("missing"))
+
+    def profile() -> DataFrame:
+        rows = _profile_rows(before.get["n"], after.get["n"], len(columns), after.get["missing"])
+        return raw.sparkSession.createDataFrame(rows, "metric_order int, metric string, value long")
+
+    return clean, profile
+
+
 __all__ = [
     "normalize_names", "rename_aliases", "clean_strings", "coerce_timestamps", "coerce_numeric",
     "with_delay", "with_calendar", "with_revenue", "with_profit_status", "derive_line_columns",
-    "prepare_lines", "drop_exact_duplicates", "clean_lines", "duplicate_count",
-    "missing_by_column", "cleaning_profile",
+    "type_lines", "prepare_lines", "drop_exact_duplicates", "clean_lines", "observed_clean_lines",
+    "duplicate_count", "missing_by_column", "cleaning_profile",
 ]

@@ -17,7 +17,7 @@ from orderlens.functions.columns import risk_level_3
 # The reference's threshold grid, comparison threshold and bin count for AUC.
 THRESHOLDS = (0.30, 0.40, 0.50, 0.60, 0.70)
 COMPARISON_THRESHOLD = 0.50
-AUC_BUCKETS = 1024
+AUC_BUCKETS = 256
 LABEL = "late_delivery_risk"
 PROB = "late_delivery_probability"
 PREDICTION_COLUMNS = ("order_id", "order_date", "late_delivery_risk", "shipping_mode",
@@ -45,23 +45,33 @@ def accuracy(pred: DataFrame, by: str = "model", y: str = LABEL,
         F.avg(F.when(F.col(y) == F.col(yhat), 1.0).otherwise(0.0)).alias("accuracy"))
 
 
+def score_buckets(g: DataFrame, by: str, buckets: int = AUC_BUCKETS) -> DataFrame:
+    """Add ``b``: which of ``buckets`` ranges of scores ``p`` a row lies in. A quantile sketch of
+    each group's rows gives the bounds, so the ranges hold about as many rows each."""
+    asked = F.expr("array(" + ", ".join(f"{i / buckets}D" for i in range(1, buckets)) + ")")
+    bounds = g.groupBy(F.col(by).alias("__by")).agg(F.percentile_approx("p", asked, F.lit(40 * buckets)).alias("__bounds"))
+    joined = g.join(bounds, F.col(by).eqNullSafe(F.col("__by")))
+    return joined.withColumn("b", F.size(F.filter("__bounds", lambda x: x < F.col("p")))).drop("__by", "__bounds")
+
+
 def roc_auc(scored: DataFrame, by: str = "model", y: str = LABEL, p: str = PROB) -> DataFrame:
     """exact ROC-AUC per model with tied scores counted half.
 
     AUC = Σ_s pos(s)·(neg(<s) + neg(s)/2) / (P·N) over distinct scores s. The
     running count of negatives below s is split in two, with no join:
-      * inside its probability bucket (``AUC_BUCKETS`` equal-width buckets):
-        a window partitioned by (model, bucket), so distinct scores spread
-        over many tasks;
+      * inside its bucket, a range between two of the ``AUC_BUCKETS - 1`` bounds that a
+        quantile sketch of the model's distinct scores gives: a window
+        partitioned by (model, bucket), so scores spread over the tasks
+        however close together they lie;
       * before its bucket: a running sum over the bucket table, which has at
-        most ``AUC_BUCKETS + 1`` rows per model.
-    Sums are kept in exact integers (2 × numerator)."""
+        most ``AUC_BUCKETS`` rows per model.
+    Any bounds give the same, exact value. Sums are kept in exact integers
+    (2 × numerator)."""
     prob = F.col(p).cast("double")
     dec = "decimal(38,0)"
     g = scored.groupBy(by, prob.alias("p")).agg(
         F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) == 0).alias("neg"))
-    g = g.withColumn("b", F.least(F.greatest(F.floor(F.col("p") * AUC_BUCKETS), F.lit(0)),
-                                  F.lit(AUC_BUCKETS)).cast("int"))
+    g = score_buckets(g, by)
     wi = Window.partitionBy(by, "b").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
     inside = g.withColumn("below", F.coalesce(F.sum("neg").over(wi), F.lit(0)))
     per_bucket = inside.groupBy(by, "b").agg(
@@ -176,12 +186,13 @@ def select_best(grid: DataFrame, by: str = "model") -> DataFrame:
 def final_predictions(scored: DataFrame, best: DataFrame, orders: DataFrame | None = None,
                       by: str = "model") -> DataFrame:
     """scores of the chosen model at the chosen threshold, with class,
-    three-level risk and ``prediction_correct``. ``best`` has one row, so the
-    join with it is a broadcast; ``orders`` (test features) are joined on
+    three-level risk and ``prediction_correct``. The model and the threshold of
+    ``best`` (one row) are scalar subqueries, so a score table partitioned by model
+    is read for that model only; ``orders`` (test features) are joined on
     ``order_id`` when the scores do not carry the order columns."""
-    chosen = scored.join(F.broadcast(best.select(by, "threshold")), by)
+    chosen = scored.where(F.col(by) == best.select(by).scalar())
     p = F.col(PROB)
-    pred = F.when(p >= F.col("threshold"), 1).otherwise(0)
+    pred = F.when(p >= best.select("threshold").scalar(), 1).otherwise(0)
     out = chosen.withColumns({
         "predicted_late_delivery": pred,
         "risk_level": risk_level_3(p),

@@ -12,11 +12,11 @@ from collections.abc import Sequence
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, NumericType, StringType, TimestampNTZType, TimestampType
+from pyspark.sql.types import NumericType, StringType
 
 from orderlens.functions.columns import first_non_missing, line_order_keys, money_sum, quantity_sum
-from orderlens.functions.contracts import assert_dates, require_columns
-from orderlens.functions.selection import exact_medians, kth_key, lexicographic_le
+from orderlens.functions.contracts import ContractError, known_date, require_columns
+from orderlens.functions.selection import exact_medians, key_struct, kth_key, literal_key
 from orderlens.functions.shapes import distinct_count, flag_first_values
 from orderlens.operators.clean import coerce_timestamps
 
@@ -45,13 +45,13 @@ def order_features(lines: DataFrame, line_order: Sequence[str], with_profit: boo
                    check_dates: bool = True) -> DataFrame:
     """One row per order: first values of eight fields in line order,
     summed value, profit, quantity and discount, distinct products and
-    categories, month and weekday (Monday = 0) of the order date."""
+    categories, month and weekday (Monday = 0) of the order date. The date check
+    rides on the same aggregate: a line of a known order without a date ends the job
+    that reads ``order_date``, with an error that names the column."""
     df = to_model_names(lines)
     require_columns(df, FEATURE_REQUIRED, "model lines")
     if isinstance(df.schema["order_date"].dataType, StringType):
         df = coerce_timestamps(df, ["order_date"])
-    if check_dates:
-        assert_dates(df, "order_date")
     firsts = [("order_date", "order_date"), (LABEL, LABEL),
               ("days_for_shipment", "days_for_shipment"), ("shipping_mode", "shipping_mode"),
               ("order_region", "order_region"), ("market", "market"),
@@ -67,7 +67,13 @@ def order_features(lines: DataFrame, line_order: Sequence[str], with_profit: boo
     aggs += [distinct_count(c).alias(n) for c, n in distinct]
     known = flag_first_values(df.filter(F.col("order_id").isNotNull()), "order_id",
                               [c for c, _ in distinct])
+    if check_dates:
+        aggs.append(F.count_if(F.col("order_date").isNull()).alias("__no_date"))
     orders = known.groupBy("order_id").agg(*aggs)
+    if check_dates:
+        kind = orders.schema["order_date"].dataType
+        orders = orders.withColumn("order_date", known_date(F.col("order_date"), F.col("__no_date"), "order_date").cast(kind)) \
+            .drop("__no_date")
     return orders.withColumns({
         "order_month": F.month("order_date"),
         "order_day_of_week": F.weekday("order_date"),
@@ -75,29 +81,21 @@ def order_features(lines: DataFrame, line_order: Sequence[str], with_profit: boo
 
 
 def _sort_keys(df: DataFrame, column: str) -> list:
-    """Whole numbers that order a column. Texts: whole numbers first, by value, then the
-    others by their bytes, seven to a key (the longest text is one more small aggregate)."""
-    t, c = df.schema[column].dataType, F.col(column)
-    if isinstance(t, DateType):
-        return [F.unix_date(c).cast("long")]
-    if isinstance(t, (TimestampType, TimestampNTZType)):
-        return [F.unix_micros(c.cast("timestamp"))]
-    if not isinstance(t, StringType):
-        return [c.cast("long")]
-    text = F.encode(F.coalesce(c, F.lit("")), "UTF-8")
-    size = F.octet_length(text).cast("long")
-    longest = df.agg(F.max(size)).first()[0] or 0
-    chunks = [F.conv(F.rpad(F.hex(F.substring(text, 1 + i, 7)), 14, "0"), 16, 10).cast("long")
-              for i in range(0, longest, 7)]
-    return [F.coalesce(F.trim(c).try_cast("long"), F.lit((1 << 63) - 1)), *chunks, size]
+    """Sort keys of a column of any orderable type, missing last. Texts: whole numbers first,
+    by value, then the others by their bytes."""
+    c = F.col(column)
+    if not isinstance(df.schema[column].dataType, StringType):
+        return [c.isNull(), c]
+    return [c.isNull(), F.coalesce(F.trim(c).try_cast("long"), F.lit((1 << 63) - 1)), c]
 
 
 def time_split(features: DataFrame, frac: float = TRAIN_FRACTION,
                order: Sequence[str] = ("order_date", "order_id")) -> DataFrame:
     """add ``split``: the first ``int(frac * n)`` orders by (date, id) are
-    'train', the rest 'test'. The boundary key is found exactly with a few
-    distributed histogram passes (``functions.selection``), not a global sort
-    into one partition; the split itself is then a plain filter expression."""
+    'train', the rest 'test'. The boundary key is found exactly from a sorted
+    sample and counting passes (``functions.selection``), not a global sort
+    into one partition; the split itself is then a plain filter expression.
+    Ids and dates may be of any orderable type."""
     keys = [k for c in order for k in _sort_keys(features, c)]
     narrow = features.select(*[k.alias(f"__k{i}") for i, k in enumerate(keys)]) \
         .persist(StorageLevel.MEMORY_AND_DISK)
@@ -111,8 +109,8 @@ def time_split(features: DataFrame, frac: float = TRAIN_FRACTION,
         bound = kth_key(narrow, [F.col(f"__k{i}") for i in range(len(keys))], k)
     finally:
         narrow.unpersist()
-    return features.withColumn(
-        "split", F.when(lexicographic_le(keys, bound), "train").otherwise("test"))
+    first = key_struct(keys) <= literal_key(features, keys, bound)
+    return features.withColumn("split", F.when(first, "train").otherwise("test"))
 
 
 def split_frames(split_df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -178,25 +176,30 @@ def ordinal_codes(train: DataFrame, columns: Sequence[str]) -> DataFrame:
             .withColumn("code", (F.dense_rank().over(w) - 1).cast("int")))
 
 
-def fit_majority(train: DataFrame, label: str = LABEL) -> int:
-    """most frequent class (lowest on ties)."""
-    row = (train.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-           .orderBy(F.col("n").desc(), F.col(label).asc()).first())
-    return int(row[label])
+def majority_class(train: DataFrame, label: str = LABEL) -> DataFrame:
+    """one row, the most frequent class (lowest on ties)."""
+    return (train.filter(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+            .orderBy(F.col("n").desc(), F.col(label).asc()).limit(1).select(label))
 
 
-def fit_prior(train: DataFrame, label: str = LABEL) -> float:
-    """share of the positive class."""
-    return float(train.agg(F.avg(F.col(label).cast("double"))).first()[0])
+def class_prior(train: DataFrame, label: str = LABEL) -> DataFrame:
+    """one row, the share of the positive class."""
+    return train.agg(F.avg(F.col(label).cast("double")).alias("prior"))
 
 
-def baseline_scores(test: DataFrame, majority: int, prior: float, label: str = LABEL) -> DataFrame:
-    """F14-F15 applied: majority class and prior probability for every test order."""
+def baseline_scores(test: DataFrame, train: DataFrame, label: str = LABEL) -> DataFrame:
+    """F14-F15 applied: majority class and prior probability for every test order, both
+    fitted on ``train`` by scalar subqueries of the one plan."""
     return test.select("order_id", label,
-                       F.lit(majority).alias("majority_prediction"),
-                       F.lit(prior).cast("double").alias("prior_probability"))
-
-
-def feature_frame(features: DataFrame, columns: Sequence[str] = FEATURES) -> DataFrame:
-    """the model columns only (leakage columns never enter)."""
-    return features.select("order_id", "order_date", LABEL, *columns)
+                       majority_class(train, label).scalar().alias("majority_prediction"),
+                       class_prior(train, label).scalar().alias("prior_probability"))
+
+
+def feature_frame(features: DataFrame, columns: Sequence[str] = FEATURES, keep: Sequence[str] = ()) -> DataFrame:
+    """the model columns, and ``keep`` to report with the scores. A leakage column among
+    the model columns is an error."""
+    leaks = sorted(set(columns) & set(LEAKAGE_COLUMNS))
+    if leaks:
+        raise ContractError(f"not known before shipping, so no model features: {', '.join(leaks)}")
+    require_columns(features, columns, "order features")
+    return features.select("order_id", LABEL, *columns, *[c for c in keep if c not in (*columns, "order_id", LABEL)])

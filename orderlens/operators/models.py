@@ -12,7 +12,9 @@ from __future__ import annotations
 import time
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from math import ceil
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
@@ -20,7 +22,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderlens.operators.features import LABEL, fit_medians, fit_modes, impute, route_columns
+from orderlens.operators.features import LABEL, feature_frame, fit_medians, fit_modes, impute, route_columns
 
 # Model names and hyper-parameters of the reference's four models.
 BASELINE = "Dummy Baseline"
@@ -30,8 +32,27 @@ BOOSTING = "HistGradientBoosting"
 LOGISTIC_MAX_ITER = 1000
 LOGISTIC_TOL = 1e-4  # the reference library's default stopping tolerance
 FOREST_TREES, FOREST_DEPTH, FOREST_MIN_LEAF, FOREST_SEED = 300, 15, 5, 42
+# the reference library's early stop of boosting: above so many rows, on such a share held
+# out, after so many rounds that improve the loss by no more than the tolerance
+EARLY_STOP_ROWS, VALIDATION_SHARE, PATIENCE, STOP_TOL = 10_000, 0.1, 10, 1e-7
 BOOSTING_ROUNDS, BOOSTING_RATE, BOOSTING_DEPTH, BOOSTING_BINS, BOOSTING_SEED = 200, 0.08, 5, 255, 42
-WEIGHT = "__w"
+WEIGHT, HELD_OUT, VECTOR = "__w", "__held_out", "features"
+#: labelled rows that the two tree models are fitted on, about (picked by a hash of the order
+#: id); logistic regression is fitted on all rows, and every test row is scored by every model
+FIT_ROWS = 100_000
+#: split points per feature of the forest: every node of 300 trees keeps counts for each
+FOREST_BINS = 32
+#: rows of the tree models' table in one partition at least (each sends the counts of all open nodes)
+ROWS_A_PARTITION = 2_500
+
+
+@dataclass
+class TreeInput:
+    """The table that both tree models are fitted on (vector, label, weight, held-out mark), and
+    what turns other rows into such vectors."""
+    table: DataFrame
+    rows: int
+    vectors: object  # DataFrame -> DataFrame with the vector
 
 
 @dataclass
@@ -43,10 +64,21 @@ class Prepared:
     categorical: list[str]
     medians: dict = field(default_factory=dict)
     modes: dict = field(default_factory=dict)
+    trees: TreeInput | None = None
+
+    def persist(self) -> Prepared:
+        self.train, self.test = (df.persist(StorageLevel.MEMORY_AND_DISK) for df in (self.train, self.test))
+        return self
+
+    def release(self) -> None:
+        for df in (self.train, self.test, *([self.trees.table] if self.trees else [])):
+            df.unpersist()
 
 
-def prepare(train: DataFrame, test: DataFrame, features: Sequence[str]) -> Prepared:
-    """Route columns by type, fit medians and modes on train, impute both."""
+def prepare(train: DataFrame, test: DataFrame, features: Sequence[str], keep: Sequence[str] = ()) -> Prepared:
+    """The model columns (and ``keep`` on the test side), routed by type, with medians
+    and modes fitted on train imputed on both sides."""
+    train, test = feature_frame(train, features), feature_frame(test, features, keep)
     numeric, categorical = route_columns(train, features)
     medians, modes = fit_medians(train, numeric), fit_modes(train, categorical)
     return Prepared(impute(train, medians, modes), impute(test, medians, modes),
@@ -85,6 +117,14 @@ def linear_stages(numeric: Sequence[str], categorical: Sequence[str]) -> list:
     ]
 
 
+def scaler_table(train: DataFrame, numeric: Sequence[str]) -> DataFrame:
+    """F10 as a table: the mean and (sample) deviation that the scaler takes from the training side."""
+    vectors = VectorAssembler(inputCols=list(numeric), outputCol="__num").transform(train)
+    fitted = StandardScaler(inputCol="__num", outputCol="__scaled", withMean=True, withStd=True).fit(vectors)
+    return train.sparkSession.createDataFrame(
+        [(c, float(m), float(s)) for c, m, s in zip(numeric, fitted.mean, fitted.std)], "feature string, mean double, stddev double")
+
+
 def fit_ordinal(train: DataFrame, categorical: Sequence[str]):
     """F12 as a fitted stage: alphabetical codes, unknown → -1."""
     model = _indexers(categorical).fit(train)
@@ -103,6 +143,7 @@ class Fitted:
     name: str
     seconds: float
     transform: object  # DataFrame -> DataFrame with late_delivery_probability
+    rounds: int | None = None  # trees in use, where the fit chooses their number
 
 
 def _probability(df: DataFrame) -> DataFrame:
@@ -133,38 +174,84 @@ def fit_logistic(prep: Prepared, max_iter: int = LOGISTIC_MAX_ITER, tol: float =
     return Fitted(LOGISTIC, secs, lambda df: _probability(model.transform(df)))
 
 
-def _tree_fit(prep: Prepared, estimator, name: str, weighted: bool) -> Fitted:
+def tree_input(prep: Prepared, fit_rows: int = FIT_ROWS) -> TreeInput:
+    """F12-F13 for both tree models, made once: ordinal codes and numbers in one vector, class
+    weights, and the tenth held out where boosting stops early. Fitted rows are bounded by
+    ``fit_rows``; the codes come from all training rows."""
+    if prep.trees is None:
+        encode = fit_ordinal(prep.train, prep.categorical)
+        assembler = VectorAssembler(inputCols=[*prep.numeric, *[f"{c}__code" for c in prep.categorical]], outputCol=VECTOR)
+
+        def vectors(df: DataFrame) -> DataFrame:
+            return assembler.transform(encode(df))
+
+        n, steps = prep.train.count(), 1_000_003
+        picked = prep.train if n <= fit_rows else prep.train.filter(
+            F.pmod(F.xxhash64("order_id"), F.lit(steps)) < int(steps * fit_rows / n))
+        rows, parallel = min(n, fit_rows), prep.train.sparkSession.sparkContext.defaultParallelism
+        held_out = F.lit(False) if rows <= EARLY_STOP_ROWS else \
+            F.pmod(F.xxhash64("order_id", F.lit("held out")), F.lit(steps)) < int(steps * VALIDATION_SHARE)
+        table = (vectors(with_balanced_weights(picked)).withColumn(HELD_OUT, held_out)
+                 .repartition(max(1, min(parallel, ceil(rows / ROWS_A_PARTITION))), "order_id").sortWithinPartitions("order_id")
+                 .select(VECTOR, LABEL, WEIGHT, HELD_OUT).persist(StorageLevel.MEMORY_AND_DISK))
+        prep.trees = TreeInput(table, rows, vectors)
+    return prep.trees
+
+
+def _tree_fit(prep: Prepared, fit, name: str) -> Fitted:
+    made = tree_input(prep)
     t0 = time.perf_counter()
-    encode = fit_ordinal(prep.train, prep.categorical)
-    assembler = VectorAssembler(inputCols=[*prep.numeric, *[f"{c}__code" for c in prep.categorical]],
-                                outputCol="features")
-    train = encode(prep.train)
-    if weighted:
-        train = with_balanced_weights(train)
-    model = Pipeline(stages=[assembler, estimator]).fit(train)
+    model = fit(made)
     secs = time.perf_counter() - t0
-    return Fitted(name, secs, lambda df: _probability(model.transform(encode(df))))
+    return Fitted(name, secs, lambda df: _probability(model.transform(made.vectors(df))), model.getNumTrees)
 
 
 def fit_forest(prep: Prepared, trees: int = FOREST_TREES, depth: int = FOREST_DEPTH,
-               bins: int = BOOSTING_BINS) -> Fitted:
+               bins: int = FOREST_BINS) -> Fitted:
     """random forest, balanced class weights, sqrt features per split; ``bins``
     bounds the split points per feature."""
-    rf = RandomForestClassifier(featuresCol="features", labelCol=LABEL, weightCol=WEIGHT,
+    rf = RandomForestClassifier(featuresCol=VECTOR, labelCol=LABEL, weightCol=WEIGHT,
                                 numTrees=trees, maxDepth=depth, minInstancesPerNode=FOREST_MIN_LEAF,
                                 featureSubsetStrategy="sqrt", bootstrap=True, seed=FOREST_SEED,
-                                maxBins=bins, maxMemoryInMB=1024)
-    return _tree_fit(prep, rf, FOREST, weighted=True)
+                                maxBins=bins, maxMemoryInMB=512)
+    return _tree_fit(prep, lambda made: rf.fit(made.table), FOREST)
+
+
+def stop_round(losses: Sequence[float], patience: int = PATIENCE, tol: float = STOP_TOL) -> int | None:
+    """The 1-based round after which boosting stops: the first whose last ``patience`` losses
+    all fail to beat the one before them by more than ``tol``; None if it goes on."""
+    for t in range(patience, len(losses)):
+        if min(losses[t - patience + 1:t + 1]) >= losses[t - patience] - tol:
+            return t + 1
+    return None
 
 
 def fit_boosting(prep: Prepared, rounds: int = BOOSTING_ROUNDS) -> Fitted:
     """gradient-boosted trees (depth 5 ≤ 32 leaves, 255 bins, rate 0.08).
     The reference grows leaf-wise trees; Spark grows them depth-wise. A leaf holds at
-    least 20 rows, the reference library's default."""
-    gbt = GBTClassifier(featuresCol="features", labelCol=LABEL, maxIter=rounds,
-                        stepSize=BOOSTING_RATE, maxDepth=BOOSTING_DEPTH, maxBins=BOOSTING_BINS,
-                        seed=BOOSTING_SEED, minInstancesPerNode=20, maxMemoryInMB=1024)
-    return _tree_fit(prep, gbt, BOOSTING, weighted=False)
+    least 20 rows, the reference library's default. Above ``EARLY_STOP_ROWS`` rows a tenth
+    is held out and rounds end by the library's rule (:func:`stop_round`). Spark's fit
+    cannot go on from earlier trees, so it is repeated with twice the rounds until the rule
+    or ``rounds`` ends it, and once more with the rounds found; equal seeds give equal
+    trees. ``Fitted.rounds`` tells how many are in use."""
+    def boost(table: DataFrame, n: int):
+        return GBTClassifier(featuresCol=VECTOR, labelCol=LABEL, maxIter=n, stepSize=BOOSTING_RATE,
+                             maxDepth=BOOSTING_DEPTH, maxBins=BOOSTING_BINS, seed=BOOSTING_SEED,
+                             minInstancesPerNode=20, maxMemoryInMB=512).fit(table)
+
+    def fit(made: TreeInput):
+        if made.rows <= EARLY_STOP_ROWS:
+            return boost(made.table, rounds)
+        rest, held_out = made.table.filter(~F.col(HELD_OUT)), made.table.filter(HELD_OUT)
+        n = min(rounds, PATIENCE + 2)
+        while True:
+            model = boost(rest, n)
+            stop = stop_round(model.evaluateEachIteration(held_out))
+            if stop is not None or n == rounds:
+                return model if stop in (None, n) else boost(rest, stop)
+            n = min(rounds, 2 * n)
+
+    return _tree_fit(prep, fit, BOOSTING)
 
 
 def score(fitted: Fitted, test: DataFrame, keep: Sequence[str] = ()) -> DataFrame:

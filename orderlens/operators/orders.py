@@ -7,9 +7,9 @@ table partitioned by ``order_id``) none of them adds a shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from orderlens.functions.columns import (
@@ -17,7 +17,6 @@ from orderlens.functions.columns import (
 )
 from orderlens.functions.contracts import present, require_columns
 from orderlens.functions.shapes import distinct_count, flag_first_values
-from orderlens.session import ensure_checkpoint_dir
 
 # Required columns, first-value fields and status map of the order build.
 ORDER_REQUIRED = (
@@ -36,6 +35,7 @@ STATUS_TO_TIMING = {
     "Advance shipping": "Early",
     "Shipping canceled": "Canceled",
 }
+DISTINCT_COUNTS = (("order_item_cardprod_id", "unique_products"), ("category_name", "unique_categories"))
 DEFAULT_LINE_ORDER = ("order_item_id",)
 
 
@@ -73,14 +73,14 @@ def profit_constant_per_order(df: DataFrame, key: str = "order_id",
                        .alias("profit_is_constant"))
 
 
-def choose_profit_rule(df: DataFrame, rule: str = "auto") -> str:
-    """D3: 'first' when profit is constant inside every order, else 'sum'.
-    ``auto`` runs D2 as one eager job (a single boolean reaches the driver)."""
+def choose_profit_rule(df: DataFrame, rule: str = "auto") -> Column:
+    """D3: 'first' when profit is constant inside every order, else 'sum'. ``auto`` is D2 as a
+    scalar subquery of the plan that uses it: nothing runs before that plan does."""
     if rule in ("first", "sum"):
-        return rule
+        return F.lit(rule)
     if rule != "auto":
         raise ValueError(f"profit_rule must be auto, first or sum, not {rule!r}")
-    return "first" if profit_constant_per_order(df).first()[0] else "sum"
+    return F.when(profit_constant_per_order(df).scalar(), "first").otherwise("sum")
 
 
 def timing_from_status(status) -> object:
@@ -91,76 +91,87 @@ def timing_from_status(status) -> object:
 
 def build_orders(df: DataFrame, line_order: Sequence[str] | None = None,
                  profit_rule: str = "auto") -> DataFrame:
-    """One row per known order id (see ``build_orders_with_rule``)."""
-    return build_orders_with_rule(df, line_order, profit_rule)[0]
-
-
-def build_orders_with_rule(df: DataFrame, line_order: Sequence[str] | None = None,
-                           profit_rule: str = "auto") -> tuple[DataFrame, str]:
-    """One row per known order id, and the profit rule applied.
+    """One row per known order id, as one lazy plan.
 
     Sums (missing → 0), first non-missing value of each order field in line
     order, line count, distinct products and categories (first-occurrence flags
     summed in the same aggregate, see ``flag_first_values``), delay, timing group from
-    the status, and the loss flag."""
+    the status, and the loss flag. With ``profit_rule="auto"`` both profits are
+    candidates and the rule is a scalar subquery; a query that reads no profit
+    carries neither."""
+    rule = choose_profit_rule(df, profit_rule)
+    return finish_orders(order_candidates(df, line_order, ("first", "sum") if profit_rule == "auto" else (profit_rule,)), rule)
+
+
+def order_candidates(df: DataFrame, line_order: Sequence[str] | None = None,
+                     rules: Sequence[str] = ("first", "sum")) -> DataFrame:
+    """The one per-order aggregate, with a profit column for each rule; with both,
+    ``__profit_many`` tells orders with more than one profit value (D2)."""
     require_columns(df, ORDER_REQUIRED, "order lines")
     order = _line_order(df, line_order)
-    if profit_rule not in ("auto", "first", "sum"):
-        raise ValueError(f"profit_rule must be auto, first or sum, not {profit_rule!r}")
     fields = present(df, ORDER_FIELDS)
     profit = {"first": first_non_missing("order_profit_per_order", order).cast("double"),
               "sum": money_sum("order_profit_per_order")}
     aggs = [
         money_sum("order_item_total").alias("revenue"),
         quantity_sum(df, "order_item_quantity").alias("quantity"),
-        *([profit["first"].alias("__profit_first"), profit["sum"].alias("__profit_sum"),
-           has_many_values("order_profit_per_order").alias("__profit_many")]
-          if profit_rule == "auto" else [profit[profit_rule].alias("order_profit_per_order")]),
+        *[profit[r].alias(f"__profit_{r}") for r in rules],
+        *([has_many_values("order_profit_per_order").alias("__profit_many")] if len(rules) > 1 else []),
         *[first_non_missing(c, order).alias(c) for c in fields],
     ]
-    aggs.append(F.count(F.lit(1)).alias("order_lines"))
-    specs = [(c, n) for c, n in (("order_item_cardprod_id", "unique_products"),
-                                 ("category_name", "unique_categories")) if c in df.columns]
+    specs = [(c, n) for c, n in DISTINCT_COUNTS if c in df.columns]
     aggs += [distinct_count(c).alias(n) for c, n in specs]
+    aggs.append(F.count(F.lit(1)).alias("order_lines"))
     known = flag_first_values(df.filter(F.col("order_id").isNotNull()), "order_id",
                               [c for c, _ in specs])
-    orders = known.groupBy("order_id").agg(*aggs)
-    if profit_rule == "auto":
-        # D3 from the order table itself: both candidate profits and the D2 flag
-        # come out of the one per-order aggregate, which is checkpointed (shared
-        # spark.checkpoint.dir); the rule is then one boolean over the narrow
-        # flag column, not a second pass over the lines.
-        ensure_checkpoint_dir(df.sparkSession)
-        orders = orders.checkpoint()
-        constant = orders.agg(F.coalesce(F.bool_and(~F.col("__profit_many")), F.lit(True))).first()[0]
-        profit_rule = "first" if constant else "sum"
-        orders = orders.withColumn("order_profit_per_order", F.col(f"__profit_{profit_rule}"))
-    columns = ["order_id", "revenue", "quantity", "order_profit_per_order", *fields,
-               *[n for _, n in specs], "order_lines"]
-    return orders.select(*columns).withColumns({
-        "shipping_delay_days": F.col("days_for_shipping_real") - F.col("days_for_shipment_scheduled"),
-        "delivery_timing_group": timing_from_status("delivery_status"),
-        "loss_flag": F.when(F.col("order_profit_per_order") < 0, 1).otherwise(0),
-    }), profit_rule
+    return known.groupBy("order_id").agg(*aggs)
+
+
+def finish_orders(candidates: DataFrame, rule: str | Column) -> DataFrame:
+    """D3, D7, D8 on the per-order aggregate: the profit that ``rule`` names, delay, timing group, loss flag."""
+    have = set(candidates.columns)
+    if isinstance(rule, str):
+        rule = F.lit(rule)
+    if {"__profit_first", "__profit_sum"} <= have:
+        profit = F.when(rule == "first", F.col("__profit_first")).otherwise(F.col("__profit_sum"))
+    else:
+        profit = F.col("__profit_first" if "__profit_first" in have else "__profit_sum")
+    named = candidates.withColumn("order_profit_per_order", profit)
+    return named.select(
+        *present(named, ("order_id", "revenue", "quantity", "order_profit_per_order", *ORDER_FIELDS,
+                         *[n for _, n in DISTINCT_COUNTS], "order_lines")),
+        (F.col("days_for_shipping_real") - F.col("days_for_shipment_scheduled")).alias("shipping_delay_days"),
+        timing_from_status("delivery_status").alias("delivery_timing_group"),
+        F.when(F.col("order_profit_per_order") < 0, 1).otherwise(0).alias("loss_flag"))
+
+
+def observed_rule(candidates: DataFrame) -> tuple[DataFrame, Callable[[], str]]:
+    """D2 and D3 riding on the job that writes the order table: the candidates to write and,
+    once they are written, the rule. The lines are read once."""
+    seen = Observation()
+    watched = candidates.observe(seen, F.bool_and(~F.col("__profit_many")).alias("constant"))
+    return watched, lambda: "sum" if seen.get["constant"] is False else "first"
 
 
 def value_counts(df: DataFrame, column: str, name: str = "orders") -> DataFrame:
-    """Frequency of each value, missing kept."""
-    return df.groupBy(column).agg(F.count(F.lit(1)).alias(name))
-
-
-def orders_profile(lines: DataFrame, orders: DataFrame, profit_rule: str) -> DataFrame:
-    """Source rows, orders, output columns and profit rule as text rows."""
-    n_lines = lines.agg(F.count(F.lit(1)).alias("v")).select(
-        F.lit(1).alias("metric_order"), F.lit("source_rows").alias("metric"),
-        F.col("v").cast("string").alias("value"))
-    n_orders = orders.agg(F.count(F.lit(1)).alias("v")).select(
-        F.lit(2).alias("metric_order"), F.lit("unique_orders").alias("metric"),
-        F.col("v").cast("string").alias("value"))
-    fixed = n_orders.select(
-        F.explode(F.array(
-            F.struct(F.lit(3).alias("metric_order"), F.lit("output_columns").alias("metric"),
-                     F.lit(str(len(orders.columns))).alias("value")),
-            F.struct(F.lit(4).alias("metric_order"), F.lit("profit_rule").alias("metric"),
-                     F.lit(profit_rule).alias("value")))).alias("m")).select("m.*")
-    return n_lines.unionByName(n_orders).unionByName(fixed)
+    """Frequency of each value, missing kept, and its rank: most frequent first, ties by
+    value, missing last. The window sees one row per distinct value."""
+    counts = df.groupBy(column).agg(F.count(F.lit(1)).alias(name))
+    w = Window.orderBy(F.col(name).desc(), F.col(column).asc_nulls_last())
+    return counts.withColumn("rank", F.row_number().over(w))
+
+
+def orders_profile(lines: DataFrame, line_order: Sequence[str] | None = None) -> DataFrame:
+    """Source rows, orders, output columns and profit rule as text rows, from one
+    per-order aggregate over the lines (D2 is part of it)."""
+    columns = len(build_orders(lines, line_order, "sum").columns)
+    per_order = lines.groupBy("order_id").agg(F.count(F.lit(1)).alias("n"),
+                                              has_many_values("order_profit_per_order").alias("many"))
+    known = F.col("order_id").isNotNull()
+    one = per_order.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count("order_id").alias("orders"),
+                        F.coalesce(F.bool_or(known & F.col("many")), F.lit(False)).alias("many"))
+    values = [("source_rows", F.col("rows").cast("string")), ("unique_orders", F.col("orders").cast("string")),
+              ("output_columns", F.lit(str(columns))), ("profit_rule", F.when(F.col("many"), "sum").otherwise("first"))]
+    return one.select(F.explode(F.array(*[
+        F.struct(F.lit(i + 1).alias("metric_order"), F.lit(m).alias("metric"), v.alias("value"))
+        for i, (m, v) in enumerate(values)])).alias("m")).select("m.*")

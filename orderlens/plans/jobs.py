@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,9 +31,9 @@ def _stage(spark: SparkSession, df: DataFrame, out_dir: str, name: str, fmt: str
 def operations_report(spark: SparkSession, raw_lines: DataFrame, out_dir: str,
                       line_order: Sequence[str], fmt: str = "parquet") -> dict[str, DataFrame]:
     """Scripts 01-04: clean lines, line KPIs, orders, order KPIs."""
-    prepared = clean.prepare_lines(raw_lines)
-    out = {"cleaning_profile": clean.cleaning_profile(prepared)}
-    lines = _stage(spark, clean.drop_exact_duplicates(prepared), out_dir, "order_lines", fmt)
+    cleaned, profile = clean.observed_clean_lines(raw_lines)  # the profile rides on the write
+    lines = _stage(spark, cleaned, out_dir, "order_lines", fmt)
+    out = {"cleaning_profile": profile()}
     out["missing_by_column"] = clean.missing_by_column(lines)
     out["line_kpis"] = line_kpi.line_kpis(lines)
     bd = line_kpi.line_breakdown(lines)
@@ -42,11 +41,12 @@ def operations_report(spark: SparkSession, raw_lines: DataFrame, out_dir: str,
     out["worst_late_lines"] = line_kpi.worst_late_lines(bd)
     out["worst_profit_lines"] = line_kpi.worst_profit_lines(bd)
     out["field_conflicts"] = orders.field_conflicts(lines)
-    # the profit rule comes out of the order build (one pass over the lines)
-    built, rule = orders.build_orders_with_rule(lines, line_order)
-    built = _stage(spark, built, out_dir, "orders", fmt)
+    # both profits are written, and the rule is seen on the way (one pass over the lines)
+    candidates, rule = orders.observed_rule(orders.order_candidates(lines, line_order))
+    written = _stage(spark, candidates, out_dir, "order_candidates", fmt)
+    built = _stage(spark, orders.finish_orders(written, rule()), out_dir, "orders", fmt)
     out["orders"] = built
-    out["orders_profile"] = orders.orders_profile(lines, built, rule)
+    out["orders_profile"] = orders.orders_profile(lines, line_order)
     out["timing_counts"] = orders.value_counts(built, "delivery_timing_group")
     out["order_kpis"] = order_kpi.order_kpis(built, unique_keys=True)
     obd = order_kpi.order_breakdown(built, unique_keys=True)
@@ -58,37 +58,37 @@ def operations_report(spark: SparkSession, raw_lines: DataFrame, out_dir: str,
     return out
 
 
-def model_comparison_run(spark: SparkSession, model_lines: DataFrame, line_order: Sequence[str],
+def model_comparison_run(spark: SparkSession, model_lines: DataFrame | None, line_order: Sequence[str],
                          which: Sequence[str] = ALL_MODELS, forest_trees: int = models.FOREST_TREES,
-                         boosting_rounds: int = models.BOOSTING_ROUNDS) -> dict:
+                         boosting_rounds: int = models.BOOSTING_ROUNDS, split: DataFrame | None = None) -> dict:
     """Scripts 05-06: order features, exact time split, fits on the training
     side, long-form scores on the test side, comparison, grid, best pair
     and final predictions.
 
-    The feature table is checkpointed to the session's shared checkpoint
-    folder (it feeds several split passes and four fits), and both sides are
-    persisted with spill to disk."""
+    ``split`` is a stored feature table with its split; without one the features of
+    ``model_lines`` are checkpointed to the session's shared checkpoint folder. Both
+    sides are persisted (with spill to disk) while models are fitted; the scores are
+    checkpointed, and nothing stays persisted."""
     ensure_checkpoint_dir(spark)
-    feats = features.order_features(model_lines, line_order).checkpoint()
-    split = features.time_split(feats)
+    if split is None:
+        split = features.time_split(features.order_features(model_lines, line_order).checkpoint())
     train, test = features.split_frames(split)
-    prep = models.prepare(train, test, features.FEATURES)
-    prep.train = prep.train.persist(StorageLevel.MEMORY_AND_DISK)
-    prep.test = prep.test.persist(StorageLevel.MEMORY_AND_DISK)
+    keep = [c for c in evaluate.PREDICTION_COLUMNS
+            if c in test.columns and c not in ("order_id", "late_delivery_risk")]
+    prep = models.prepare(train, test, features.FEATURES, keep).persist()
     fitters = {
         "baseline": models.fit_baseline,
         "logistic": models.fit_logistic,
         "forest": lambda p: models.fit_forest(p, trees=forest_trees),
         "boosting": lambda p: models.fit_boosting(p, rounds=boosting_rounds),
     }
-    keep = [c for c in evaluate.PREDICTION_COLUMNS
-            if c in prep.test.columns and c not in ("order_id", "late_delivery_risk")]
     fitted = [fitters[m](prep) for m in which]
     scored = None
     for f in fitted:
         s = models.score(f, prep.test, keep)
         scored = s if scored is None else scored.unionByName(s)
-    scored = scored.persist(StorageLevel.MEMORY_AND_DISK)
+    scored = scored.checkpoint()
+    prep.release()
     seconds = {f.name: f.seconds for f in fitted}
     grid = evaluate.threshold_metrics(scored, exclude=(models.BASELINE,))
     best = evaluate.select_best(grid)
@@ -96,6 +96,7 @@ def model_comparison_run(spark: SparkSession, model_lines: DataFrame, line_order
         "split_profile": features.split_profile(split),
         "scores": scored,
         "fit_seconds": seconds,
+        "rounds": {f.name: f.rounds for f in fitted},
         "comparison": evaluate.model_comparison(scored, seconds),
         "threshold_grid": grid,
         "best": best,
@@ -119,10 +120,9 @@ def decision_dataset(orders_df: DataFrame, final_predictions: DataFrame) -> dict
     }
 
 
-def fitted_scores(spark: SparkSession, lines: DataFrame, line_order: Sequence[str],
-                  model: str) -> DataFrame:
+def fitted_scores(spark: SparkSession, split: DataFrame, model: str) -> DataFrame:
     """One model's test-side scores (for the rows-only registered queries)."""
-    run = model_comparison_run(spark, lines, line_order, which=(model,))
+    run = model_comparison_run(spark, None, (), which=(model,), split=split)
     return run["scores"].select("model", "order_id", "late_delivery_risk",
                                 "late_delivery_probability")
 

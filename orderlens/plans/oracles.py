@@ -7,7 +7,9 @@ the Spark code), with the same output names and types.
 
 from __future__ import annotations
 
-from orderlens.sources.fixtures import FX_LINES_COLUMNS, fx_lines_raw_sql, fx_lines_sql, fx_scores_sql
+from orderlens.sources.fixtures import (
+    FX_ABSENT_FILTER, FX_ABSENT_KEY, FX_LINES_COLUMNS, fx_lines_constant_sql, fx_lines_raw_sql, fx_lines_sql, fx_scores_sql,
+)
 from orderlens.sources.io import PANDAS_NA_TOKENS
 
 
@@ -42,7 +44,8 @@ def margin0(p: str, r: str) -> str:
 
 
 def ctes(**named: str) -> str:
-    return "WITH " + ",\n".join(f"{k} AS (\n{v}\n)" for k, v in named.items())
+    # materialised: each is computed once, however many parts of a statement read it
+    return "WITH " + ",\n".join(f"{k} AS MATERIALIZED (\n{v}\n)" for k, v in named.items())
 
 
 FX = fx_lines_sql()
@@ -74,9 +77,9 @@ def _prep_select() -> str:
                  f"try_strptime({_s(name)}, '%m/%d/%Y')) AS TIMESTAMP)")
         elif name == "shipping_date":
             e = f"CAST({name} AS TIMESTAMP)"
-        elif name in ("order_item_total", "order_profit_per_order"):
+        elif name in ("order_item_total", "order_profit_per_order", "days_for_shipping_real"):
             e = _num(_s(name))
-        elif name == "sales":
+        elif name in ("sales", "days_for_shipment_scheduled", "late_delivery_risk"):
             e = _num(name)
         elif name in _RAW_TEXT:
             e = _s(name)
@@ -105,6 +108,12 @@ _PREP_COLS = [n for n, _ in FX_LINES_COLUMNS] + [
     "shipping_delay_days", "delivery_timing_group", "order_year", "order_month",
     "order_day_of_week", "revenue_value", "profit_status"]
 
+# the same lines from text: whole numbers become BIGINT, decimals DOUBLE
+_WHOLE = ("order_id", "line_no", "supp_key", "order_item_cardprod_id", "order_item_quantity")
+A1 = ctes(**B_CTES) + "\nSELECT * REPLACE (" + ", ".join(
+    [f"CAST({c} AS BIGINT) AS {c}" for c in _WHOLE]
+    + ["CAST(CAST(order_item_discount AS VARCHAR) AS DOUBLE) AS order_item_discount"]) + ") FROM prep"
+
 B13 = ctes(**B_CTES) + """
 SELECT CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM prep)) AS BIGINT) AS duplicates
 FROM prep"""
@@ -115,6 +124,8 @@ B15 = ctes(**B_CTES, clean="SELECT DISTINCT * FROM prep") + "\nSELECT * FROM (\n
     f"SELECT {i} AS column_position, '{c}' AS column_name, CAST(count(*) FILTER (WHERE {c} IS NULL) "
     f"AS BIGINT) AS missing_cells FROM clean" for i, c in enumerate(_PREP_COLS)) + "\n) WHERE missing_cells > 0"
 
+B15 = f"SELECT *, CAST(row_number() OVER (ORDER BY missing_cells DESC, column_position) AS INTEGER) AS rank FROM ({B15})"
+
 _NULLS = " + ".join(f"CAST({c} IS NULL AS BIGINT)" for c in _PREP_COLS)
 B16 = ctes(**B_CTES, clean="SELECT DISTINCT * FROM prep") + f"""
 SELECT 1 AS metric_order, 'rows_before' AS metric, CAST(count(*) AS BIGINT) AS value FROM prep
@@ -214,7 +225,12 @@ SELECT coalesce(bool_and(n <= 1), true) AS profit_is_constant FROM (
 
 D_CTES = dict(fx_lines=FX, orders_t=ORDERS)
 D4 = ctes(**D_CTES) + "\nSELECT * FROM orders_t"
-D9 = ctes(**D_CTES) + "\nSELECT delivery_timing_group, count(*) AS orders FROM orders_t GROUP BY 1"
+D4_CONSTANT = ctes(fx_lines=fx_lines_constant_sql(), orders_t=ORDERS.replace(
+    f"{msum('order_profit_per_order')} AS order_profit_per_order",
+    f"CAST({_first('order_profit_per_order')} AS DOUBLE) AS order_profit_per_order")) + "\nSELECT * FROM orders_t"
+D9 = ctes(**D_CTES) + """
+SELECT *, CAST(row_number() OVER (ORDER BY orders DESC, delivery_timing_group ASC NULLS LAST) AS INTEGER) AS rank
+FROM (SELECT delivery_timing_group, count(*) AS orders FROM orders_t GROUP BY 1)"""
 D10 = ctes(**D_CTES) + """
 SELECT 1 AS metric_order, 'source_rows' AS metric, CAST(count(*) AS VARCHAR) AS value FROM fx_lines
 UNION ALL SELECT 2, 'unique_orders', CAST(count(*) AS VARCHAR) FROM orders_t
@@ -266,6 +282,7 @@ E8_CTES = dict(**D_CTES, bd=_order_bd_sql())
 E8 = ctes(**E8_CTES) + "\nSELECT * FROM bd"
 
 ORACLES: dict[str, str] = {
+    "a1_typed_lines": A1,
     "b13_duplicate_count": B13,
     "b14_clean_lines": B14,
     "b15_missing_by_column": B15,
@@ -279,6 +296,7 @@ ORACLES: dict[str, str] = {
     "d1_field_conflicts": D1,
     "d2_profit_constant": D2,
     "d4_build_orders": D4,
+    "d4_build_orders_constant": D4_CONSTANT,
     "d9_timing_counts": D9,
     "d10_orders_profile": D10,
     "e7_order_kpis": E7,
@@ -337,6 +355,14 @@ F12 = ctes(**F_CTES, cat=_CAT_LONG) + """
 SELECT feature, value AS category,
   CAST(dense_rank() OVER (PARTITION BY feature ORDER BY value) - 1 AS INTEGER) AS code
 FROM (SELECT DISTINCT feature, value FROM cat)"""
+F10 = ctes(**F_CTES) + "\n" + "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS feature, round(avg(CAST({c} AS DOUBLE)), 6) AS mean, round(stddev_samp(CAST({c} AS DOUBLE)), 6) AS stddev FROM train"
+    for c in NUMERIC)
+F12_TEST = ctes(**F_CTES, seen=("SELECT * REPLACE (CASE WHEN order_id % 50 = 0 THEN 'ATLANTIS' ELSE market END AS market) FROM test"),
+                **{f"codes_{c}": f"SELECT v, dense_rank() OVER (ORDER BY v) - 1 AS code FROM (SELECT DISTINCT {c} AS v FROM train WHERE {c} IS NOT NULL)"
+                   for c in CATEGORICAL}) + "\nSELECT seen.order_id, " + ", ".join(
+    f"CAST(coalesce(codes_{c}.code, -1) AS INTEGER) AS {c}_code" for c in CATEGORICAL) + " FROM seen " + " ".join(
+    f"LEFT JOIN codes_{c} ON codes_{c}.v = seen.{c}" for c in CATEGORICAL)
 F15 = ctes(**F_CTES) + """
 SELECT order_id, late_delivery_risk,
   (SELECT late_delivery_risk FROM train GROUP BY late_delivery_risk
@@ -428,14 +454,15 @@ F24 = ctes(**S_CTES, pred=PRED, c="""SELECT model,
   count(*) FILTER (WHERE late_delivery_risk = 0 AND predicted_late_delivery = 0) AS tn
 FROM pred GROUP BY model""") + "\n" + _report_rows()
 
-F29 = ctes(**F_CTES, scores=SCORES, grid=GRID, best=BEST) + f"""
+_CHOSEN = """SELECT *, (SELECT threshold FROM best) AS threshold FROM scores WHERE model = (SELECT model FROM best)"""
+F29 = ctes(**F_CTES, scores=SCORES, grid=GRID, best=BEST, chosen=_CHOSEN) + f"""
 SELECT t.order_id, t.order_date, s.late_delivery_risk, t.shipping_mode, t.order_region, t.market,
   t.customer_segment, t.order_value, t.order_profit, s.{_P},
-  CASE WHEN s.{_P} >= b.threshold THEN 1 ELSE 0 END AS predicted_late_delivery,
+  CASE WHEN s.{_P} >= s.threshold THEN 1 ELSE 0 END AS predicted_late_delivery,
   {RISK3.replace(_P, 's.' + _P)} AS risk_level,
-  CASE WHEN s.late_delivery_risk = (CASE WHEN s.{_P} >= b.threshold THEN 1 ELSE 0 END) THEN 1 ELSE 0 END
+  CASE WHEN s.late_delivery_risk = (CASE WHEN s.{_P} >= s.threshold THEN 1 ELSE 0 END) THEN 1 ELSE 0 END
     AS prediction_correct
-FROM scores s JOIN best b ON s.model = b.model JOIN test t ON t.order_id = s.order_id"""
+FROM chosen s JOIN test t ON t.order_id = s.order_id"""
 
 ORACLES.update({
     "f2_order_features": ctes(fx_lines=FX, feat=FEAT) + "\nSELECT * FROM feat",
@@ -446,6 +473,8 @@ FROM split_t GROUP BY split""",
     "f8_medians": F8,
     "f9_modes": F9,
     "f12_ordinal_codes": F12,
+    "f10_scaler": F10,
+    "f12_test_codes": F12_TEST,
     "f15_baselines": F15,
     "f21_predictions": F21,
     "f22_accuracy": F22,
@@ -527,7 +556,9 @@ ORACLES.update({
     "g2_join_scores": ctes(**{k: G_CTES[k] for k in ("fx_lines", "orders_t", "scores", "sc", "joined")})
     + "\nSELECT * FROM joined",
     "g4_orphan_scores": ctes(**{k: G_CTES[k] for k in ("fx_lines", "orders_t", "scores", "sc")})
-    + "\nSELECT * FROM sc WHERE order_id NOT IN (SELECT order_id FROM orders_t WHERE loss_flag = 0)",
+    + f"""
+SELECT * FROM (SELECT * FROM sc UNION ALL SELECT * REPLACE ({FX_ABSENT_KEY} AS order_id) FROM sc WHERE {FX_ABSENT_FILTER})
+WHERE order_id NOT IN (SELECT order_id FROM orders_t)""",
     "g10_decision_table": ctes(**G_CTES) + "\nSELECT * FROM dec",
     "g11_risk_distribution": ctes(**G_CTES) + """
 SELECT level_order, l.risk_level, CAST(coalesce(n, 0) AS BIGINT) AS orders FROM

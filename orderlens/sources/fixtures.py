@@ -65,6 +65,8 @@ FX_RAW_OVERRIDES: dict[str, str] = {
                                "* (1 - l_discount) - l_quantity * p_retailprice as decimal(18,4)) "
                                "as string) end"),
 }
+FX_RAW_OVERRIDES["days_for_shipping_real"] = (
+    f"case when l_partkey % 89 = 0 then '2.5' else cast(cast({_REAL} as int) as string) end")
 FX_RAW_DUP_FILTER = "l_orderkey % 50 = 0"
 
 # The fixed score formulas of FIXTURES.md §4 (model, SQL expression).
@@ -74,6 +76,14 @@ FX_SCORE_MODELS: list[tuple[str, str]] = [
     ("baseline", "cast(55 as double) / 100"),
 ]
 
+# A profit that is one value per order (FIXTURES.md §2.1), and the score rows of
+# absent orders (§4.1): which orders lend their key, and the key no order has.
+FX_CONSTANT_PROFIT = "cast(((o_orderkey * 31 + o_custkey * 17) % 20001 - 6000) * 0.01 as decimal(18,4))"
+FX_ABSENT_FILTER, FX_ABSENT_KEY = "order_id % 29 = 0", "-1 - order_id"
+# Headers as a raw file carries them, two under the names that are renamed later.
+FX_RAW_HEADERS = {"days_for_shipping_real": "Days for Shipping", "days_for_shipment_scheduled": "Days for  Shipment ",
+                  "order_id": " Order Id", "order_item_total": "Order Item Total"}
+
 LINE_ORDER = ("line_no", "order_item_cardprod_id", "supp_key", "sales")
 
 FX_JOIN_SQL = ("lineitem JOIN orders ON l_orderkey = o_orderkey "
@@ -82,11 +92,11 @@ FX_JOIN_SQL = ("lineitem JOIN orders ON l_orderkey = o_orderkey "
                "JOIN region ON n_regionkey = r_regionkey "
                "JOIN part ON l_partkey = p_partkey")
 
-_TABLES = ("lineitem", "orders", "customer", "nation", "region", "part")
+TABLES = ("lineitem", "orders", "customer", "nation", "region", "part")
 
 
 def _joined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = load_tables(spark, sf_dir, _TABLES)
+    t = load_tables(spark, sf_dir, TABLES)
     li = t["lineitem"].select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
                               "l_quantity", "l_extendedprice", "l_discount", "l_linestatus")
     part = t["part"].select("p_partkey", "p_type", "p_brand", "p_retailprice")
@@ -108,6 +118,18 @@ def fx_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _joined(spark, sf_dir).select(*[F.expr(e).alias(n) for n, e in FX_LINES_COLUMNS])
 
 
+def fx_lines_constant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clean lines with a profit that is constant inside every order (FIXTURES.md §2.1)."""
+    named = dict(FX_LINES_COLUMNS) | {"order_profit_per_order": FX_CONSTANT_PROFIT}
+    return _joined(spark, sf_dir).select(*[F.expr(e).alias(n) for n, e in named.items()])
+
+
+def fx_lines_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dirty lines as a file without a schema holds them: all text, under raw headers."""
+    raw = fx_lines_raw(spark, sf_dir)
+    return raw.select(*[F.col(c).cast("string").alias(FX_RAW_HEADERS.get(c, c)) for c in raw.columns])
+
+
 def fx_lines_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dirty text order lines with exact duplicates (FIXTURES.md §3). The
     duplicated rows are generated with ``explode`` in the same pass (one join,
@@ -138,6 +160,12 @@ def fx_scores(lines: DataFrame, per_order: DataFrame | None = None) -> DataFrame
                     F.col("s.p").alias("late_delivery_probability")))
 
 
+def fx_absent_scores(scores: DataFrame) -> DataFrame:
+    """The scores, and some more under order ids that no order has (FIXTURES.md §4.1)."""
+    absent = scores.filter(F.expr(FX_ABSENT_FILTER)).withColumn("order_id", F.expr(FX_ABSENT_KEY))
+    return scores.unionByName(absent.select(*scores.columns))
+
+
 # ---- the same mapping as SQL text, for the DuckDB oracle -------------------
 
 def fx_lines_sql() -> str:
@@ -145,6 +173,12 @@ def fx_lines_sql() -> str:
     return f"SELECT\n  {cols}\nFROM {FX_JOIN_SQL}"
 
 
+def fx_lines_constant_sql() -> str:
+    named = dict(FX_LINES_COLUMNS) | {"order_profit_per_order": FX_CONSTANT_PROFIT}
+    cols = ",\n  ".join(f"{e} AS {n}" for n, e in named.items())
+    return f"SELECT\n  {cols}\nFROM {FX_JOIN_SQL}"
+
+
 def fx_lines_raw_sql() -> str:
     cols = ",\n  ".join(f"{FX_RAW_OVERRIDES.get(n, e)} AS {n}" for n, e in FX_LINES_COLUMNS)
     return (f"SELECT\n  {cols}\nFROM {FX_JOIN_SQL}\nUNION ALL\n"

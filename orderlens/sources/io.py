@@ -2,8 +2,10 @@
 
 Text input is read with a fixed schema (all strings unless one is given), so
 no inference pass runs over the data; types are then coerced column-wise
-with ``try_cast`` by ``operators.clean``. Parquet is the format between
-stages; CSV only at the edges.
+with ``try_cast`` by ``operators.clean``. ``infer_types=True`` gives numbers
+their types as the reference's reader does, by one aggregate over the text.
+Parquet is the format between stages; CSV only at the edges. Tables that
+later stages join by one key can be written bucketed by it.
 """
 
 from __future__ import annotations
@@ -12,7 +14,11 @@ from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructType
+
+from orderlens.functions.columns import nan_to_null, null_tokens, strip_blank
+from orderlens.session import ensure_checkpoint_dir
 
 # The text tokens pandas' CSV reader reads as missing by default.
 PANDAS_NA_TOKENS = (
@@ -32,9 +38,10 @@ def _load(reader, path: str, fmt: str) -> DataFrame:
 
 
 def read_lines(spark: SparkSession, path: str, schema: StructType | str | None = None,
-               fmt: str = "csv", header: bool = True) -> DataFrame:
+               fmt: str = "csv", header: bool = True, infer_types: bool = False) -> DataFrame:
     """A1: read an order-line table. CSV is read with a header and a fixed
-    schema (or as text columns when none is given: no inference pass)."""
+    schema, or as text columns when none is given; ``infer_types`` then types
+    the columns that hold numbers only (see ``infer_numbers``)."""
     reader = spark.read
     if fmt == "csv":
         reader = reader.option("header", header).option("multiLine", False)
@@ -44,7 +51,29 @@ def read_lines(spark: SparkSession, path: str, schema: StructType | str | None =
             reader = reader.option("inferSchema", False)
     elif schema is not None:
         reader = reader.schema(schema)
-    return _load(reader, path, fmt)
+    df = _load(reader, path, fmt)
+    return infer_numbers(df) if infer_types else df
+
+
+def infer_numbers(df: DataFrame, na_tokens: Sequence[str] = PANDAS_NA_TOKENS) -> DataFrame:
+    """Type text columns by what they hold, missing tokens and blanks left out: whole numbers
+    become longs, other numbers doubles, anything else stays text, and so does a column
+    without values. One aggregate over all text columns; two counts each reach the driver."""
+    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, StringType)]
+    if not texts:
+        return df
+    value = {c: strip_blank(null_tokens(F.col(f"`{c}`"), na_tokens)) for c in texts}
+    got = df.agg(*[e for i, c in enumerate(texts) for e in (
+        F.count(value[c]).alias(f"n{i}"), F.count(value[c].try_cast("double")).alias(f"d{i}"),
+        F.count_if(value[c].rlike(r"^[+-]?[0-9]+$") & value[c].try_cast("long").isNotNull()).alias(f"l{i}"))]).first()
+    typed = {}
+    for i, c in enumerate(texts):
+        n = got[f"n{i}"]
+        if n and got[f"l{i}"] == n:
+            typed[c] = value[c].try_cast("long")
+        elif n and got[f"d{i}"] == n:
+            typed[c] = nan_to_null(value[c].try_cast("double"))
+    return df.select(*[typed[c].alias(c) if c in typed else F.col(f"`{c}`") for c in df.columns])
 
 
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -55,6 +84,32 @@ def load_tables(spark: SparkSession, sf_dir: str, names: Sequence[str]) -> dict[
     return {n: read_table(spark, f"{sf_dir.rstrip('/')}/{n}.parquet") for n in names}
 
 
+def input_signature(spark: SparkSession, paths: Sequence[str]) -> str:
+    """One text that changes when any file under ``paths`` changes: name, size or time of change.
+    Spark lists the files; their contents are not read."""
+    files = spark.read.format("binaryFile").load(list(paths)).select("path", "length", "modificationTime")
+    marks = files.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"),
+                      F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)")).cast("string").alias("mark")).first()
+    return f"{marks['n']}_{marks['bytes']}_{marks['mark']}".replace("-", "m")
+
+
+def write_bucketed(df: DataFrame, table: str, key: str, buckets: int | None = None,
+                   partition_by: Sequence[str] = ()) -> DataFrame:
+    """Write a table of the session's catalog, bucketed and sorted by ``key``, into the shared
+    checkpoint folder, and read it back. Tables with one key and as many buckets join without
+    an exchange, and a reader takes only the columns it needs. ``df`` should already be
+    partitioned by ``key``; the default is a bucket for each of the session's shuffle
+    partitions, so that every task writes whole buckets."""
+    spark = df.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    writer = (df.write.mode("overwrite").format("parquet").option("path", f"{ensure_checkpoint_dir(spark)}/{table}")
+              .bucketBy(buckets, key).sortBy(key))
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    writer.saveAsTable(table)
+    return spark.table(table)
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "parquet",
                 partition_by: Sequence[str] | None = None, mode: str = "overwrite") -> str:
     """A5: overwrite a table; Parquet by default, CSV with a header on request."""

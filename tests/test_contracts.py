@@ -3,7 +3,7 @@ import pytest
 from orderlens.functions.contracts import (
     ContractError, assert_dates, assert_unique, present, require_columns,
 )
-from orderlens.operators import decision
+from orderlens.operators import decision, features
 from orderlens.sources.io import read_lines
 
 
@@ -25,6 +25,17 @@ def test_invalid_dates_abort(spark):
         assert_dates(df, "order_date")
 
 
+def test_invalid_date_ends_the_feature_job(spark):
+    columns = ("order_id int, line int, order_date string, late_delivery_risk int, days_for_shipment int, shipping_mode string, order_region string, "
+               "market string, customer_segment string, type string, order_item_total double, order_profit_per_order double, "
+               "order_item_quantity int, order_item_discount double, order_item_cardprod_id int, category_id string")
+    rest = (1, 2, "a", "r", "m", "s", "t", 1.5, 2.0, 3, 0.25, 7, "c")
+    df = spark.createDataFrame([(1, 1, "2018-01-31", *rest), (1, 2, "no date", *rest)], columns)
+    with pytest.raises(Exception, match="invalid values in order_date"):
+        features.order_features(df, ["line"]).collect()
+    assert features.order_features(df, ["line"], check_dates=False).count() == 1
+
+
 def _orders(spark, rows):
     return spark.createDataFrame(rows, "order_id long, revenue double, order_profit_per_order double, "
                                  "delivery_timing_group string, shipping_mode string, order_region string, "

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
-from orderlens.operators import models
+from orderlens.operators import evaluate, models
 from orderlens.plans import jobs
 from orderlens.sources.fixtures import LINE_ORDER, fx_lines
 
@@ -50,10 +50,45 @@ def test_same_seed_same_scores(spark, sf, run):
 def test_registered_queries_fit_all_four_models(spark, sf, monkeypatch):
     """The registered queries at a small forest and few rounds: every model has its rows."""
     full = jobs.model_comparison_run
-    monkeypatch.setattr(jobs, "model_comparison_run", lambda s, lines, order, which=jobs.ALL_MODELS: full(
-        s, lines, order, which=which, forest_trees=5, boosting_rounds=3))
+    monkeypatch.setattr(jobs, "model_comparison_run", lambda s, lines, order, which=jobs.ALL_MODELS, split=None: full(
+        s, lines, order, which=which, forest_trees=5, boosting_rounds=3, split=split))
     names = {r.model for r in E.queries()["f26_fitted_comparison"](spark, sf).collect()}
     assert names == {models.BASELINE, models.LOGISTIC, models.FOREST, models.BOOSTING}
     for query, model in (("f17_forest_scores", models.FOREST), ("f18_boosting_scores", models.BOOSTING)):
         scores = E.queries()[query](spark, sf)
         assert scores.count() == 1473 - int(1473 * 0.8) and {r.model for r in scores.select("model").distinct().collect()} == {model}
+
+
+def test_boosting_stops_by_the_rule():
+    falling = [1.0 - k / 100 for k in range(30)]
+    assert models.stop_round(falling) is None and models.stop_round(falling[:5]) is None
+    assert models.stop_round([*falling[:6], *[falling[5]] * 20]) == 16  # ten rounds without gain after the sixth
+    assert models.stop_round([0.5] * 11) == 11
+    assert models.stop_round([0.5] * 10 + [0.4] + [0.4] * 9) is None
+
+
+def test_boosting_early_stop_and_bounded_rows(spark, sf, monkeypatch):
+    from orderlens.operators import features
+    from orderlens.plans.stage_tables import feature_table
+
+    monkeypatch.setattr(models, "EARLY_STOP_ROWS", 500)
+    train, test = features.split_frames(feature_table(spark, sf))
+    prep = models.prepare(train, test, features.FEATURES)
+    made = models.tree_input(prep, fit_rows=900)
+    assert 800 < made.table.count() < 1000 and 0.05 < made.table.filter(models.HELD_OUT).count() / 900 < 0.15
+    fitted = models.fit_boosting(prep, rounds=40)
+    assert 1 <= fitted.rounds <= 40
+    scored = models.score(fitted, prep.test)
+    assert scored.count() == test.count() and evaluate.roc_auc(scored).first().roc_auc > 0.6
+    prep.release()
+
+
+def test_leakage_columns_are_refused(spark, sf):
+    from orderlens.functions.contracts import ContractError
+    from orderlens.operators import features
+    from orderlens.plans.stage_tables import feature_table
+
+    split = feature_table(spark, sf)
+    assert not set(features.feature_frame(split).columns) & set(features.LEAKAGE_COLUMNS)
+    with pytest.raises(ContractError, match="delivery_status"):
+        features.feature_frame(split, (*features.FEATURES, "delivery_status"))

@@ -8,7 +8,7 @@ from orderlens.operators import clean, features, line_kpi, orders
 from orderlens.plans.queries import QUERIES
 from orderlens.sources.fixtures import LINE_ORDER, fx_lines
 
-MODEL = {"f19_logistic_scores", "f26_fitted_comparison"}
+MODEL = {"f19_logistic_scores", "f26_fitted_comparison", "g10_fitted_decision"}
 
 
 def plan(df):
@@ -70,3 +70,59 @@ def test_order_grain_reads_lines_once(static, sf):
         p = plan(df)
         assert p.count("lineitem") == 1
         assert "Exchange hashpartitioning(order_id" not in p and "Expand" not in p
+
+
+def test_checks_ride_on_the_main_job(static, sf):
+    # the date check of the features and all of the order profile: one scan of the lines
+    for name in ("f2_order_features", "d10_orders_profile"):
+        assert plan(QUERIES[name](static, sf)).count("lineitem") == 1, name
+
+
+def test_profit_rule_starts_no_job(static, sf):
+    sc = static.sparkContext
+    lines = fx_lines(static, sf)
+    sc.setJobGroup("rule", "plan only")
+    try:
+        built = orders.build_orders(lines, LINE_ORDER)
+        assert not sc.statusTracker().getJobIdsForGroup("rule")
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert "Subquery" in plan(built) and "Subquery" not in plan(built.select("order_id", "revenue"))
+
+
+def scans(p):
+    return [line for line in p.split("\n") if "FileScan" in line]
+
+
+def test_stage_tables_are_read_pruned_and_join_without_exchange(static, sf):
+    p = plan(QUERIES["h2_late_by_mode"](static, sf))
+    # of the order table the key and the mode, of the scores the key, the label and the probability
+    schemas = sorted(line.split("ReadSchema: ")[1].split(",", 9)[0:9] for line in scans(p))
+    assert [s[:2] for s in schemas] == [["struct<order_id:bigint", "late_delivery_risk:int"], ["struct<order_id:bigint", "shipping_mode:string>"]]
+    for name in ("g2_join_scores", "g10_decision_table", "h1_headline", "h2_late_by_mode", "h5_review_queue", "f29_final_predictions"):
+        p = plan(QUERIES[name](static, sf))
+        assert "ExistingRDD" not in p and "hashpartitioning(order_id" not in p, name
+        assert "lineitem" not in p and "Bucketed: true" in p, name
+    # one model's scores, one side of the split
+    assert "PartitionFilters: [isnotnull(model" in plan(QUERIES["g2_join_scores"](static, sf))
+    assert "split" in next(s for s in scans(plan(QUERIES["f15_baselines"](static, sf))) if "PartitionFilters: [isnotnull(split" in s)
+
+
+def test_stage_tables_follow_their_input(spark, sf, tmp_path):
+    import shutil
+
+    from orderlens.plans import stage_tables
+    from orderlens.sources.fixtures import TABLES
+
+    for t in TABLES:
+        shutil.copy(f"{sf}/{t}.parquet", tmp_path / f"{t}.parquet")
+    n = stage_tables.order_table(spark, str(tmp_path)).count()
+    kept = spark.read.parquet(f"{sf}/lineitem.parquet").filter("l_orderkey % 2 = 0")
+    expected = kept.select("l_orderkey").distinct().count()
+    kept.write.parquet(str(tmp_path / "lineitem.new"))
+    (tmp_path / "lineitem.parquet").unlink()
+    shutil.copytree(tmp_path / "lineitem.new", tmp_path / "lineitem.parquet")
+    assert stage_tables.order_table(spark, str(tmp_path)).count() == expected < n
+    stage_tables.drop_stage_tables(spark)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("orderlens_")]
+    assert stage_tables.order_table(spark, sf).count() == n

@@ -8,7 +8,7 @@ from orderlens.plans.oracles import ORACLES
 from orderlens.plans.queries import QUERIES
 from tools.compare import compare, open_duckdb
 
-HEAVY = {"f19_logistic_scores", "f26_fitted_comparison"}
+HEAVY = {"f19_logistic_scores", "f26_fitted_comparison", "g10_fitted_decision"}
 NAMES = sorted(E.oracle_sql())
 
 
@@ -32,6 +32,12 @@ def test_orphan_scores_are_found(spark, sf):
     assert QUERIES["g4_orphan_scores"](spark, sf).count() > 0
 
 
+def test_fitted_scores_reach_the_decision_table(spark, sf):
+    got = QUERIES["g10_fitted_decision"](spark, sf)
+    test_side = QUERIES["f6_split_profile"](spark, sf).filter("split = 'test'").first().orders
+    assert got.count() == test_side and got.filter("revenue is null or risk_level is null").count() == 0
+
+
 def test_entry(spark):
     df = E.entry(spark)
     assert df.count() > 0

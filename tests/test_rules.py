@@ -123,9 +123,8 @@ def test_first_value_flags_count_distinct(spark):
 
 
 def test_auto_profit_rule_from_order_table(spark):
-    # D3 decided on the checkpointed order table: 'first' when every order
-    # holds one profit value (repeated on each line; missing counts as a
-    # value), else 'sum'
+    # D3 as a scalar subquery: 'first' when every order holds one profit value
+    # (repeated on each line; missing counts as a value), else 'sum'
     schema = ("order_id long, order_item_id int, order_item_total double, order_item_quantity int, "
               "order_profit_per_order double, delivery_status string, late_delivery_risk int, "
               "days_for_shipping_real int, days_for_shipment_scheduled int")
@@ -135,17 +134,24 @@ def test_auto_profit_rule_from_order_table(spark):
     varied = spark.createDataFrame(base + [(2, 3, 1.0, 1, -1.0, "Shipping on time", 0, 2, 2)], schema)
     got = {r.order_id: r.order_profit_per_order for r in orders.build_orders(const).collect()}
     assert got == {1: 5.0, 2: -2.0}
-    assert orders.choose_profit_rule(const) == "first"
+    assert spark.range(1).select(orders.choose_profit_rule(const)).first()[0] == "first"
     got = {r.order_id: r.order_profit_per_order for r in orders.build_orders(varied).collect()}
     assert got == {1: 10.0, 2: -5.0}
-    assert orders.choose_profit_rule(varied) == "sum"
+    assert spark.range(1).select(orders.choose_profit_rule(varied)).first()[0] == "sum"
 
 
-def test_build_reports_rule(spark):
+def test_rule_is_observed_on_the_write(spark, tmp_path):
     schema = ("order_id long, order_item_id int, order_item_total double, order_item_quantity int, "
               "order_profit_per_order double, delivery_status string, late_delivery_risk int, "
               "days_for_shipping_real int, days_for_shipment_scheduled int")
     df = spark.createDataFrame([(1, 1, 1.0, 1, 2.0, "Late delivery", 1, 3, 2),
                                 (1, 2, 1.0, 1, 3.0, "Late delivery", 1, 3, 2)], schema)
-    assert orders.build_orders_with_rule(df)[1] == "sum"
-    assert orders.build_orders_with_rule(df, profit_rule="first")[1] == "first"
+    for frame, rule, profit in ((df, "sum", 5.0), (df.filter("order_item_id = 1"), "first", 2.0), (df.limit(0), "first", None)):
+        candidates, seen = orders.observed_rule(orders.order_candidates(frame))
+        path = str(tmp_path / f"{rule}{profit}")
+        candidates.write.parquet(path)
+        assert seen() == rule
+        got = orders.finish_orders(spark.read.parquet(path), rule).first()
+        assert (got and got.order_profit_per_order) == profit
+    with pytest.raises(ValueError):
+        orders.build_orders(df, profit_rule="last")

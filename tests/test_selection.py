@@ -1,10 +1,14 @@
 """Exact k-th selection, medians, time split and AUC against brute force."""
 
+from datetime import date, timedelta
+from decimal import Decimal
+
 import numpy as np
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from orderlens.functions import selection
 from orderlens.functions.selection import exact_medians, kth_key, kth_smallest
 from orderlens.operators import evaluate, features
 
@@ -120,6 +124,62 @@ def test_select_best_on_published_grid(spark):
         assert all(a[6] >= b[6] and a[4] >= b[4] for a, b in zip(rows, rows[1:]))
 
 
+def test_brackets_narrow_and_stay_exact(spark, monkeypatch):
+    """Small limits, so that a few thousand rows take the sketch, the counting passes and the ranking."""
+    monkeypatch.setattr(selection, "SMALL", 50)
+    monkeypatch.setattr(selection, "INSIDE", 40)
+    r = np.random.default_rng(1)
+    normal, ties = r.normal(size=6000), r.integers(0, 4, 6000)
+    tail = np.where(r.random(6000) < 0.3, 7.0, r.exponential(size=6000) ** 4)
+    df = spark.createDataFrame([(float(a), int(b), float(c), None if k % 3 else float(a)) for k, (a, b, c) in enumerate(zip(normal, ties, tail))],
+                               "a double, b int, c double, d double").repartition(4)
+    got = exact_medians(df, ["a", "b", "c", "d"])
+    assert got == {"a": float(np.median(normal)), "b": float(np.median(ties)), "c": float(np.median(tail)), "d": float(np.median(normal[::3]))}
+    for k in (1, 2, 17, 5999, 6000):
+        assert kth_smallest(df, {"a": F.col("a"), "c": F.col("c")}, {"a": k, "c": k}) == {"a": np.sort(normal)[k - 1], "c": np.sort(tail)[k - 1]}
+
+
+def test_keys_of_any_orderable_type(spark, monkeypatch):
+    monkeypatch.setattr(selection, "INSIDE", 60)
+    monkeypatch.setattr(selection, "SAMPLE", 400)
+    n, r = 5000, np.random.default_rng(2)
+    days = r.integers(0, 5, n).tolist()
+    ids = r.permutation(n).tolist()
+    kinds = {"double": [i + 0.25 * (i % 4) for i in ids], "decimal(38,3)": [Decimal(10) ** 30 + Decimal(i) / 1000 for i in ids],
+             "string": ["x" * 3000 + f"{i:05d}" for i in ids], "date": [date(1990, 1, 1) + timedelta(days=i) for i in ids]}
+    for kind, values in kinds.items():
+        df = spark.createDataFrame(list(zip(days, values)), f"d int, order_id {kind}").select(F.date_add(F.lit("2020-01-01"), F.col("d")).alias("order_date"), "order_id", "d")
+        out = features.time_split(df)
+        train = {(x.d, x.order_id) for x in out.filter("split = 'train'").collect()}
+        assert train == set(sorted(zip(days, values))[:int(0.8 * n)]), kind
+    # one key on a third of the rows
+    keys = [(1, 5)] * 2000 + [(int(a), int(b)) for a, b in zip(r.integers(0, 3, 3000), r.integers(0, 1000, 3000))]
+    df = spark.createDataFrame(keys, "a int, b int").repartition(3)
+    for k in (1, 700, 1800, 2500, 5000):
+        assert tuple(kth_key(df, [F.col("a"), F.col("b")], k)) == sorted(keys)[k - 1]
+
+
+def test_missing_dates_come_last_in_the_split(spark):
+    df = spark.createDataFrame([(i, None if i < 2 else date(2020, 1, 1 + i)) for i in range(10)], "order_id long, order_date date")
+    assert {r.order_id for r in features.time_split(df).filter("split = 'test'").collect()} == {0, 1}
+
+
+def test_scores_close_together_spread_over_buckets(spark):
+    r = np.random.default_rng(3)
+    ps, ys = 0.5 + 2e-5 * r.random(20_000), r.integers(0, 2, 20_000)
+    df = spark.createDataFrame([("m", i, int(y), float(p)) for i, (y, p) in enumerate(zip(ys, ps))],
+                               "model string, order_id long, late_delivery_risk int, late_delivery_probability double")
+    sizes = [x.n for x in evaluate.score_buckets(df.withColumn("p", F.col("late_delivery_probability")), "model").groupBy("b")
+             .agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) == evaluate.AUC_BUCKETS and max(sizes) < 4 * 20_000 / evaluate.AUC_BUCKETS
+    order = np.argsort(ps)
+    ranks = np.empty(len(ps))
+    ranks[order] = np.arange(1, len(ps) + 1)
+    n1 = int(ys.sum())
+    exact = (ranks[ys == 1].sum() - n1 * (n1 + 1) / 2) / (n1 * (len(ys) - n1))
+    assert abs(evaluate.roc_auc(df).first().roc_auc - exact) < 1e-12
+
+
 def test_time_split_text_ids(spark):
     ids = ["A-6", "A-10", "10", "9", "", "A-6 with a longer tail", "é", "A", "B-1", "2"]
     df = spark.createDataFrame([(i, "2020-01-01") for i in ids], "order_id string, d string") \
