@@ -254,10 +254,24 @@ def _seeded(rows: DataFrame, trees: list[dict], windows: dict, k: int, same: boo
     return _search(rows, trees, cut, k, same, scale)
 
 
-def _trees(planted: DataFrame, part: int, scale: float) -> list[dict]:
-    """One slice's blocks on the driver (at most ``SLICE_BYTES`` of vectors and a block)."""
+def _slices(planted: DataFrame, slice_bytes: int) -> list[list[int]]:
+    """The tasks' slices, small ones together, so that how many tasks planted them does not matter."""
+    sizes = planted.groupBy("slice").agg(F.sum(8 * F.size("vec") + 8).alias("bytes")).collect()
+    out: list[list[int]] = []
+    used = 0
+    for r in sorted(sizes, key=lambda r: r.slice):
+        if not out or used + r.bytes > slice_bytes:
+            out.append([])
+            used = 0
+        out[-1].append(r.slice)
+        used += r.bytes
+    return out
+
+
+def _trees(planted: DataFrame, parts: list[int], scale: float) -> list[dict]:
+    """Some slices' blocks on the driver (``SLICE_BYTES`` of vectors and a block at most)."""
     out, start = [], 0
-    rows = sorted(planted.where(F.col("slice") == part).collect(), key=lambda r: (r.block, r.pos))
+    rows = sorted(planted.where(F.col("slice").isin(parts)).collect(), key=lambda r: (r.block, r.pos))
     for _, group in groupby(rows, lambda r: r.block):
         held = list(group)
         x = np.floor(scale * np.array([r.vec for r in held], np.float64).reshape(len(held), -1))
@@ -282,8 +296,8 @@ def mine_hard_negatives(rows: DataFrame, anchor: Column, label: Column, vec_id:
     planted = plant_trees(_taking_part(rows.where(anchor), vec_id, vector, label), scale, block, slice_bytes)
     path = table_path(spark, "negatives")
     spark.createDataFrame([], FOUND_NEGATIVES).write.parquet(path)
-    for part in sorted(r.slice for r in planted.select("slice").distinct().collect()):
-        trees = _trees(planted, part, scale)
+    for parts in _slices(planted, slice_bytes):
+        trees = _trees(planted, parts, scale)
         everything = {t["start"] + i: [(float("-inf"), float("inf"))] for t in trees for i in range(len(t["ids"]))}
         chosen: dict[int, list] = {}
         for r in _seeded(base, trees, everything, positives, True, scale).collect():  # at most ``positives`` rows an anchor
