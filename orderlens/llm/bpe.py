@@ -28,6 +28,8 @@ from orderlens.llm.shared import in_process, map_text, text_or_empty
 
 #: distinct words, and units, that a task keeps at most; beyond it they are forgotten and encoded anew
 CACHE_WORDS = 700_000
+#: the same where byte-level encoding is one of several operators in a session, whose workers keep it
+FOLDED_WORDS = 250_000
 #: marks that are a word of their own after letters and before white space
 MARKS = frozenset(".,;:!?")
 #: slots of the literal rank table
@@ -259,7 +261,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text") -
         def build():
             table = MergeTable.__new__(MergeTable)
             table.__dict__.update(shared.value)
-            return UnitEncoder(pattern, table)
+            return UnitEncoder(pattern, table, FOLDED_WORDS)
 
         encoder = in_process(("merges", ranks_path, pattern), build)
 

@@ -3,6 +3,7 @@ numpy work on whole Arrow text columns inside Spark tasks."""
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 import uuid
@@ -204,6 +205,15 @@ def in_process(key: tuple, build):
     return held[key]
 
 
+def give_back() -> None:
+    """Return unused memory to the system: a worker that Spark reuses must not keep the peak of every task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def map_text(df: DataFrame, text: str, new_fields: str, make) -> DataFrame:
     """Append columns computed from whole texts, batch by batch, in bounded memory.
 
@@ -223,5 +233,6 @@ def map_text(df: DataFrame, text: str, new_fields: str, make) -> DataFrame:
                 new = [a if isinstance(a, pa.Array) else pa.array(a, t)
                        for a, t in zip(work(part, raw, offs), new_types, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns, *new], schema.names)
+        give_back()
 
     return df.mapInArrow(run, schema)
