@@ -71,7 +71,7 @@ def op8_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = base.join(changed.select("k", "h", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha")), ["k", "h"], "left")
     zero = F.lit(0).cast("long")
     return out.select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"),
-                      F.coalesce("kept_sha", "sha").alias("kept_sha256"))
+                      F.coalesce("kept_sha", "sha").alias("kept_sha256"), (F.coalesce("n_removed", zero) > 0).alias("repeated"))
 
 
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
