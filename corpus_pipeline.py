@@ -3,8 +3,9 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes it as
 Parquet in the shared folder and rereads it as the next stage's documents. All stages but
 the last return the columns of their input. A stage keeps every row that it has no reason
-to drop, rows with a null doc_id and repeated rows included (of rows that repeat a doc_id,
-the near-duplicate stage keeps one); an empty table stays empty.
+to drop: rows with a null doc_id stay, and so do different texts under one doc_id (of rows
+that repeat both, and of copies without an id, the near-duplicate stage keeps one); an empty
+table stays empty.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orderlens.llm import bpe, decontam, neardup, pii, quality
-from orderlens.llm.shared import store
+from orderlens.llm.shared import store, text_or_empty
 
 
 def _with_text(rows: DataFrame, docs: DataFrame, text) -> DataFrame:
@@ -30,10 +31,15 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    kept = neardup.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    known = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return known.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    """One document of each group of near copies stays, documents without an id included: the
+    one with the smallest id, and one row of it. A text without words is no copy of anything."""
+    found = neardup.groups(docs, null_ids=True)
+    leads = F.col("leader").isNull() | (F.col("leader.id").eqNullSafe(F.col("id")) & (F.col("leader.h") == F.col("h")))
+    kept = found.where(leads).select(F.col("id").alias("__id"), F.col("h").alias("__h"), (F.col("n") == 0).alias("__bare")).distinct()
+    known = docs.withColumn("__text", F.xxhash64(text_or_empty())).join(
+        kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__h")))
+    rows = known.where("not __bare").dropDuplicates(["doc_id", "__text"]).unionByName(known.where("__bare"))
+    return rows.select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,9 +12,10 @@ bounded size, so a link that does not pass by a smallest member is found too, an
 bucket is cut short. All candidates are confirmed on full shingle sets.
 
 Defined cases: null, empty and white-only texts have an empty set and are linked with
-nothing; a text of fewer than five words is one shingle; rows without a doc_id are linked
-with nothing; repeated rows fall together; other columns are ignored; an empty table gives
-an empty result.
+nothing; a text of fewer than five words is one shingle, a very long one is a numpy step of
+its own; rows without a doc_id are linked with nothing; repeated rows fall together, and
+different texts under one doc_id are members of their own, which the id does not link;
+other columns are ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orderlens.llm.components import components
-from orderlens.llm.shared import NOT_WHITE, map_text, mix, ranges, store, text_or_empty, window_hash, word_hashes
+from orderlens.llm.shared import NOT_WHITE, give_back, map_text, mix, ranges, store, text_or_empty, window_hash, word_hashes
 
 SHINGLE = 5
 #: similarity, in percent, from which documents are linked
@@ -98,7 +99,7 @@ def _lists(rows: np.ndarray) -> pa.Array:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(id, n, s1, s2, a, b, signature) of whole texts; ``docs`` has id and t."""
+    """(id, h, n, s1, s2, a, b, signature) of whole texts; ``docs`` has id, t and its hash h."""
     def make():
         def work(batch, raw, offs):
             values, first = shingle_sets(raw, offs)
@@ -146,8 +147,8 @@ def promising(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def confirm(pairs: DataFrame, texts: DataFrame, nodes: DataFrame) -> DataFrame:
     """Links (u, v): pairs whose full shingle sets reach the similarity."""
-    wanted = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
-    wanted = wanted.join(nodes.select(F.col("node").alias("id"), "s1"), "id")
+    wanted = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+    wanted = wanted.join(nodes.select("node", "id", "h", "s1"), "node").select("node", "id", "h", "s1")
 
     def make():
         def work(batch, raw, offs):
@@ -156,8 +157,9 @@ def confirm(pairs: DataFrame, texts: DataFrame, nodes: DataFrame) -> DataFrame:
             return [pa.array([values[a:b].tobytes() for a, b in zip(first.tolist(), first[1:].tolist())], pa.binary()), one.view(np.int64)]
         return work
 
-    sets = (map_text(texts.join(wanted, "id"), "t", "hashes binary, found long", make).where("found = s1")
-            .groupBy("id").agg(F.first("hashes").alias("hashes")))
+    read = texts.join(wanted.withColumnsRenamed({"id": "of", "h": "oh"}), F.col("id").eqNullSafe(F.col("of")) & (F.col("h") == F.col("oh")))
+    sets = (map_text(read.select("node", "s1", "t"), "t", "hashes binary, found long", make).where("found = s1")
+            .groupBy("node").agg(F.first("hashes").alias("hashes")))
     sets = store(sets, "sets")
 
     def check(batches):
@@ -170,8 +172,9 @@ def confirm(pairs: DataFrame, texts: DataFrame, nodes: DataFrame) -> DataFrame:
                 both = int((q[at] == p).sum())
                 good.append(100 * both >= SIMILAR * (len(p) + len(q) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(good, pa.bool_()))
+        give_back()
 
-    left, right = (sets.select(F.col("id").alias(k), F.col("hashes").alias(f"h{k}")) for k in "uv")
+    left, right = (sets.select(F.col("node").alias(k), F.col("hashes").alias(f"h{k}")) for k in "uv")
     return pairs.join(left, "u").join(right, "v").select("u", "v", "hu", "hv").mapInArrow(check, "u long, v long")
 
 
@@ -201,6 +204,7 @@ def _across(members: DataFrame) -> DataFrame:
             held = table.slice(cut).to_batches()
         if held:
             yield from pairs_of(pa.Table.from_batches(held))
+        give_back()
 
     def pairs_of(table):
         key, i, j, mine, ia, ib, node, part, size = (table.column(k).to_numpy() for k in range(9))
@@ -228,33 +232,47 @@ def _across(members: DataFrame) -> DataFrame:
     return sent.mapInArrow(compare, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row."""
-    texts = docs.select(F.col(doc_id).cast("long").alias("id"), text_or_empty(text).alias("t"))
+def groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", null_ids: bool = False) -> DataFrame:
+    """(id, h, n, leader) for every row: the hash of its text, its set's size, and the (id, h) that
+    leads its group, the smallest one, rows without an id last. A row without words has no
+    leader, and one without an id has none unless ``null_ids`` asks for them.
+
+    Rows are told apart by id and text, so two texts under one id are two members."""
+    texts = docs.select(F.col(doc_id).cast("long").alias("id"), text_or_empty(text).alias("t")).withColumn("h", F.xxhash64("t"))
     rows = store(sketches(texts), "sketches")
-    same = rows.where("n > 0 and id is not null").groupBy("s1", "s2", "n")
-    classes = store(same.agg(F.min("id").alias("node"), F.min_by(F.struct("a", "b", "signature"), "id").alias("x"))
-                    .select("s1", "s2", "n", "node", "x.*"), "classes")
-    nodes = classes.dropDuplicates(["node"])
-    keys = store(table_keys(nodes), "keys")
+    member = F.struct(F.col("id").isNull().alias("last"), "id", "h")
+    taking = rows.where("n > 0" if null_ids else "n > 0 and id is not null")
+    same = taking.groupBy("s1", "s2", "n").agg(F.min(member).alias("first"), F.min_by(F.struct("a", "b", "signature"), member).alias("x"))
+    # a class of equal sets is a node; its number holds from here on, as the table is stored
+    classes = store(same.withColumn("node", F.monotonically_increasing_id()).select(
+        "s1", "s2", "n", "node", "first", F.col("first.id").alias("id"), F.col("first.h").alias("h"), "x.*"), "classes")
+    keys = store(table_keys(classes), "keys")
     lead = keys.groupBy("key").agg(F.min("node").alias("u"), F.count("*").alias("c")).where("c > 1")
     pairs = keys.join(lead, "key").where("node != u").select("u", F.col("node").alias("v")).distinct()
-    links = store(confirm(store(promising(pairs, nodes), "pairs"), texts, nodes), "links")
+    links = store(confirm(store(promising(pairs, classes), "pairs"), texts, classes), "links")
     found = store(components(links), "components")
     # buckets that hold several components
     placed = keys.join(found.withColumnRenamed("component", "c"), "node", "left").select(
         "key", "ia", "ib", "node", F.coalesce("c", "node").alias("component"))
     open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c")).where("lo != hi")
     members = (placed.join(open_keys.select("key", F.ceil(F.col("c") / BLOCK).alias("blocks")), "key")
-               .join(nodes.select("node", "n", "a", "b", "signature"), "node"))
+               .join(classes.select("node", "n", "a", "b", "signature"), "node"))
     more = store(_across(members), "across").join(links, ["u", "v"], "left_anti")
-    late = store(confirm(store(more, "late"), texts, nodes), "late-links")
+    late = store(confirm(store(more, "late"), texts, classes), "late-links")
     if not late.isEmpty():
         joined = found.where("node != component").select(F.col("node").alias("u"), F.col("component").alias("v"))
         found = store(components(joined.unionByName(late)), "components")
-    of_class = classes.select("s1", "s2", "n", "node").join(found, "node", "left").select(
-        "s1", "s2", "n", F.coalesce("component", "node").alias("c"))
-    return (rows.select("id", "n", "s1", "s2").join(of_class, ["s1", "s2", "n"], "left")
-            .select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"),
-                    F.when(F.col("id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("c", "id")).alias("component_id"))
+    of_class = classes.select("s1", "s2", "n", "node", "first").join(found, "node", "left").select(
+        "s1", "s2", "n", "first", F.coalesce("component", "node").alias("c"))
+    leaders = of_class.groupBy("c").agg(F.min("first").alias("leader"))
+    of_class = of_class.join(leaders, "c").select("s1", "s2", "n", F.struct("leader.id", "leader.h").alias("leader"))
+    out = rows.select("id", "h", "n", "s1", "s2").join(of_class, ["s1", "s2", "n"], "left")
+    return out.select("id", "h", "n", F.when(F.lit(null_ids) | F.col("id").isNotNull(), F.col("leader")).alias("leader"))
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row. Where one id stands on several
+    texts each is a member of its own; a row without an id has no component."""
+    return (groups(docs, text, doc_id)
+            .select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("leader.id", "id").alias("component_id"))
             .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))

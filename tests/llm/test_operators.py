@@ -339,6 +339,22 @@ def test_near_duplicates_chain_and_odd_rows(spark, odd, none):
     assert all(r.component_id is None for r in out if r.doc_id is None) and neardup.near_duplicates(none).count() == 0
 
 
+def test_near_duplicates_with_repeated_and_missing_ids(spark, sf):
+    import corpus_pipeline
+
+    a, b = (" ".join(f"{x}{k}" for k in range(200)) for x in "ab")
+    rows = [(1, a), (1, b), (2, a.replace("a100", "other")), (3, b.replace("b100", "other")), (None, a), (None, "alone here"), (None, "alone here"),
+            (None, ""), (None, None), (4, ""), (1, a), (7, "x"), (7, "y")]
+    frame = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = sorted(((r.doc_id or 0, r.component_id or 0, r.kept) for r in neardup.near_duplicates(frame).collect()))
+    assert got == sorted([(1, 1, True)] * 3 + [(2, 1, False), (3, 1, False), (4, 4, True), (7, 7, True), (7, 7, True)] + [(0, 0, True)] * 5)
+    kept = corpus_pipeline.near_duplicate_stage(spark, frame, sf)
+    # one row of each group, texts without words as they are
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted(
+        [(1, a), (1, b), (0, "alone here"), (0, ""), (0, ""), (4, ""), (7, "x"), (7, "y")])
+    assert kept.columns == frame.columns
+
+
 def test_pipeline(spark, sf, odd, none, tmp_path):
     import corpus_pipeline
 
