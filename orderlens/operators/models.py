@@ -39,7 +39,7 @@ BOOSTING_ROUNDS, BOOSTING_RATE, BOOSTING_DEPTH, BOOSTING_BINS, BOOSTING_SEED = 2
 WEIGHT, HELD_OUT, VECTOR = "__w", "__held_out", "features"
 #: labelled rows that the two tree models are fitted on, about (picked by a hash of the order
 #: id); logistic regression is fitted on all rows, and every test row is scored by every model
-FIT_ROWS = 100_000
+FIT_ROWS = 50_000
 #: split points per feature of the forest: every node of 300 trees keeps counts for each
 FOREST_BINS = 32
 #: rows of the tree models' table in one partition at least (each sends the counts of all open nodes)
