@@ -9,9 +9,9 @@ grouped table.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Observation, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -29,6 +29,7 @@ TIMESTAMP_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "M/d/yyyy H:mm", "M/d/
                      "yyyy-MM-dd HH:mm", "yyyy-MM-dd'T'HH:mm:ss")
 NUMERIC_TARGETS = ("days_for_shipping_real", "days_for_shipment_scheduled", "late_delivery_risk",
                    "order_item_total", "sales", "order_profit_per_order")
+COPIES = "__copies"
 TIMING_FROM_DELAY = ("Late", "On Time", "Early")
 
 
@@ -153,14 +154,14 @@ def clean_lines(raw: DataFrame, na_tokens: Sequence[str] = PANDAS_NA_TOKENS) ->
 
 def _row_groups(df: DataFrame) -> DataFrame:
     """Distinct rows with their multiplicity: the one shuffle of the profile."""
-    return df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("__copies"))
+    return df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias(COPIES))
 
 
 def duplicate_count(df: DataFrame) -> DataFrame:
     """Rows beyond the first copy of each distinct row. Typed lines will do: columns
     derived from them make no two rows differ."""
     return _row_groups(df).agg(
-        F.coalesce(F.sum(F.col("__copies") - 1), F.lit(0)).cast("long").alias("duplicates"))
+        F.coalesce(F.sum(F.col(COPIES) - 1), F.lit(0)).cast("long").alias("duplicates"))
 
 
 def missing_by_column(df: DataFrame) -> DataFrame:
@@ -176,49 +177,35 @@ def missing_by_column(df: DataFrame) -> DataFrame:
     return long.filter(F.col("missing_cells") > 0).withColumn("rank", F.row_number().over(w))
 
 
-def _missing_cells(columns: Sequence[str]):
-    return F.coalesce(F.sum(sum((F.col(c).isNull().cast("long") for c in columns), F.lit(0).cast("long"))), F.lit(0))
+def counted_lines(raw: DataFrame, na_tokens: Sequence[str] = PANDAS_NA_TOKENS) -> DataFrame:
+    """B1-B14 with the number of copies of each distinct line: the table to write where both the
+    cleaned lines and their profile are wanted."""
+    return derive_line_columns(_row_groups(type_lines(raw, na_tokens)))
 
 
-def _profile_rows(rows_before, rows_after, columns: int, missing_cells) -> list:
-    values = [("rows_before", rows_before), ("rows_after", rows_after), ("columns", columns),
-              ("duplicates_removed", rows_before - rows_after), ("missing_cells", missing_cells)]
-    return [(i + 1, m, v) for i, (m, v) in enumerate(values)]
-
-
-def cleaning_profile(typed: DataFrame) -> DataFrame:
-    """Rows before and after de-duplication, columns, duplicates removed and missing
-    cells after, from one grouping of the typed lines; the derived columns (B6-B12) are added
-    to the distinct rows and count as columns and cells too."""
-    distinct = derive_line_columns(_row_groups(typed))
-    columns = [c for c in distinct.columns if c != "__copies"]
-    agg = distinct.agg(F.coalesce(F.sum("__copies"), F.lit(0)).cast("long").alias("before"), F.count(F.lit(1)).alias("after"),
-                       _missing_cells(columns).alias("missing"))
-    rows = _profile_rows(F.col("before"), F.col("after"), F.lit(len(columns)).cast("long"), F.col("missing"))
+def profile_of(counted: DataFrame) -> DataFrame:
+    """B16 from counted lines: rows before and after de-duplication, columns, duplicates removed
+    and missing cells after."""
+    columns = [c for c in counted.columns if c != COPIES]
+    nulls = sum((F.col(c).isNull().cast("long") for c in columns), F.lit(0).cast("long"))
+    agg = counted.agg(F.coalesce(F.sum(COPIES), F.lit(0)).cast("long").alias("before"), F.count(F.lit(1)).alias("after"),
+                      F.coalesce(F.sum(nulls), F.lit(0)).alias("missing"))
+    values = [("rows_before", F.col("before")), ("rows_after", F.col("after")), ("columns", F.lit(len(columns)).cast("long")),
+              ("duplicates_removed", F.col("before") - F.col("after")), ("missing_cells", F.col("missing"))]
     return agg.select(F.explode(F.array(*[
-        F.struct(F.lit(i).alias("metric_order"), F.lit(n).alias("metric"), v.alias("value")) for i, n, v in rows
+        F.struct(F.lit(i + 1).alias("metric_order"), F.lit(n).alias("metric"), v.alias("value")) for i, (n, v) in enumerate(values)
     ])).alias("m")).select("m.*")
 
 
-def observed_clean_lines(raw: DataFrame, na_tokens: Sequence[str] = PANDAS_NA_TOKENS) -> tuple[DataFrame, Callable[[], DataFrame]]:
-    """B1-B14 and B16 in one job: the cleaned lines to write and, once they are written, their
-    cleaning profile. The counts ride on the write as observed metrics."""
-    before, after = Observation(), Observation()
-    typed = type_lines(raw, na_tokens).observe(before, F.count(F.lit(1)).alias("n"))
-    clean = derive_line_columns(drop_exact_duplicates(typed))
-    columns = clean.columns
-    clean = clean.observe(after, F.count(F.lit(1)).alias("n"), _missing_cells(columns).alias("missing"))
-
-    def profile() -> DataFrame:
-        rows = _profile_rows(before.get["n"], after.get["n"], len(columns), after.get["missing"])
-        return raw.sparkSession.createDataFrame(rows, "metric_order int, metric string, value long")
-
-    return clean, profile
+def cleaning_profile(typed: DataFrame) -> DataFrame:
+    """B16 from one grouping of the typed lines; the derived columns (B6-B12) are added to the
+    distinct rows and count as columns and cells too."""
+    return profile_of(derive_line_columns(_row_groups(typed)))
 
 
 __all__ = [
     "normalize_names", "rename_aliases", "clean_strings", "coerce_timestamps", "coerce_numeric",
     "with_delay", "with_calendar", "with_revenue", "with_profit_status", "derive_line_columns",
-    "type_lines", "prepare_lines", "drop_exact_duplicates", "clean_lines", "observed_clean_lines",
+    "type_lines", "prepare_lines", "drop_exact_duplicates", "clean_lines", "counted_lines", "profile_of",
     "duplicate_count", "missing_by_column", "cleaning_profile",
 ]

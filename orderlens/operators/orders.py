@@ -7,9 +7,9 @@ table partitioned by ``order_id``) none of them adds a shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderlens.functions.columns import (
@@ -145,12 +145,11 @@ def finish_orders(candidates: DataFrame, rule: str | Column) -> DataFrame:
         F.when(F.col("order_profit_per_order") < 0, 1).otherwise(0).alias("loss_flag"))
 
 
-def observed_rule(candidates: DataFrame) -> tuple[DataFrame, Callable[[], str]]:
-    """D2 and D3 riding on the job that writes the order table: the candidates to write and,
-    once they are written, the rule. The lines are read once."""
-    seen = Observation()
-    watched = candidates.observe(seen, F.bool_and(~F.col("__profit_many")).alias("constant"))
-    return watched, lambda: "sum" if seen.get["constant"] is False else "first"
+def written_rule(candidates: DataFrame) -> str:
+    """D3 from a written table of candidates: its flag column alone is read, the lines were read
+    once. (An observed metric of the write would do as well, but a session that has used one
+    can no longer apply a fitted ML model that keeps its training summary.)"""
+    return "sum" if candidates.agg(F.bool_or("__profit_many")).first()[0] else "first"
 
 
 def value_counts(df: DataFrame, column: str, name: str = "orders") -> DataFrame:

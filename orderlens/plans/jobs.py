@@ -31,9 +31,10 @@ def _stage(spark: SparkSession, df: DataFrame, out_dir: str, name: str, fmt: str
 def operations_report(spark: SparkSession, raw_lines: DataFrame, out_dir: str,
                       line_order: Sequence[str], fmt: str = "parquet") -> dict[str, DataFrame]:
     """Scripts 01-04: clean lines, line KPIs, orders, order KPIs."""
-    cleaned, profile = clean.observed_clean_lines(raw_lines)  # the profile rides on the write
-    lines = _stage(spark, cleaned, out_dir, "order_lines", fmt)
-    out = {"cleaning_profile": profile()}
+    # the distinct lines are written with their multiplicity: the profile needs no second grouping
+    counted = _stage(spark, clean.counted_lines(raw_lines), out_dir, "order_lines", fmt)
+    out = {"cleaning_profile": clean.profile_of(counted)}
+    lines = counted.drop(clean.COPIES)
     out["missing_by_column"] = clean.missing_by_column(lines)
     out["line_kpis"] = line_kpi.line_kpis(lines)
     bd = line_kpi.line_breakdown(lines)
@@ -41,10 +42,9 @@ def operations_report(spark: SparkSession, raw_lines: DataFrame, out_dir: str,
     out["worst_late_lines"] = line_kpi.worst_late_lines(bd)
     out["worst_profit_lines"] = line_kpi.worst_profit_lines(bd)
     out["field_conflicts"] = orders.field_conflicts(lines)
-    # both profits are written, and the rule is seen on the way (one pass over the lines)
-    candidates, rule = orders.observed_rule(orders.order_candidates(lines, line_order))
-    written = _stage(spark, candidates, out_dir, "order_candidates", fmt)
-    built = _stage(spark, orders.finish_orders(written, rule()), out_dir, "orders", fmt)
+    # both profits are written, and the rule follows from them (one pass over the lines)
+    written = _stage(spark, orders.order_candidates(lines, line_order), out_dir, "order_candidates", fmt)
+    built = _stage(spark, orders.finish_orders(written, orders.written_rule(written)), out_dir, "orders", fmt)
     out["orders"] = built
     out["orders_profile"] = orders.orders_profile(lines, line_order)
     out["timing_counts"] = orders.value_counts(built, "delivery_timing_group")

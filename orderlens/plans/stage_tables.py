@@ -34,13 +34,12 @@ def _table(spark: SparkSession, sf_dir: str, kind: str, write: Callable[[str, in
 
 
 def order_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The order table. Both profits are written in one pass over the lines, and the
-    profit rule is observed on the way; it is kept as a property of the table."""
+    """The order table. Both profits are written in one pass over the lines; the rule
+    comes from the written flag column and is kept as a property of the table."""
 
     def write(name: str, buckets: int) -> None:
-        candidates, rule = orders.observed_rule(orders.order_candidates(fx_lines(spark, sf_dir), LINE_ORDER))
-        write_bucketed(candidates, name, "order_id", buckets)
-        spark.sql(f"ALTER TABLE {name} SET TBLPROPERTIES ('{RULE}' = '{rule()}')")
+        written = write_bucketed(orders.order_candidates(fx_lines(spark, sf_dir), LINE_ORDER), name, "order_id", buckets)
+        spark.sql(f"ALTER TABLE {name} SET TBLPROPERTIES ('{RULE}' = '{orders.written_rule(written)}')")
 
     name, table = _table(spark, sf_dir, "orders", write)
     rule = spark.sql(f"SHOW TBLPROPERTIES {name} ('{RULE}')").first()["value"]

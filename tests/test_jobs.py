@@ -13,7 +13,7 @@ def test_operations_report(spark, sf, tmp_path):
     assert spark.read.parquet(str(tmp_path / "order_lines")).count() == 6000
     built = spark.read.parquet(str(tmp_path / "orders"))
     assert built.count() == out["orders"].count()
-    # the profile observed on the write equals the one computed from a grouping of its own
+    # the profile of the written lines equals the one computed from a grouping of its own
     whole = clean.cleaning_profile(clean.type_lines(fx_lines_raw(spark, sf)))
     assert {(r.metric, r.value) for r in out["cleaning_profile"].collect()} == {(r.metric, r.value) for r in whole.collect()}
     k = {r.kpi: r.value for r in out["order_kpis"].collect()}

@@ -140,18 +140,18 @@ def test_auto_profit_rule_from_order_table(spark):
     assert spark.range(1).select(orders.choose_profit_rule(varied)).first()[0] == "sum"
 
 
-def test_rule_is_observed_on_the_write(spark, tmp_path):
+def test_rule_follows_from_the_written_table(spark, tmp_path):
     schema = ("order_id long, order_item_id int, order_item_total double, order_item_quantity int, "
               "order_profit_per_order double, delivery_status string, late_delivery_risk int, "
               "days_for_shipping_real int, days_for_shipment_scheduled int")
     df = spark.createDataFrame([(1, 1, 1.0, 1, 2.0, "Late delivery", 1, 3, 2),
                                 (1, 2, 1.0, 1, 3.0, "Late delivery", 1, 3, 2)], schema)
     for frame, rule, profit in ((df, "sum", 5.0), (df.filter("order_item_id = 1"), "first", 2.0), (df.limit(0), "first", None)):
-        candidates, seen = orders.observed_rule(orders.order_candidates(frame))
         path = str(tmp_path / f"{rule}{profit}")
-        candidates.write.parquet(path)
-        assert seen() == rule
-        got = orders.finish_orders(spark.read.parquet(path), rule).first()
+        orders.order_candidates(frame).write.parquet(path)
+        written = spark.read.parquet(path)
+        assert orders.written_rule(written) == rule
+        got = orders.finish_orders(written, rule).first()
         assert (got and got.order_profit_per_order) == profit
     with pytest.raises(ValueError):
         orders.build_orders(df, profit_rule="last")
