@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from orderlens.functions.columns import money_sum, ratio_or_zero, ratio_with_inf
 from orderlens.functions.contracts import present, require_columns
-from orderlens.functions.shapes import kpi_table, stack_dimensions, top_k
+from orderlens.functions.shapes import dimension_totals, kpi_table, top_k
 
 # Required columns, KPI names and dimensions of the line-level report.
 LINE_REQUIRED = (
@@ -80,25 +80,21 @@ def line_breakdown(df: DataFrame, dims: Sequence[str] = LINE_DIMENSIONS) -> Data
     """Per dimension value (missing kept): lines, distinct orders,
     revenue, profit, late rate, mean shipping and delay days, margin.
 
-    All dimensions in one pass: lines are stacked once per dimension and one
-    ``groupBy(dimension, dimension_value)`` runs with a single distinct
-    aggregate, which Spark plans as two partial-aggregation stages (first by
-    value and order, then by value), so no group is ever collected whole."""
+    All dimensions in one pass (``dimension_totals``); no group is ever
+    collected whole."""
     require_columns(df, LINE_REQUIRED, "order lines")
     dims = present(df, dims)
-    keep = ["order_id", "revenue_value", "order_profit_per_order", "late_delivery_risk",
-            "days_for_shipping_real", "shipping_delay_days"]
-    stacked = stack_dimensions(df, dims, keep)
-    bd = stacked.groupBy("dimension", "dimension_value").agg(
-        F.count(F.lit(1)).alias("order_lines"),
-        F.count_distinct("order_id").alias("unique_orders"),
-        money_sum("revenue_value").alias("revenue"),
-        money_sum("order_profit_per_order").alias("profit"),
-        F.avg("late_delivery_risk").cast("double").alias("late_delivery_rate"),
-        F.avg("days_for_shipping_real").cast("double").alias("avg_shipping_days"),
-        F.avg("shipping_delay_days").cast("double").alias("avg_delay_days"),
-    )
-    return bd.withColumn("profit_margin", ratio_with_inf("profit", "revenue"))
+    means = {"late_delivery_rate": "late_delivery_risk", "avg_shipping_days": "days_for_shipping_real",
+             "avg_delay_days": "shipping_delay_days"}
+    sums = {f"__{part}_{c}": fn(c) for c in means.values()
+            for part, fn in (("sum", F.col), ("n", lambda c: F.col(c).isNotNull().cast("long")))}
+    bd = dimension_totals(df, dims, "order_id", sums,
+                          {"revenue": F.col("revenue_value"), "profit": F.col("order_profit_per_order")})
+    return bd.select(
+        "dimension", "dimension_value", F.col("rows").alias("order_lines"),
+        F.col("unique_keys").alias("unique_orders"), "revenue", "profit",
+        *[_avg_of(f"__sum_{c}", f"__n_{c}").alias(name) for name, c in means.items()],
+        ratio_with_inf("profit", "revenue").alias("profit_margin"))
 
 
 def worst_late_lines(bd: DataFrame, k: int = 10, min_orders: int = 100,

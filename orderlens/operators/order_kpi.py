@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderlens.functions.columns import money_sum, rate, ratio_or_zero, ratio_with_inf
+from orderlens.functions.columns import money_sum, ratio_or_zero, ratio_with_inf
 from orderlens.functions.contracts import present, require_columns
-from orderlens.functions.shapes import kpi_table, stack_dimensions, top_k
+from orderlens.functions.shapes import dimension_totals, kpi_table, top_k
 
 # Required columns, timing labels, KPI names and dimensions of the order report.
 ORDER_KPI_REQUIRED = (
@@ -74,22 +74,21 @@ def order_breakdown(orders: DataFrame, dims: Sequence[str] = ORDER_DIMENSIONS,
     dimensions."""
     require_columns(orders, ORDER_KPI_REQUIRED, "orders")
     dims = present(orders, dims)
-    keep = ["order_id", "revenue", "order_profit_per_order", "delivery_timing_group",
-            "loss_flag", "days_for_shipping_real", "shipping_delay_days"]
     g = F.col("delivery_timing_group")
-    n_orders = F.count("order_id") if unique_keys else F.count_distinct("order_id")
-    bd = stack_dimensions(orders, dims, keep).groupBy("dimension", "dimension_value").agg(
-        n_orders.alias("unique_orders"),
-        money_sum("revenue").alias("revenue"),
-        money_sum("order_profit_per_order").alias("profit"),
-        rate(g == LATE).alias("late_delivery_rate"),
-        rate(g == ON_TIME).alias("on_time_delivery_rate"),
-        rate(g == CANCELED).alias("cancellation_rate"),
-        F.avg("loss_flag").cast("double").alias("loss_order_rate"),
-        F.avg("days_for_shipping_real").cast("double").alias("avg_shipping_days"),
-        F.avg("shipping_delay_days").cast("double").alias("avg_delay_days"),
-    )
-    return bd.withColumn("profit_margin", ratio_with_inf("profit", "revenue"))
+    means = {"loss_order_rate": "loss_flag", "avg_shipping_days": "days_for_shipping_real",
+             "avg_delay_days": "shipping_delay_days"}
+    shares = {"late_delivery_rate": LATE, "on_time_delivery_rate": ON_TIME, "cancellation_rate": CANCELED}
+    sums = {name: F.when(g == value, 1).otherwise(0) for name, value in shares.items()}
+    for c in means.values():
+        sums |= {f"__sum_{c}": F.col(c), f"__n_{c}": F.col(c).isNotNull().cast("long")}
+    bd = dimension_totals(orders, dims, "order_id", sums,
+                          {"revenue": F.col("revenue"), "profit": F.col("order_profit_per_order")}, unique_keys)
+    return bd.select(
+        "dimension", "dimension_value", F.col("unique_keys").alias("unique_orders"), "revenue", "profit",
+        *[(F.col(name) / F.col("rows")).alias(name) for name in shares],
+        *[F.when(F.col(f"__n_{c}") > 0, F.col(f"__sum_{c}").cast("double") / F.col(f"__n_{c}")).alias(name)
+          for name, c in means.items()],
+        ratio_with_inf("profit", "revenue").alias("profit_margin"))
 
 
 def worst_late_orders(bd: DataFrame, k: int = 10, min_orders: int = 100,
