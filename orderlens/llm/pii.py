@@ -1,24 +1,34 @@
 """Personal data: a character-level bidirectional LSTM with CRF transitions, in numpy.
 
-The base patterns give the labelled spans. A bounded sample of windows trains the model;
-then every window of every text that holds a digit or an at sign is scored (no other
-window can hold personal data of these kinds: there the model's answer is "none" by
-definition), overlapping windows are decoded by Viterbi and reconciled over the whole
-text: each character takes the tag of the window in which it is nearest the middle.
-Confident spans that touch no base span are added; base spans always stay.
-
-Defined cases: a null or empty text has no spans; repeated rows are searched each for
-itself; input columns pass through inside ``doc``; without labelled spans the model is
-not trained and adds nothing.
+Labelled spans come from the base patterns and go beyond them: each sampled window with a
+base span also serves with that span rewritten into forms that the patterns do not take
+(spelled-out addresses, spaced or bracketed dots, phone numbers without a plus sign, cards with
+other separators), and prose windows also serve with dates, versions, prices and
+hexadecimal strings put in, which are not personal data. The sample is bounded (SAMPLE).
+
+Then every window of every text is scored, whatever characters it holds; overlapping windows
+are decoded by Viterbi and reconciled over the whole text: each character takes the tag of
+the window in which it is nearest the middle. A window whose emissions prove that the
+all-outside path is the best one needs no Viterbi (``Tagger.outside``, exact). Confident
+spans that touch no base span, cut no word and hold what their kind needs
+(``plausible``) are added; base spans always stay.
+
+Defined cases: a null or empty text has no spans; a very long text is cut into more windows; an
+empty table gives an empty table; repeated rows are searched each for itself; input columns
+pass through inside ``doc``, whatever their names; without labelled spans the model is not
+trained and adds nothing.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
+import unicodedata
+import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderlens.llm.shared import map_text, text_or_empty
@@ -32,15 +42,18 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 TAGS = ["O", *(f"{p}-{k}" for k in KINDS for p in "BI")]
-WINDOW, STRIDE = 64, 32
-#: labelled windows that train the model at most (those with the smallest hash)
+#: characters of a training window; of a scored window; from one scored window to the next
+WINDOW, SCORED, ADVANCE = 96, 256, 200
+#: labelled windows taken from the texts at most (those with the smallest hash)
 SAMPLE = 1536
-HIDDEN, EMBED, EPOCHS, BATCH, RATE = 16, 8, 6, 128, 0.04
+HIDDEN, EMBED, EPOCHS, BATCH, RATE = 16, 12, 8, 96, 0.04
 #: an added span's characters must have at least this mean probability
-SURE = 0.98
-#: character classes; letters fall into lower, upper and other
-_SYMBOLS = "\n @.-+()_%:=/,#!|\"'"
-SYMBOL_COUNT = len(_SYMBOLS) + 5
+SURE = 0.9
+#: scored windows in one numpy step
+TOGETHER = 768
+#: every ASCII character has a symbol; other digits share one, all other characters 30 by code
+SYMBOL_COUNT = 160
+DIGIT, PAD = 128, 10
 
 
 def _luhn(digits: str) -> bool:
@@ -61,6 +74,7 @@ def _valid(kind: str, match: str) -> bool:
 
 
 _FIND = {k: re.compile(p.replace("]+@", "]++@")).finditer for k, p in PATTERNS.items()}
+_MARKED, _MARKS = re.compile("[0-9@]").search, re.compile("[0-9@]").finditer
 _NEED = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 
 
@@ -74,24 +88,117 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def symbols(text: str) -> np.ndarray:
-    """Character classes of a text."""
+    """Character symbols of a text."""
     code = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    out = np.full(len(code), 4, np.int64)
-    out[(code >= 97) & (code <= 122)] = 1
-    out[(code >= 65) & (code <= 90)] = 2
-    out[(code >= 48) & (code <= 57)] = 3
-    for i, c in enumerate(_SYMBOLS):
-        out[code == ord(c)] = 5 + i
+    out = np.where(code < 128, code, 129 + code % 31).astype(np.uint8)
+    for at in np.flatnonzero(code >= 0x660).tolist() if len(code) and code.max() >= 0x660 else []:
+        if text[at].isdigit():
+            out[at] = DIGIT
     return out
 
 
-def window_starts(kinds: np.ndarray) -> np.ndarray:
-    """Starts of the windows that hold a digit or an at sign; together they cover every such character."""
-    marked = np.flatnonzero((kinds == 3) | (kinds == 5 + _SYMBOLS.index("@")))
-    if not len(marked):
-        return marked
-    cell = np.unique(np.concatenate([marked // STRIDE, np.maximum(marked // STRIDE - 1, 0)]))
-    return cell * STRIDE
+def window_starts(size: int) -> np.ndarray:
+    """Starts of the scored windows of a text: together they cover all of it."""
+    return np.arange(0, max(size - SCORED + ADVANCE, 1), ADVANCE) if size else np.zeros(0, np.int64)
+
+
+#: a name, an at sign or word, a host, a dot or the word for it, and a domain
+_ADDRESS = re.compile(r"(?i)\w.*?(@|[\W_]at[\W_]).*?\w(\.|[\W_]dot[\W_]).*[^\W\d_]{2}").match
+
+
+def plausible(kind: int, found: str) -> bool:
+    """What a span of a kind must hold at least, in any form it is written in."""
+    digits = [str(unicodedata.digit(c)) for c in found if unicodedata.digit(c, None) is not None]
+    if KINDS[kind] == "phone":
+        return 7 <= len(digits) <= 15
+    if KINDS[kind] == "card":
+        return 12 <= len(digits) <= 19 and _luhn("".join(digits))
+    if KINDS[kind] == "ip":
+        numbers = re.findall(r"\d+", found)
+        return len(numbers) == 4 and all(len(n) <= 3 and int(n) <= 255 for n in numbers)
+    return len(found) <= 254 and bool(_ADDRESS(found))
+
+
+def cuts_word(text: str, a: int, b: int) -> bool:
+    """Whether [a, b) starts or ends inside a word or at white space."""
+    return (a > 0 and text[a - 1].isalnum() and text[a].isalnum()) or \
+        (b < len(text) and text[b].isalnum() and text[b - 1].isalnum()) or text[a].isspace() or text[b - 1].isspace()
+
+
+# --------------------------------------------------------------------------- labelled forms
+
+def _digits(r, n: int) -> str:
+    return "".join(map(str, r.integers(0, 10, n)))
+
+
+def _pick(r, items):
+    return items[int(r.integers(len(items)))]
+
+
+def _word(r, words: list[str]) -> str:
+    return _pick(r, words) if words and r.random() < 0.8 else "".join(chr(97 + c) for c in r.integers(0, 26, int(r.integers(3, 9))))
+
+
+def rewritten(kind: str, found: str, r, words: list[str]) -> str:
+    """A form of a base match that names the same kind of data and that the patterns do not take."""
+    if kind == "email":
+        name, host = found.split("@", 1)
+        if r.random() < 0.7:
+            name = _word(r, words) + _pick(r, ["", "." + _word(r, words), _digits(r, 2)])
+            host = _word(r, words) + "." + _pick(r, ["com", "org", "net", "de", "fr", "es", "example", "example.com"])
+        at, dot = _pick(r, [(" at ", " dot "), (" @ ", "."), (" [at] ", " [dot] "), ("(at)", "(dot)"), (" (at) ", "."), (" AT ", " DOT "), (" at ", ".")])
+        return name.replace(".", dot if r.random() < 0.5 else ".") + at + host.replace(".", dot)
+    if kind == "ip":
+        dot = _pick(r, ["[.]", " . ", " dot ", "(.)", "[dot]"])
+        return dot.join(str(int(n)) for n in r.integers(0, 256, 4))
+    if kind == "card":
+        digits = re.sub("[^0-9]", "", found)
+        sep = _pick(r, [".", "/", "_", "  ", " - "])
+        return sep.join(digits[i:i + 4] for i in range(0, len(digits), 4))
+    a, b, c = _digits(r, 3), _digits(r, 3), _digits(r, 4)
+    return _pick(r, [f"({a}) {b}-{c}", f"0{a} {b} {c[:2]} {c[2:]}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"00 1 {a} {b} {c}", f"{a} {b} {c}", f"0{a}/{b}{c}"])
+
+
+def harmless(r, words: list[str]) -> str:
+    """A piece of text with digits, or with the words of spelled-out addresses, that is no personal data."""
+    n = [int(x) for x in r.integers(1, 28, 4)]
+    return _pick(r, [f"20{n[0]:02}-{n[1] % 12 + 1:02}-{n[2]:02}", f"{n[0]}/{n[1]}/20{n[2]:02}", f"{n[0]}:{n[1]:02}", f"version {n[0]}.{n[1]}.{n[2]}", f"{n[0]}.{n[1]}",
+                     f"${n[0]},{_digits(r, 3)}.{_digits(r, 2)}", f"{_digits(r, int(r.integers(1, 7)))}", f"{n[0]} - {n[1]}", f"{_digits(r, 4)} to {_digits(r, 4)}",
+                     bytes(r.integers(0, 256, 12, dtype=np.uint8)).hex(), f"at {_word(r, words)} dot", f"{_word(r, words)} at {_word(r, words)}",
+                     f"the dot {_word(r, words)}", f"@{_word(r, words)}", f"{_digits(r, 3)},{_digits(r, 3)},{_digits(r, 3)}", f"no. {_digits(r, 5)}",
+                     " ".join([_word(r, words)] * 14), f"{_word(r, words)}. At {_word(r, words)}", f"{_word(r, words)} at at {_word(r, words)}."])
+
+
+def _fit_window(text: str, tags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    kinds, y = np.full(WINDOW, PAD, np.int64), np.zeros(WINDOW, np.int64)
+    n = min(len(text), WINDOW)
+    kinds[:n], y[:n] = symbols(text)[:n], tags[:n]
+    return kinds, y
+
+
+def training_set(sample: list[tuple[str, bytes]], seed: int = 5, least: int = 4, rewrites: int = 2400) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols, tags) of the sampled windows and of their rewritten copies: about ``rewrites`` of
+    those, at least ``least`` and at most 40 for each window with a span."""
+    r = np.random.default_rng(seed)
+    copies = max(least, min(40, rewrites // max(1, sum(any(y) for _, y in sample))))
+    words = sorted({w for t, _ in sample for w in re.findall(r"[A-Za-z]{3,9}", t)})
+    out = []
+    for text, raw in sample:
+        tags = np.frombuffer(raw, np.int8).astype(np.int64)
+        out.append(_fit_window(text, tags))
+        found = [(a, b, k) for a, b, k, _ in spans_of(tags, np.ones(len(tags))) if re.fullmatch(PATTERNS[KINDS[k]], text[a:b])]
+        for _ in range(copies if found else 1):
+            if found:
+                a, b, k = _pick(r, found)
+                new = rewritten(KINDS[k], text[a:b], r, words)
+                y = np.full(len(new), 2 + 2 * k, np.int64)
+                y[0] = 1 + 2 * k
+            else:
+                a = b = _pick(r, [m.start() for m in re.finditer(" ", text)] or [0])
+                new = " " + harmless(r, words)
+                y = np.zeros(len(new), np.int64)
+            out.append(_fit_window(text[:a] + new + text[b:], np.concatenate([tags[:a], y, tags[b:]])))
+    return tuple(np.stack(x) for x in zip(*out))
 
 
 def _sigmoid(x):
@@ -209,61 +316,129 @@ class Tagger:
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
         return loss
 
+    def scores(self, kinds):
+        """Emissions of windows, [time, window, tag]: the same numbers as :meth:`emissions`, without what
+        training keeps. sigmoid(z) is (tanh(z / 2) + 1) / 2, so one tanh serves all four gates."""
+        p, (b, n) = self.p, kinds.shape
+        at = np.ascontiguousarray(kinds.T.astype(np.intp))
+        half = np.concatenate([np.full(3 * HIDDEN, 0.5), np.ones(HIDDEN)]).astype(np.float32)
+        total = np.empty((n, b, len(TAGS)), np.float32)
+        total[:] = p["out_b"]
+        z, more = np.empty((b, 4 * HIDDEN), np.float32), np.empty((b, 4 * HIDDEN), np.float32)
+        for d, out in (("f", p["out"][:HIDDEN]), ("b", p["out"][HIDDEN:])):
+            table = ((p["embed"] @ p[d + "x"] + p[d + "b"]) * half).astype(np.float32)
+            move, out = (p[d + "h"] * half).astype(np.float32), out.astype(np.float32)
+            h, c = np.zeros((b, HIDDEN), np.float32), np.zeros((b, HIDDEN), np.float32)
+            for t in range(n) if d == "f" else range(n - 1, -1, -1):
+                np.take(table, at[t], axis=0, out=z, mode="clip")
+                z += np.matmul(h, move, out=more)
+                np.tanh(z, out=z)
+                gate = z[:, :3 * HIDDEN]
+                gate += 1
+                gate *= 0.5
+                c *= z[:, :HIDDEN]
+                c += z[:, HIDDEN:2 * HIDDEN] * z[:, 3 * HIDDEN:]
+                np.tanh(c, out=h)
+                h *= z[:, 2 * HIDDEN:3 * HIDDEN]
+                total[t] += h @ out
+        return total
+
+    def outside(self, e):
+        """Windows ([time, window, tag]) of which it is certain that no tag is the best path. A path
+        gains over staying outside by its runs of other tags; the scan bounds the best run that
+        ends at each character by the best tag there and the dearest transitions."""
+        move = self.p["move"]
+        stay = move[0, 0]
+        enter, inside, leave = move[0, 1:].max() - stay, move[1:, 1:].max() - stay, max(move[1:, 0].max() - stay, 0)
+        gain = e[:, :, 1:].max(2) - e[:, :, 0]
+        run = gain[0] + max(enter, 0)  # a run at the window's start is entered for nothing
+        best = run.copy()
+        for g in gain[1:]:
+            run += inside
+            np.maximum(run, enter, out=run)
+            run += g
+            np.maximum(best, run, out=best)
+        return best + leave < 0
+
     def decode(self, kinds):
         """Viterbi tags of windows, and the marginal probability of each chosen tag."""
-        e, _ = self.emissions(kinds)
-        b, n, _ = e.shape
+        b, n = kinds.shape
+        tags, sure = np.zeros((b, n), np.int64), np.ones((b, n), np.float32)
+        e = self.scores(kinds)
+        open_ = np.flatnonzero(~self.outside(e))
+        if not len(open_):
+            return tags, sure
+        e = np.ascontiguousarray(e[:, open_].transpose(1, 0, 2))
         best, back, move = e[:, 0], [], self.p["move"]
         for k in range(1, n):
             s = best[:, :, None] + move
             back.append(s.argmax(1))
             best = s.max(1) + e[:, k]
-        tags = np.empty((b, n), np.int64)
-        tags[:, -1] = best.argmax(1)
-        rows = np.arange(b)
+        mine = np.empty((len(open_), n), np.int64)
+        mine[:, -1] = best.argmax(1)
+        rows = np.arange(len(open_))
         for k in range(n - 2, -1, -1):
-            tags[:, k] = back[k][rows, tags[:, k + 1]]
-        sure = np.ones((b, n), np.float32)
-        some = np.flatnonzero((tags > 0).any(1))
+            mine[:, k] = back[k][rows, mine[:, k + 1]]
+        tags[open_] = mine
+        some = np.flatnonzero((mine > 0).any(1))
         if len(some):
             _, m, _ = self.marginals(e[some])
-            sure[some] = m[np.arange(len(some))[:, None], np.arange(n), tags[some]]
+            sure[open_[some]] = m[np.arange(len(some))[:, None], np.arange(n), mine[some]]
         return tags, sure
 
 
-def _cut(kinds: np.ndarray, starts: np.ndarray) -> np.ndarray:
+def _cut(kinds: np.ndarray, starts: np.ndarray, size: int = WINDOW) -> np.ndarray:
     """Windows of a text, padded behind its end with line ends."""
-    padded = np.concatenate([kinds, np.full(WINDOW, 5, np.int64)])
-    return padded[starts[:, None] + np.arange(WINDOW)]
+    padded = np.concatenate([kinds, np.full(size, PAD, kinds.dtype)])
+    return padded[starts[:, None] + np.arange(size)]
+
 
+def labelled_windows(texts: DataFrame, limit: int = SAMPLE) -> list[tuple[str, bytes]]:
+    """A bounded sample of (text, tags) windows: an eighth of ``limit`` for each kind of base
+    span, a quarter with digits or at signs outside any span, a quarter from one place of
+    each text. Of each group the smallest hashes are taken, over all texts; a task passes on no more
+    than that many."""
+    share = {**{k: limit // (2 * len(KINDS)) for k in range(len(KINDS))}, 4: limit // 4, 5: limit // 4}
 
-def labelled_windows(texts: DataFrame, limit: int = SAMPLE) -> list[tuple[bytes, bytes]]:
-    """A bounded sample of (character classes, tags), from the base spans; the smallest hashes are taken."""
     def run(batches):
+        held: dict[int, dict] = {g: {} for g in share}
+
+        def offer(group, text, tags, start):
+            w = text[start:start + WINDOW]
+            y = tags[start:start + len(w)].tobytes()
+            mine = held[group]
+            mine[hashlib.blake2b(w.encode() + y, digest_size=8).digest()] = (w, y)
+            if len(mine) > 2 * share[group]:
+                for h in sorted(mine)[share[group]:]:
+                    del mine[h]
+
         for batch in batches:
-            found = []
             for value in batch.column(0):
                 text = value.as_py()
-                kinds = symbols(text)
-                tags = np.zeros(len(kinds) + WINDOW, np.int8)
-                for a, b, k in reversed(base_spans(text)):
-                    tags[a:b] = 2 + 2 * k
-                    tags[a] = 1 + 2 * k
-                starts = window_starts(kinds)
-                for s, w in zip(starts.tolist(), _cut(kinds, starts) if len(starts) else []):
-                    found.append((w.astype(np.int8).tobytes(), tags[s:s + WINDOW].tobytes()))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.binary()), pa.array([y for _, y in found], pa.binary())], ["w", "y"])
-
-    marked = texts.where(F.col("t").rlike("[0-9@]")).select("t")
-    windows = marked.mapInArrow(run, "w binary, y binary")
-    order = F.xxhash64("w", "y")
-    # half of the sample holds spans, so that a rare kind is not crowded out
-    picked = []
-    for holds in (True, False):
-        some = windows.where(F.col("y") != F.lit(bytes(WINDOW)) if holds else F.col("y") == F.lit(bytes(WINDOW)))
-        picked += [(r.w, r.y) for r in some.groupBy("w", "y").agg(F.lit(1)).orderBy(order, "w").limit(limit // 2).select("w", "y").collect()]
-    return picked
+                if not text:
+                    continue
+                tags = np.zeros(len(text), np.int8)
+                mark = zlib.crc32(text.encode())
+                if _MARKED(text):
+                    found = base_spans(text)
+                    for a, b, k in reversed(found):
+                        tags[a:b] = 2 + 2 * k
+                        tags[a] = 1 + 2 * k
+                    for a, b, k in found:
+                        if b - a < WINDOW - 8:
+                            offer(k, text, tags, max(0, a - mark % (WINDOW - 8 - (b - a)) - 4))
+                    free = next((m.start() for m in _MARKS(text) if not tags[m.start()]), None)
+                    if free is not None:
+                        offer(4, text, tags, max(0, free - mark % (WINDOW - 16)))
+                offer(5, text, tags, mark % max(1, len(text) - WINDOW))
+        rows = [(g, h, *wy) for g, mine in held.items() for h, wy in sorted(mine.items())[:share[g]]]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.string(), pa.binary()))], ["g", "h", "w", "y"])
+
+    windows = texts.select("t").mapInArrow(run, "g int, h binary, w string, y binary").dropDuplicates(["g", "h"])
+    first = F.row_number().over(Window.partitionBy("g").orderBy("h"))
+    picked = windows.withColumn("n", first).where(F.col("n") <= F.element_at(F.create_map(*[F.lit(x) for kv in share.items() for x in kv]), F.col("g")))
+    return [(r.w, r.y) for r in picked.orderBy("g", "h").select("w", "y").collect()]
 
 
 def train_tagger(texts: DataFrame) -> Tagger | None:
@@ -271,21 +446,21 @@ def train_tagger(texts: DataFrame) -> Tagger | None:
     if not any(y.strip(b"\0") for _, y in sample):
         return None
     tagger = Tagger()
-    kinds, tags = (np.stack([np.frombuffer(x[k], np.int8).astype(np.int64) for x in sample]) for k in (0, 1))
-    tagger.fit(kinds, tags)
+    tagger.fit(*training_set(sample))
     return tagger
 
 
 def reconcile(starts: np.ndarray, tags: np.ndarray, sure: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Tags and probabilities of a whole text: for each character those of the window that has it most central."""
-    out, p = np.zeros(size + WINDOW, np.int64), np.ones(size + WINDOW, np.float32)
-    nearest = np.full(size + WINDOW, WINDOW)
-    far = np.abs(2 * np.arange(WINDOW) - WINDOW + 1)
+    n = tags.shape[1] if len(tags) else 0
+    out, p = np.zeros(size + n, np.int64), np.ones(size + n, np.float32)
+    nearest = np.full(size + n, n)
+    far = np.abs(2 * np.arange(n) - n + 1)
     for s, t, q in zip(starts.tolist(), tags, sure):
-        here = far < nearest[s:s + WINDOW]
-        nearest[s:s + WINDOW][here] = far[here]
-        out[s:s + WINDOW][here] = t[here]
-        p[s:s + WINDOW][here] = q[here]
+        here = far < nearest[s:s + n]
+        nearest[s:s + n][here] = far[here]
+        out[s:s + n][here] = t[here]
+        p[s:s + n][here] = q[here]
     return out[:size], p[:size]
 
 
@@ -304,6 +479,30 @@ def spans_of(tags: np.ndarray, sure: np.ndarray) -> list[tuple[int, int, int, fl
     return out
 
 
+def tagged(model: Tagger, texts: list[str]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Number of a text → its tags and probabilities, where the model tags anything in one of its windows."""
+    kinds = [symbols(t) for t in texts]
+    starts = [window_starts(len(k)) for k in kinds]
+    owner = np.repeat(np.arange(len(texts)), [len(x) for x in starts])
+    if not len(owner):
+        return {}
+    edges = np.concatenate([[0], np.cumsum([len(x) for x in starts])])
+    hits: dict[int, list] = {}
+    windows = np.concatenate([_cut(k, x, SCORED) for k, x in zip(kinds, starts) if len(x)])
+    for i in range(0, len(windows), TOGETHER):
+        tags, sure = model.decode(windows[i:i + TOGETHER])
+        for j in np.flatnonzero((tags > 0).any(1)).tolist():
+            hits.setdefault(int(owner[i + j]), []).append((i + j, tags[j], sure[j]))
+    out = {}
+    for d, mine in hits.items():
+        n = len(starts[d])
+        tags, sure = np.zeros((n, SCORED), np.int64), np.ones((n, SCORED), np.float32)
+        for w, t, q in mine:
+            tags[w - edges[d]], sure[w - edges[d]] = t, q
+        out[d] = reconcile(starts[d], tags, sure, len(kinds[d]))
+    return out
+
+
 def find_personal_data(docs: DataFrame, text: str = "text", tagger: Tagger | None = None) -> DataFrame:
     """``doc`` (all input columns), ``base`` and ``spans``: arrays of (kind, start, end), code points, end exclusive."""
     df = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), text_or_empty(text).alias("t"))
@@ -314,29 +513,21 @@ def find_personal_data(docs: DataFrame, text: str = "text", tagger: Tagger | Non
         model = Tagger.of(shared.value) if shared.value else None
 
         def work(batch, raw, offs):
-            is_mark = np.concatenate([[0], np.cumsum(((raw >= 48) & (raw <= 57)) | (raw == 64))])
-            marked = np.flatnonzero(is_mark[offs[1:]] > is_mark[offs[:-1]]).tolist()
             base: list = [[]] * (len(offs) - 1)
             every: list = [[]] * (len(offs) - 1)
-            texts = {d: raw[offs[d]:offs[d + 1]].tobytes().decode("utf-8") for d in marked}
-            kinds = {d: symbols(texts[d]) for d in marked}
-            starts = {d: window_starts(kinds[d]) for d in marked}
-            windows = np.concatenate([_cut(kinds[d], starts[d]) for d in marked]) if marked else np.zeros((0, WINDOW), np.int64)
-            found = [model.decode(windows[i:i + 2048]) for i in range(0, len(windows), 2048)] if model else []
-            tags, sure = (np.concatenate(x) for x in zip(*found)) if found else (None, None)
-            at = 0
-            for d in marked:
-                mine = base_spans(texts[d])
-                more = []
-                n = len(starts[d])
-                if tags is not None:
-                    whole = reconcile(starts[d], tags[at:at + n], sure[at:at + n], len(kinds[d]))
-                    for a, b, k, p in spans_of(*whole):
-                        if p >= SURE and not any(x < b and a < y for x, y, _ in mine):
-                            more.append((a, b, k))
-                at += n
-                base[d], every[d] = _rows(mine), _rows(sorted(mine + more, key=lambda s: (s[0], s[2], s[1])))
-            return [pa.array(base, SPANS), pa.array(every, SPANS)]
+            texts = [raw[a:b].tobytes().decode("utf-8") for a, b in zip(offs[:-1].tolist(), offs[1:].tolist())]
+            for d, text in enumerate(texts):
+                if _MARKED(text):
+                    base[d] = every[d] = base_spans(text)
+            if model:
+                for d, (tags, sure) in tagged(model, texts).items():
+                    text = texts[d]
+                    more = [(a, b, k) for a, b, k, q in spans_of(tags, sure)
+                            if q >= SURE and not cuts_word(text, a, b) and plausible(k, text[a:b])
+                            and not any(x < b and a < y for x, y, _ in base[d])]
+                    if more:
+                        every[d] = sorted(base[d] + more, key=lambda s: (s[0], s[2], s[1]))
+            return [pa.array([_rows(x) for x in base], SPANS), pa.array([_rows(x) for x in every], SPANS)]
 
         return work
 

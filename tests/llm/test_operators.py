@@ -312,6 +312,49 @@ def test_tagger_gradients_and_learning():
     assert (tagger.decode(np.stack(windows[500:]))[0] == np.stack(gold[500:])).mean() > 0.97
 
 
+def test_tagger_skips_viterbi_only_where_nothing_is_tagged():
+    r = np.random.default_rng(4)
+    tagger = pii.Tagger()
+    tagger.p = {k: (3 * v).astype(np.float32) for k, v in tagger.p.items()}
+    tagger.p["move"] = r.normal(0, 0.3, tagger.p["move"].shape).astype(np.float32)
+    for lift in (0, 4, 8, 16):
+        tagger.p["out_b"][0] = lift
+        kinds = r.integers(0, pii.SYMBOL_COUNT, (400, 20))
+        e = tagger.scores(kinds)
+        assert np.allclose(e.transpose(1, 0, 2), tagger.emissions(kinds)[0], atol=1e-4)
+        skipped = tagger.outside(e)
+        tagger.outside = lambda e: np.zeros(e.shape[1], bool)
+        assert not (tagger.decode(kinds)[0][skipped] > 0).any()
+        del tagger.outside
+    assert skipped.any()
+
+
+def test_personal_data_beyond_the_patterns(spark):
+    """Held-out forms that the base patterns miss, put into prose that the tagger has not seen."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("text is not null")
+    tagger = pii.train_tagger(rows.where("doc_id % 2 = 0").select(F.col("text").alias("t")))
+    prose = [x.text[:300] for x in rows.where("doc_id % 2 = 1 and n_chars > 400 and not text rlike '[0-9@]'").orderBy("doc_id").limit(240).collect()]
+    r = np.random.default_rng(77)
+    base = {"email": "kim.lee@post.example.org", "ip": "10.20.30.40", "card": "4111111111111111", "phone": "+1 (383) 555-2189"}
+    planted, want = [], {}
+    for d, text in enumerate(prose):
+        at = text.index(" ", 100) + 1
+        kind = pii.KINDS[d % 4]
+        new = pii.rewritten(kind, base[kind], r, ["anna", "bruno", "harbor", "winter"]) if d < 160 else pii.harmless(r, ["anna", "bruno", "harbor", "winter"])
+        if d < 160:
+            want[d] = f"{kind}:{at}:{at + len(new)}"
+        planted.append((d, text[:at] + new + " " + text[at:]))
+    df = spark.createDataFrame(planted, "doc_id long, text string")
+    got = {x.doc_id: (x.base, x.all) for x in pii.find_personal_data(df, tagger=tagger).select(
+        "doc.doc_id", pii.spans_text(F.col("base")).alias("base"), pii.spans_text(F.col("spans")).alias("all")).collect()}
+    found = {(d, x) for d, (_, a) in got.items() for x in a.split(",") if x}
+    missed = [d for d, x in want.items() if x not in got[d][0].split(",")]  # few forms are base matches too
+    hit = [d for d in missed if (d, want[d]) in found]
+    wrong = [(d, x) for d, x in found if x not in got[d][0].split(",") and want.get(d) != x]
+    print("recall", len(hit), len(missed), "wrong", len(wrong))
+    assert len(missed) > 140 and len(hit) >= 0.7 * len(missed) and len(wrong) <= 0.15 * len(hit)
+
+
 def test_near_duplicates(spark, sf, docs):
     assert rows(spark, sf, "op10_near_duplicates", ["doc_id", "n_shingles", "component_id", "kept"]) == brute.near(docs)
 
