@@ -40,3 +40,25 @@ def test_buckets_follow_the_lines(spark, sf, tmp_path, monkeypatch):
     buckets = {int(r["data_type"]) for t in spark.catalog.listTables() if t.name.startswith("orderlens_features")
                for r in spark.sql(f"DESCRIBE TABLE EXTENDED {t.name}").where("col_name = 'Num Buckets'").collect()}
     assert name and max(buckets) >= 6000 // 60 // stage_tables.TASKS_A_BUCKET
+
+
+def checkpoints(spark):
+    """RDD folders among the session's checkpoints."""
+    from orderlens.session import ensure_checkpoint_dir
+
+    folder = spark._jvm.org.apache.hadoop.fs.Path(ensure_checkpoint_dir(spark))
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    below = [x.getPath() for x in files.listStatus(folder)]
+    below += [x.getPath() for at in below for x in files.listStatus(at)]
+    return {at.toString() for at in below if at.getName().startswith("rdd-")}
+
+
+def test_features_are_staged_as_columns(spark, sf, tmp_path):
+    import shutil
+
+    for t in fixtures.TABLES:
+        shutil.copy(f"{sf}/{t}.parquet", tmp_path / f"{t}.parquet")
+    before = checkpoints(spark)
+    table = stage_tables.feature_table(spark, str(tmp_path))
+    assert checkpoints(spark) == before
+    assert table.count() == fixtures.fx_lines(spark, sf).select("order_id").distinct().count()
