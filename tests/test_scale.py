@@ -62,3 +62,15 @@ def test_features_are_staged_as_columns(spark, sf, tmp_path):
     table = stage_tables.feature_table(spark, str(tmp_path))
     assert checkpoints(spark) == before
     assert table.count() == fixtures.fx_lines(spark, sf).select("order_id").distinct().count()
+
+
+def test_scores_are_staged_as_columns(spark, sf):
+    from orderlens.plans import jobs
+
+    split = stage_tables.feature_table(spark, sf)
+    before = checkpoints(spark)
+    scores = jobs.model_comparison_run(spark, None, (), which=("baseline",), split=split)["scores"]
+    assert checkpoints(spark) == before and "ExistingRDD" not in plan(scores)
+    assert scores.columns[:4] == ["model", "order_id", "late_delivery_risk", "late_delivery_probability"]
+    test = split.where("split = 'test'").select("order_id", "late_delivery_risk")
+    assert scores.select("order_id", "late_delivery_risk").exceptAll(test).isEmpty() and scores.count() == test.count() > 0
