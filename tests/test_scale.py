@@ -28,6 +28,26 @@ def test_line_tasks_follow_the_lines(spark, sf, monkeypatch):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_orders_meet_many_customers_in_as_many_tasks(spark, sf, monkeypatch):
+    import re
+
+    before = fixtures.fx_lines(spark, sf)
+    n = before.count()
+    monkeypatch.setattr(fixtures, "LINES_A_TASK", n // 64)
+    monkeypatch.setattr(fixtures, "PARTS_A_TASK", 10)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        many = fixtures.fx_lines(spark, sf)
+        tasks = str(fixtures.line_tasks(spark, sf))
+        for key in ("o_custkey", "c_custkey", "o_orderkey", "l_partkey"):
+            assert set(re.findall(rf"hashpartitioning\({key}#\d+L?, (\d+)\)", plan(many))) == {tasks}, key
+        assert many.exceptAll(before).isEmpty() and many.count() == n
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_buckets_follow_the_lines(spark, sf, tmp_path, monkeypatch):
     import shutil
 
