@@ -20,11 +20,12 @@ from operator import add
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orderlens.llm.shared import in_process, map_text, text_or_empty
+from orderlens.llm.shared import in_process, map_text, ranges, string_array, text_or_empty
 
 #: distinct words, and units, that a task keeps at most; beyond it they are forgotten and encoded anew
 CACHE_WORDS = 700_000
@@ -107,7 +108,7 @@ class UnitEncoder:
 
         self.find, self.encode_many, self.limit = regex.compile(pattern).findall, encode_many, limit
         self.words: dict[str, bytes] = {}
-        self.units: dict[str, bytes | bool] = {}  # False: not to be matched for itself
+        self.units: dict[str, bytes] = {}  # no ids: not to be matched for itself
 
     def matched(self, texts: list[str]) -> list[bytes]:
         return self._joined([self.find(t) for t in texts])
@@ -127,43 +128,61 @@ class UnitEncoder:
             self.words.update(zip(new, self.encode_many(new)))
         return self.words.__getitem__
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        cut = [t.replace("\n", " \n").split(" ") for t in texts]
-        heads = [c.pop(0) for c in cut]
-        ends = [c.pop() if c and c[-1] == "\n" else "" for c in cut]
-        found = [list(map(self.units.get, c)) for c in cut]
-        fresh = [c for c, ids in zip(cut, found) if None in ids]
-        if fresh:
-            wanted = set().union(*fresh)
-            new = wanted.difference(self.units)
-            if len(self.units) + len(new) > self.limit:
-                self.units.clear()
-                new = wanted
-            self._add(new)
-            found = [list(map(self.units.get, c)) if None in ids else ids for c, ids in zip(cut, found)]
-        out = []
-        for text, head, first, ids, end in zip(texts, heads, self.matched(heads), found, ends):
-            try:
-                if head and (head[0].isspace() or head[-1].isspace()):
-                    raise TypeError
-                out.append(b"".join([first, *ids, *(self.matched([end]) if end else [])]))
-            except TypeError:  # white space touches white space
-                out += self.matched([text])
+    def __call__(self, texts: list[str] | pa.Array) -> list[bytes]:
+        """Ids of each text: Arrow cuts the texts and numbers their units, so that only distinct ones are looked up."""
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        if not len(column):
+            return []
+        cut = pc.split_pattern(pc.replace_substring(column, "\n", " \n"), " ")
+        pieces, at = cut.flatten(), cut.offsets.to_numpy().astype(np.int64)
+        at -= at[0]
+        heads = _strings(pieces.take(pa.array(at[:-1])))
+        ended = pc.equal(pieces.take(pa.array(at[1:] - 1)), "\n").to_numpy(zero_copy_only=False) & (np.diff(at) > 1)
+        inside = np.ones(len(pieces), bool)
+        inside[at[:-1]] = False
+        inside[at[1:][ended] - 1] = False
+        units = pieces.filter(pa.array(inside)).dictionary_encode()
+        found = self._found(_strings(units.dictionary))
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        start, arena, odd = np.cumsum(size) - size, np.frombuffer(b"".join(found), np.uint32), size == 0
+        codes = units.indices.to_numpy()
+        first = np.concatenate([[0], np.cumsum(inside)])[at]  # first unit of each text
+        flat = arena[ranges(start[codes], start[codes] + size[codes])].tobytes()
+        ends = (4 * np.concatenate([[0], np.cumsum(size[codes])])[first]).tolist()
+        odd = np.diff(np.concatenate([[0], np.cumsum(odd[codes])])[first]) > 0
+        end = self.matched(["\n"])[0] if ended.any() else b""
+        out = [b"".join([head, flat[i:j], end if e else b""]) for head, i, j, e in zip(self.matched(heads), ends, ends[1:], ended.tolist())]
+        # white space touches white space
+        odd = [k for k, (head, o) in enumerate(zip(heads, odd.tolist())) if o or head and (head[0].isspace() or head[-1].isspace())]
+        for k, ids in zip(odd, self.matched([column[k].as_py() for k in odd])):
+            out[k] = ids
         return out
 
-    def _add(self, new: set[str]) -> None:
-        # letters, and letters before one mark, need no matching
-        plain = [u for u in new if u.isalpha()]
-        marked = [u for u in new if u[-1:] in MARKS and u[:-1].isalpha()]
-        rest = new.difference(plain, marked)
-        self.units.update(dict.fromkeys(rest, False))
+    def _found(self, units: list[str]) -> list[bytes]:
+        """What is kept for each of these distinct units, after those not met before were added."""
+        found = list(map(self.units.get, units))
+        at = [k for k, ids in enumerate(found) if ids is None]
+        if len(self.units) + len(at) > self.limit:
+            self.units.clear()
+            at = range(len(units))
+        self._add([units[k] for k in at])
+        for k in at:
+            found[k] = self.units[units[k]]
+        return found
+
+    def _add(self, new: list[str]) -> None:
+        # letters, and letters before one mark, need no matching; a stem before a mark is kept as the unit that it is
+        plain, marked, rest = [], [], []
+        for u in new:
+            (plain if u.isalpha() else marked if u[-1:] in MARKS and u[:-1].isalpha() else rest).append(u)
+        stems = [u[:-1] for u in marked]
+        plain += set(stems).difference(self.units, plain)
+        self.units.update(zip(plain, self.encode_many([" " + u for u in plain])))
+        marks = self._ids_of({u[-1] for u in marked})
+        self.units.update(zip(marked, map(add, map(self.units.__getitem__, stems), [marks(u[-1]) for u in marked])))
+        self.units.update(dict.fromkeys(rest, b""))
         rest = [u for u in rest if (body := u[1:] if u[:1] == "\n" else u) and body.strip() == body]
-        found = [self._words_of(u) for u in rest]
-        words, stems, marks = [" " + u for u in plain], [" " + u[:-1] for u in marked], [u[-1] for u in marked]
-        ids = self._ids_of({*words, *stems, *marks}.union(*found))
-        self.units.update(zip(plain, map(ids, words)))
-        self.units.update(zip(marked, map(add, map(ids, stems), map(ids, marks))))
-        self.units.update(zip(rest, [b"".join(map(ids, f)) for f in found]))
+        self.units.update(zip(rest, self._joined([self._words_of(u) for u in rest])))
 
     def _words_of(self, unit: str) -> list[str]:
         """The words of a unit that stands at a line's start, or after a space."""
@@ -174,6 +193,10 @@ class UnitEncoder:
         return ["\n", unit[1:-1], unit[-1]] if unit[-1] in MARKS and unit[1:-1].isalpha() else self.find(unit)
 
 
+def _strings(column: pa.Array) -> list[str]:
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 class MergeTable:
     """The merges of a vocabulary as sorted arrays, to fold many words at once in numpy.
 
@@ -266,8 +289,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text") -
         encoder = in_process(("merges", ranks_path, pattern), build)
 
         def work(batch, raw, offs):
-            buffer, at = raw.tobytes(), offs.tolist()
-            out = encoder([buffer[a:b].decode("utf-8") for a, b in zip(at, at[1:])])
+            out = encoder(string_array(raw, offs))
             ends = np.cumsum([0, *(len(x) // 4 for x in out)]).astype(np.int32)
             return [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(out), np.int32)))]
 

@@ -22,6 +22,7 @@ import struct
 import zlib
 from array import array
 from itertools import accumulate, chain, pairwise
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orderlens.llm.bpe import UnitEncoder
-from orderlens.llm.shared import in_process, steps, store, text_or_empty
+from orderlens.llm.shared import in_process, steps, store, string_array, text_or_empty
 
 END_ID = 2
 #: the dictionary is trained on this many documents (smallest hash of the id) of at most so many bytes
@@ -39,6 +40,8 @@ SAMPLE_DOCS, SAMPLE_BYTES = 1000, 1 << 15
 DICTIONARY_BYTES = 1 << 16
 #: an image is closed when its frames reach this size
 IMAGE_BYTES = 1 << 21
+#: bytes of text that are encoded at once: the more, the fewer distinct units are looked up
+ENCODE_BYTES = 1 << 22
 MAGIC = b"IDZ1"
 #: magic, hash of the dictionary, number of documents
 HEADER = "<4s32sQ"
@@ -66,8 +69,8 @@ def library_words(path: str):
 
     def many(words: list[str]) -> list[bytes]:
         # a word is one match of the pre-tokenizer, so its byte characters can go to the library's model at once
-        found = [[t.id for t in merge(w)] for w in spelled(words)]
-        flat = array("I", chain.from_iterable(found)).tobytes()
+        found = list(map(merge, spelled(words)))
+        flat = array("I", map(attrgetter("id"), chain.from_iterable(found))).tobytes()
         ends = list(accumulate(map(len, found), initial=0))
         return [flat[4 * i:4 * j] for i, j in pairwise(ends)]
 
@@ -148,9 +151,8 @@ def write_images(docs: DataFrame, path: str, pattern: str, text: str = "text", d
             data = pack_image(ids, counts, frames, digest)
             return pa.RecordBatch.from_pylist([{"part": part, "before": before, "n_docs": len(ids), "n_ids": sum(counts), "image": data}], IMAGES)
 
-        for batch, i, j, raw, offs in ((b, *s) for b in batches for s in steps(b.column(1))):
-            at = offs.tolist()
-            texts = encoder([raw[a:b].tobytes().decode("utf-8") for a, b in zip(at, at[1:])])
+        for batch, i, j, raw, offs in ((b, *s) for b in batches for s in steps(b.column(1), ENCODE_BYTES)):
+            texts = encoder(string_array(raw, offs))
             for key, tokens in zip(batch.column(0).slice(i, j - i).to_pylist(), texts):
                 tokens += end
                 ids.append(key)

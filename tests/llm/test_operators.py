@@ -244,6 +244,31 @@ def test_token_files(spark, sf, docs):
     assert rows(spark, sf, "op7_token_files", ["doc_id", "start", "n_tokens", "ids_crc32"]) == brute.token_files(docs)
 
 
+def test_units_are_numbered_by_arrow_and_words_kept_once():
+    import public_tokenizers
+    import pyarrow as pa
+
+    from orderlens.llm.bpe import UnitEncoder
+
+    asked = []
+
+    def spell(words):
+        asked.extend(words)
+        return [w.encode("utf-32-le") for w in words]
+
+    encoder = UnitEncoder(public_tokenizers.PATTERN, spell)
+    texts = ["on the sea, the sea", "", " the\nsea the, \n", "x\ty  the sea\n", "\n\n a1 b's the", "\u00e9t\u00e9 sea, on"]
+    got = encoder(pa.array(texts))
+    assert [x.decode("utf-32-le") for x in got] == texts and encoder(texts) == got
+    # a word of letters is kept as its unit alone
+    assert encoder.units["sea"].decode("utf-32-le") == " sea" and encoder.units["sea,"].decode("utf-32-le") == " sea,"
+    fresh = UnitEncoder(public_tokenizers.PATTERN, spell)
+    asked.clear()
+    fresh(["0 sea the sea, the sea"])
+    assert sorted(asked) == [" sea", " the", ",", "0"] and set(fresh.words) == {",", "0"}
+    assert fresh(["0 the sea"] * 3) == [fresh(["0 the sea"])[0]] * 3
+
+
 def test_token_files_odd_rows(spark, odd, none):
     path = public_tokenizers.path("byte_bpe_50k.json")
     images, dictionary = tokenfile.write_images(odd, path, PATTERN)
