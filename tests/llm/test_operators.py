@@ -236,6 +236,27 @@ def test_language_model_learns_from_every_position():
     assert sorted(seen) == list(range(2013))
 
 
+def test_language_model_rounds_leave_no_shuffle_files(spark):
+    import time
+
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        return {name for f in files.getAllFiles().mkString("|").split("|") if (name := f.rsplit("/", 1)[-1]).startswith("shuffle_")}
+
+    texts = spark.createDataFrame([(f"the sea {i} on the shore",) for i in range(200)], "t string").repartition(4)
+    texts = texts.select("t").localCheckpoint()
+    before, key = shuffled(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    set_before = spark.conf.get(key, None)
+    model = maxent.train(texts, maxent.Model([], {}))
+    assert np.abs(model.class_weights).sum() > 0 and spark.conf.get(key, None) == set_before
+    for _ in range(100):  # Spark removes them in the background
+        if not shuffled() - before:
+            break
+        time.sleep(0.1)
+    assert not shuffled() - before
+
+
 def test_language_model_odd_rows(odd, none):
     assert maxent.score_documents(odd).count() == len(ODD) and maxent.score_documents(none).count() == 0
 
