@@ -1,5 +1,8 @@
 """Personal data: a character-level bidirectional LSTM with CRF transitions, in numpy.
 
+The gates are piecewise linear and the cells' squashing function is a quotient close to tanh
+(``_gate``, ``_squash``), in training as in scoring: exponentials were most of the scoring time.
+
 Labelled spans come from the base patterns and go beyond them: each sampled window with a
 base span also serves with that span rewritten into forms that the patterns do not take
 (spelled-out addresses, spaced or bracketed dots, phone numbers without a plus sign, cards with
@@ -8,8 +11,9 @@ hexadecimal strings put in, which are not personal data. The sample is bounded (
 
 Then every window of every text is scored, whatever characters it holds; overlapping windows
 are decoded by Viterbi and reconciled over the whole text: each character takes the tag of
-the window in which it is nearest the middle. A window whose emissions prove that the
-all-outside path is the best one needs no Viterbi (``Tagger.outside``, exact). Confident
+the window in which it is nearest the middle. Viterbi runs only on the parts of windows whose
+emissions do not prove that the best path is outside there (``Tagger.outside``,
+``Tagger.open_parts``, exact). The last window of a text is half as wide where that holds the rest. Confident
 spans that touch no base span, cut no word and hold what their kind needs
 (``plausible``) are added; base spans always stay.
 
@@ -43,14 +47,14 @@ PATTERNS = {
 }
 TAGS = ["O", *(f"{p}-{k}" for k in KINDS for p in "BI")]
 #: characters of a training window; of a scored window; from one scored window to the next
-WINDOW, SCORED, ADVANCE = 96, 256, 200
+WINDOW, SCORED, ADVANCE = 96, 512, 456
 #: labelled windows taken from the texts at most (those with the smallest hash)
 SAMPLE = 1536
 HIDDEN, EMBED, EPOCHS, BATCH, RATE = 16, 12, 8, 96, 0.04
 #: an added span's characters must have at least this mean probability
 SURE = 0.9
 #: scored windows in one numpy step
-TOGETHER = 768
+TOGETHER = 1024
 #: every ASCII character has a symbol; other digits share one, all other characters 30 by code
 SYMBOL_COUNT = 160
 DIGIT, PAD = 128, 10
@@ -89,6 +93,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def symbols(text: str) -> np.ndarray:
     """Character symbols of a text."""
+    if text.isascii():
+        return np.frombuffer(text.encode(), np.uint8)
     code = np.frombuffer(text.encode("utf-32-le"), np.uint32)
     out = np.where(code < 128, code, 129 + code % 31).astype(np.uint8)
     for at in np.flatnonzero(code >= 0x660).tolist() if len(code) and code.max() >= 0x660 else []:
@@ -201,13 +207,25 @@ def training_set(sample: list[tuple[str, bytes]], seed: int = 5, least: int = 4,
     return tuple(np.stack(x) for x in zip(*out))
 
 
-def _sigmoid(x):
-    return 1 / (1 + np.exp(-x))
+def _gate(z, out=None):
+    """The piecewise linear sigmoid of already halved and shifted sums: a clip to 0..1."""
+    return np.clip(z, 0, 1, out=out)
+
 
+def _squash(x, out=None, more=None):
+    """x (27 + x^2) / (27 + 9 x^2) up to |x| = 3, where it is 1 with slope 0: tanh within 0.024, from sums and
+    one quotient. ``out`` may be ``x``; ``more`` is room for as much again."""
+    x = np.clip(x, -3, 3, out=out)
+    s = np.multiply(x, x, out=more)
+    s += 3
+    s = np.divide(8 / 3, s, out=more)
+    s += 1 / 9
+    return np.multiply(x, s, out=out)
 
-def _logsum(x, axis):
-    m = x.max(axis, keepdims=True)
-    return np.squeeze(m, axis) + np.log(np.exp(x - m).sum(axis))
+
+def _squash_slope(x):
+    s = np.minimum(x * x, 9)
+    return ((9 - s) / (3 * (3 + s))) ** 2
 
 
 class Tagger:
@@ -228,57 +246,71 @@ class Tagger:
         return out
 
     def _lstm(self, x, d):
-        p, (b, n, _) = self.p, x.shape
-        h, c, kept = np.zeros((b, HIDDEN), x.dtype), np.zeros((b, HIDDEN), x.dtype), []
-        inputs = x @ p[d + "x"] + p[d + "b"]
+        """States [time, state, window] of inputs [time, input, window], and what :meth:`_lstm_back` needs."""
+        p, (n, _, b) = self.p, x.shape
+        h, c, kept = np.zeros((HIDDEN, b), x.dtype), np.zeros((HIDDEN, b), x.dtype), []
+        inputs = np.matmul(p[d + "x"].T, x) + p[d + "b"][:, None]
+        move, out = np.ascontiguousarray(p[d + "h"].T), np.empty((n, HIDDEN, b), x.dtype)
         for t in range(n) if d == "f" else range(n - 1, -1, -1):
-            z = inputs[:, t] + h @ p[d + "h"]
-            gate = _sigmoid(z[:, :3 * HIDDEN])
-            f, i, o = gate[:, :HIDDEN], gate[:, HIDDEN:2 * HIDDEN], gate[:, 2 * HIDDEN:]
-            g = np.tanh(z[:, 3 * HIDDEN:])
+            z = inputs[t]
+            z += move @ h
+            gate = _gate(z[:3 * HIDDEN] * 0.25 + 0.5)
+            f, i, o = gate[:HIDDEN], gate[HIDDEN:2 * HIDDEN], gate[2 * HIDDEN:]
+            g = _squash(z[3 * HIDDEN:])
             before_h, before_c, c = h, c, f * c + i * g
-            e = np.tanh(c)
-            h = o * e
-            kept.append((t, f, i, o, g, before_h, before_c, e, h))
-        out = np.empty((b, n, HIDDEN), x.dtype)
-        for k in kept:
-            out[:, k[0]] = k[8]
+            e = _squash(c)
+            h = out[t] = o * e
+            kept.append((t, gate, z, g, before_h, before_c, c, e))
         return out, kept
 
     def _lstm_back(self, x, d, kept, dout, grads):
-        p = self.p
-        dh, dc = np.zeros_like(dout[:, 0]), np.zeros_like(dout[:, 0])
-        dx = np.zeros_like(x)
-        for t, f, i, o, g, before_h, before_c, e, _ in reversed(kept):
-            dh = dh + dout[:, t]
-            dc = dc + dh * o * (1 - e * e)
-            dz = np.concatenate([dc * before_c * f * (1 - f), dc * g * i * (1 - i), dh * e * o * (1 - o), dc * i * (1 - g * g)], 1)
-            grads[d + "x"] += x[:, t].T @ dz
-            grads[d + "h"] += before_h.T @ dz
-            grads[d + "b"] += dz.sum(0)
-            dx[:, t] = dz @ p[d + "x"].T
-            dh, dc = dz @ p[d + "h"].T, dc * f
-        return dx
+        p, (n, _, b) = self.p, x.shape
+        dh, dc = np.zeros((HIDDEN, b), x.dtype), np.zeros((HIDDEN, b), x.dtype)
+        every, before = np.empty((n, 4 * HIDDEN, b), x.dtype), np.empty((n, HIDDEN, b), x.dtype)
+        for t, gate, z, g, before_h, before_c, c, e in reversed(kept):
+            dh = dh + dout[t]
+            f, i, o = gate[:HIDDEN], gate[HIDDEN:2 * HIDDEN], gate[2 * HIDDEN:]
+            dc = dc + dh * o * _squash_slope(c)
+            dz = every[t]
+            np.multiply(dc, before_c, out=dz[:HIDDEN])
+            np.multiply(dc, g, out=dz[HIDDEN:2 * HIDDEN])
+            np.multiply(dh, e, out=dz[2 * HIDDEN:3 * HIDDEN])
+            np.multiply(dc * i, _squash_slope(z[3 * HIDDEN:]), out=dz[3 * HIDDEN:])
+            dz[:3 * HIDDEN] *= 0.25
+            dz[:3 * HIDDEN] *= (gate > 0) & (gate < 1)
+            before[t] = before_h
+            dh, dc = p[d + "h"] @ dz, dc * f
+        grads[d + "x"] += np.matmul(x, every.transpose(0, 2, 1)).sum(0)
+        grads[d + "h"] += np.matmul(before, every.transpose(0, 2, 1)).sum(0)
+        grads[d + "b"] += every.sum((0, 2))
+        return np.matmul(p[d + "x"], every)
 
     def emissions(self, kinds):
-        x = self.p["embed"][kinds]
+        x = np.ascontiguousarray(self.p["embed"][kinds].transpose(1, 2, 0))
         f, kf = self._lstm(x, "f")
         b, kb = self._lstm(x, "b")
-        h = np.concatenate([f, b], 2)
-        return h @ self.p["out"] + self.p["out_b"], (x, h, kf, kb)
+        h = np.concatenate([f, b], 1)
+        e = np.matmul(self.p["out"].T, h) + self.p["out_b"][:, None]
+        return np.ascontiguousarray(e.transpose(2, 0, 1)), (x, h, kf, kb)
 
     def marginals(self, e):
-        """(log normalizer, tag marginals, expected transitions) by forward and backward sums."""
+        """(log normalizer, tag marginals, expected transitions) by forward and backward sums, each
+        step's scaled to sum to 1."""
         b, n, t = e.shape
-        move, ahead, back = self.p["move"], np.empty_like(e), np.zeros_like(e)
-        ahead[:, 0] = e[:, 0]
-        for k in range(1, n):
-            ahead[:, k] = _logsum(ahead[:, k - 1][:, :, None] + move, 1) + e[:, k]
+        top, most = e.max(2, keepdims=True), self.p["move"].max()
+        here, move = np.exp(e - top), np.exp(self.p["move"] - most)
+        ahead, back, scale = np.empty_like(here), np.ones_like(here), np.empty((b, n), here.dtype)
+        a = here[:, 0]
+        for k in range(n):
+            a = a if k == 0 else (a @ move) * here[:, k]
+            scale[:, k] = a.sum(1)
+            a = ahead[:, k] = a / scale[:, k, None]
         for k in range(n - 2, -1, -1):
-            back[:, k] = _logsum(move + (e[:, k + 1] + back[:, k + 1])[:, None, :], 2)
-        z = _logsum(ahead[:, -1], 1)
-        pairs = np.exp(ahead[:, :-1, :, None] + move + (e[:, 1:] + back[:, 1:])[:, :, None, :] - z[:, None, None, None]).sum((0, 1))
-        return z, np.exp(ahead + back - z[:, None, None]), pairs
+            back[:, k] = (here[:, k + 1] * back[:, k + 1]) @ move.T / scale[:, k + 1, None]
+        z = np.log(scale).sum(1) + top[:, :, 0].sum(1) + (n - 1) * most
+        after = (here * back)[:, 1:] / scale[:, 1:, None]
+        pairs = move * (ahead[:, :-1].reshape(-1, t).T @ after.reshape(-1, t))
+        return z, ahead * back, pairs
 
     def gradients(self, kinds, tags):
         e, (x, h, kf, kb) = self.emissions(kinds)
@@ -291,11 +323,13 @@ class Tagger:
         grads = {k: np.zeros_like(v) for k, v in self.p.items()}
         grads["move"] += pairs
         np.add.at(grads["move"], (tags[:, :-1], tags[:, 1:]), -1)
-        grads["out"] += np.einsum("bnh,bnt->ht", h, de)
-        grads["out_b"] += de.sum((0, 1))
-        dh = de @ self.p["out"].T
-        dx = self._lstm_back(x, "f", kf, dh[:, :, :HIDDEN], grads) + self._lstm_back(x, "b", kb, dh[:, :, HIDDEN:], grads)
-        np.add.at(grads["embed"], kinds, dx)
+        de = np.ascontiguousarray(de.transpose(1, 2, 0))
+        grads["out"] += np.matmul(h, de.transpose(0, 2, 1)).sum(0)
+        grads["out_b"] += de.sum((0, 2))
+        dh = np.matmul(self.p["out"], de)
+        dx = self._lstm_back(x, "f", kf, dh[:, :HIDDEN], grads) + self._lstm_back(x, "b", kb, dh[:, HIDDEN:], grads)
+        at = kinds.T.reshape(-1)
+        grads["embed"] += np.stack([np.bincount(at, dx[:, j].reshape(-1), SYMBOL_COUNT) for j in range(EMBED)], 1)
         return float((z - gold).mean()), {k: g / b for k, g in grads.items()}
 
     def fit(self, kinds, tags, epochs: int = EPOCHS, seed: int = 3):
@@ -318,47 +352,115 @@ class Tagger:
 
     def scores(self, kinds):
         """Emissions of windows, [time, window, tag]: the same numbers as :meth:`emissions`, without what
-        training keeps. sigmoid(z) is (tanh(z / 2) + 1) / 2, so one tanh serves all four gates."""
+        training keeps. In memory a row holds one number of all windows, so every step works on whole
+        rows; the last word vector, the character and a one are one column of a single product."""
         p, (b, n) = self.p, kinds.shape
-        at = np.ascontiguousarray(kinds.T.astype(np.intp))
-        half = np.concatenate([np.full(3 * HIDDEN, 0.5), np.ones(HIDDEN)]).astype(np.float32)
-        total = np.empty((n, b, len(TAGS)), np.float32)
-        total[:] = p["out_b"]
-        z, more = np.empty((b, 4 * HIDDEN), np.float32), np.empty((b, 4 * HIDDEN), np.float32)
+        wide = HIDDEN + EMBED
+        scale = np.concatenate([np.full(3 * HIDDEN, 0.25), np.ones(HIDDEN)])
+        shift = np.concatenate([np.full(3 * HIDDEN, 0.5), np.zeros(HIDDEN)])
+        at, embed = np.ascontiguousarray(kinds.T.astype(np.intp)), np.ascontiguousarray(p["embed"].T, np.float32)
+        total = np.empty((n, len(TAGS), b), np.float32)
+        total[:] = p["out_b"][:, None]
+        z, more, e, part = (np.empty((k, b), np.float32) for k in (4 * HIDDEN, HIDDEN, HIDDEN, len(TAGS)))
+        f, i, o, g = (z[k * HIDDEN:(k + 1) * HIDDEN] for k in range(4))
+        low, high = np.zeros_like(z), np.ones_like(z)  # whole arrays: numpy's loops over them are faster than over one number
+        low[3 * HIDDEN:], high[3 * HIDDEN:] = -3, 3
+        least, most = low[3 * HIDDEN:], high[3 * HIDDEN:]
+
+        three, ratio, ninth = np.float32(3), np.float32(8 / 3), np.float32(1 / 9)
+
+        def squash(x):  # as _squash, of clipped sums, in place
+            np.multiply(x, x, out=more)
+            np.add(more, three, out=more)
+            np.divide(ratio, more, out=more)
+            np.add(more, ninth, out=more)
+            x *= more
+
         for d, out in (("f", p["out"][:HIDDEN]), ("b", p["out"][HIDDEN:])):
-            table = ((p["embed"] @ p[d + "x"] + p[d + "b"]) * half).astype(np.float32)
-            move, out = (p[d + "h"] * half).astype(np.float32), out.astype(np.float32)
-            h, c = np.zeros((b, HIDDEN), np.float32), np.zeros((b, HIDDEN), np.float32)
+            weights = np.ascontiguousarray((np.concatenate([p[d + "h"], p[d + "x"], p[d + "b"][None]]) * scale).T, np.float32)
+            weights[:, wide] += shift
+            out = np.ascontiguousarray(out.T, np.float32)
+            column, c = np.zeros((wide + 1, b), np.float32), np.zeros((HIDDEN, b), np.float32)
+            column[wide] = 1
+            h, x = column[:HIDDEN], column[HIDDEN:wide]
             for t in range(n) if d == "f" else range(n - 1, -1, -1):
-                np.take(table, at[t], axis=0, out=z, mode="clip")
-                z += np.matmul(h, move, out=more)
-                np.tanh(z, out=z)
-                gate = z[:, :3 * HIDDEN]
-                gate += 1
-                gate *= 0.5
-                c *= z[:, :HIDDEN]
-                c += z[:, HIDDEN:2 * HIDDEN] * z[:, 3 * HIDDEN:]
-                np.tanh(c, out=h)
-                h *= z[:, 2 * HIDDEN:3 * HIDDEN]
-                total[t] += h @ out
-        return total
+                np.take(embed, at[t], axis=1, out=x, mode="clip")
+                np.matmul(weights, column, out=z)
+                np.maximum(z, low, out=z)
+                np.minimum(z, high, out=z)
+                squash(g)
+                c *= f
+                g *= i
+                c += g
+                np.maximum(c, least, out=e)
+                np.minimum(e, most, out=e)
+                squash(e)
+                np.multiply(o, e, out=h)
+                total[t] += np.matmul(out, h, out=part)
+        return total.transpose(0, 2, 1)
+
+    @staticmethod
+    def _runs(gain, into, between):
+        """For each character, a bound of what the best run of tags that ends there gains over staying outside."""
+        best = np.empty_like(gain)
+        best[0] = gain[0] + max(into, 0)
+        for k in range(1, len(gain)):
+            np.add(best[k - 1], between, out=best[k])
+            np.maximum(best[k], into, out=best[k])
+            best[k] += gain[k]
+        return best
+
+    def _bounds(self, e):
+        """(gain of each character, what entering, going on and leaving gain at most) for bounds of runs of tags."""
+        move = self.p["move"]
+        stay = move[0, 0]
+        return e[:, :, 1:].max(2) - e[:, :, 0], move[0, 1:].max() - stay, move[1:, 1:].max() - stay, move[1:, 0].max() - stay
 
     def outside(self, e):
         """Windows ([time, window, tag]) of which it is certain that no tag is the best path. A path
         gains over staying outside by its runs of other tags; the scan bounds the best run that
         ends at each character by the best tag there and the dearest transitions."""
-        move = self.p["move"]
-        stay = move[0, 0]
-        enter, inside, leave = move[0, 1:].max() - stay, move[1:, 1:].max() - stay, max(move[1:, 0].max() - stay, 0)
-        gain = e[:, :, 1:].max(2) - e[:, :, 0]
+        gain, enter, inside, leave = self._bounds(e)
         run = gain[0] + max(enter, 0)  # a run at the window's start is entered for nothing
-        best = run.copy()
+        best = np.full_like(run, -np.inf)
         for g in gain[1:]:
+            np.maximum(best, run, out=best)
             run += inside
             np.maximum(run, enter, out=run)
             run += g
-            np.maximum(best, run, out=best)
-        return best + leave < 0
+        return np.maximum(best + leave, run + max(leave, 0)) < 0  # at the window's end it is left for nothing
+
+    def open_parts(self, e):
+        """(window, start, end) of the parts of windows outside which the best path is certainly at no tag:
+        there no run through the character, bounded from both sides, can gain anything."""
+        gain, enter, inside, leave = self._bounds(e)
+        through = self._runs(gain, enter, inside)
+        through += self._runs(np.ascontiguousarray(gain[::-1]), leave, inside)[::-1]
+        through -= gain
+        open_ = np.zeros((e.shape[1], len(e) + 2), np.int8)
+        open_[:, 1:-1] = (through > -0.01).T  # rounding is far below that
+        edge = np.diff(open_, axis=1)
+        window, start = np.nonzero(edge == 1)
+        return window, start, np.nonzero(edge == -1)[1]
+
+    def _best_path(self, e, window, start, end, tags):
+        """Viterbi tags of parts of windows, put into ``tags`` [window, time]."""
+        move, size = np.ascontiguousarray(self.p["move"]), end - start
+        n = int(size.max())
+        at = np.minimum(start + np.arange(n)[:, None], len(e) - 1)
+        best = np.ascontiguousarray(e[at, window].transpose(0, 2, 1))  # [time, tag, part]
+        each, step = move[:, :, None], np.empty((*move.shape, len(window)), np.result_type(e, move))
+        for k in range(1, n):
+            np.add(best[k - 1][:, None], each, out=step)
+            best[k] += step.max(0)
+        now = np.zeros(len(window), np.int64)
+        for k in range(n - 1, -1, -1):
+            if k < n - 1:  # the tag from which the next one's best path came
+                now = (best[k] + move[:, now]).argmax(0)
+            last = size == k + 1
+            now[last] = best[k][:, last].argmax(0)
+            here = size > k
+            tags[window[here], at[k, here]] = now[here]
 
     def decode(self, kinds):
         """Viterbi tags of windows, and the marginal probability of each chosen tag."""
@@ -368,18 +470,16 @@ class Tagger:
         open_ = np.flatnonzero(~self.outside(e))
         if not len(open_):
             return tags, sure
-        e = np.ascontiguousarray(e[:, open_].transpose(1, 0, 2))
-        best, back, move = e[:, 0], [], self.p["move"]
-        for k in range(1, n):
-            s = best[:, :, None] + move
-            back.append(s.argmax(1))
-            best = s.max(1) + e[:, k]
-        mine = np.empty((len(open_), n), np.int64)
-        mine[:, -1] = best.argmax(1)
-        rows = np.arange(len(open_))
-        for k in range(n - 2, -1, -1):
-            mine[:, k] = back[k][rows, mine[:, k + 1]]
+        e = e[:, open_]
+        mine = np.zeros((len(open_), n), np.int64)
+        window, start, end = self.open_parts(e)
+        # with the character before and the one behind, at which the path is at no tag
+        start, end = np.maximum(start - 1, 0), np.minimum(end + 1, n)
+        order = np.argsort(end - start, kind="stable")
+        for some in (order[i:i + TOGETHER] for i in range(0, len(order), TOGETHER)):
+            self._best_path(e, window[some], start[some], end[some], mine)
         tags[open_] = mine
+        e = e.transpose(1, 0, 2)
         some = np.flatnonzero((mine > 0).any(1))
         if len(some):
             _, m, _ = self.marginals(e[some])
@@ -489,16 +589,19 @@ def tagged(model: Tagger, texts: list[str]) -> dict[int, tuple[np.ndarray, np.nd
     edges = np.concatenate([[0], np.cumsum([len(x) for x in starts])])
     hits: dict[int, list] = {}
     windows = np.concatenate([_cut(k, x, SCORED) for k, x in zip(kinds, starts) if len(x)])
-    for i in range(0, len(windows), TOGETHER):
-        tags, sure = model.decode(windows[i:i + TOGETHER])
-        for j in np.flatnonzero((tags > 0).any(1)).tolist():
-            hits.setdefault(int(owner[i + j]), []).append((i + j, tags[j], sure[j]))
+    rest = np.array([len(k) for k in kinds])[owner] - np.concatenate(starts)
+    for width, some in ((SCORED, np.flatnonzero(rest > SCORED // 2)), (SCORED // 2, np.flatnonzero(rest <= SCORED // 2))):
+        for i in range(0, len(some), TOGETHER):
+            mine = some[i:i + TOGETHER]
+            tags, sure = model.decode(windows[mine, :width])
+            for j in np.flatnonzero((tags > 0).any(1)).tolist():
+                hits.setdefault(int(owner[mine[j]]), []).append((int(mine[j]), tags[j], sure[j]))
     out = {}
     for d, mine in hits.items():
         n = len(starts[d])
         tags, sure = np.zeros((n, SCORED), np.int64), np.ones((n, SCORED), np.float32)
         for w, t, q in mine:
-            tags[w - edges[d]], sure[w - edges[d]] = t, q
+            tags[w - edges[d], :len(t)], sure[w - edges[d], :len(t)] = t, q
         out[d] = reconcile(starts[d], tags, sure, len(kinds[d]))
     return out
 

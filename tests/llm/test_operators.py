@@ -375,6 +375,49 @@ def test_tagger_skips_viterbi_only_where_nothing_is_tagged():
     assert skipped.any()
 
 
+def test_tagger_decodes_only_open_parts_exactly():
+    """The parts that Viterbi runs on give the best path of the whole window, and are few where little is tagged."""
+    r = np.random.default_rng(4)
+    for lift, most in ((0, 1), (3, 1), (9, 0.1)):
+        tagger = pii.Tagger()
+        tagger.p = {k: (3 * v).astype(np.float32) for k, v in tagger.p.items()}
+        tagger.p["move"] = r.normal(0, 1, tagger.p["move"].shape).astype(np.float32)
+        tagger.p["out_b"][0] = lift
+        kinds = r.integers(0, pii.SYMBOL_COUNT, (300, 40))
+        e = tagger.scores(kinds)
+        best, back = e[0].astype(np.float64), []
+        for x in e[1:]:
+            s = best[:, :, None] + tagger.p["move"]
+            back.append(s.argmax(1))
+            best = s.max(1) + x
+        want = [best.argmax(1)]
+        for x in back[::-1]:
+            want.append(x[np.arange(300), want[-1]])
+        want = np.stack(want[::-1], 1)
+        assert (tagger.decode(kinds)[0] == want).all()
+        _, start, end = tagger.open_parts(e)
+        assert (end - start).sum() <= most * kinds.size and (want > 0).sum() <= (end - start).sum()
+
+
+def test_tagger_scores_little_more_than_the_text():
+    """Overlap and padding of the windows that are scored."""
+    seen = []
+
+    class Counting(pii.Tagger):
+        def decode(self, kinds):
+            seen.append(kinds.size)
+            return super().decode(kinds)
+
+    texts = ["a text of some words " * k for k in range(1, 240)]
+    assert pii.tagged(Counting(), texts[:2]) is not None
+    seen.clear()
+    tagger = Counting()
+    tagger.p["out_b"][0] = 50
+    pii.tagged(tagger, texts)
+    size = sum(map(len, texts))
+    assert size <= sum(seen) <= 1.25 * size
+
+
 def test_personal_data_beyond_the_patterns(spark):
     """Held-out forms that the base patterns miss, put into prose that the tagger has not seen."""
     rows = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("text is not null")
