@@ -236,6 +236,29 @@ def test_language_model_learns_from_every_position():
     assert sorted(seen) == list(range(2013))
 
 
+def test_language_model_sums_gradients_by_row():
+    r = np.random.default_rng(8)
+    at, g = r.integers(0, 50, (300, 4)), r.normal(0, 1, (300, 7))
+    at[:40] = 3  # a frequent feature
+    want = np.zeros((50, 7))
+    np.add.at(want, at.reshape(-1), np.repeat(g, 4, axis=0))
+    row, total = maxent._sum_by_row(at, g)
+    assert (row == np.unique(at)).all() and np.allclose(total, want[row], atol=1e-12)
+
+
+def test_language_model_sends_no_more_than_its_text(spark):
+    """Each learning task sends changes of the model's size: the larger the model, the fewer tasks."""
+    for n_words, n_train in ((400_000, 22_000_000), (2_000_000, 111_000_000), (90_000_000, 6_600_000_000)):
+        side, n_rows = maxent.sizes(n_words)
+        model = maxent.Model.of({"class_weights": np.empty((n_rows, side), np.float32), "word_weights": np.empty((2 * n_rows, side), np.float32)})
+        n, weights = maxent.learners(n_train, model), 3 * n_rows * side
+        assert n == maxent.LEAST_LEARNERS or n * weights <= n_train / maxent.SENT_TOKENS < (n + 1) * weights
+    texts = spark.createDataFrame([(f"the sea {i} on the shore",) for i in range(200)], "t string").repartition(6).localCheckpoint()
+    few, all_ = (maxent.train(texts, maxent.Model([], {}), rounds=1, most=n) for n in (1, None))
+    one = maxent.train(texts.coalesce(1), maxent.Model([], {}), rounds=1)
+    assert np.allclose(few.class_weights, one.class_weights) and not np.allclose(few.class_weights, all_.class_weights)
+
+
 def test_language_model_rounds_leave_no_shuffle_files(spark):
     import time
 
