@@ -41,6 +41,11 @@ def test_forest_learns_from_every_row(skewed):
     assert found["rare"][0] > 0.8 and found["common"][1] < 0.6
 
 
+def test_boosting_learns_from_every_row(skewed):
+    found = by_kind(models.fit_boosting(skewed, rounds=12), skewed)
+    assert found["rare"][0] > 0.8 and found["common"][1] < 0.6
+
+
 def test_forest_splits_between_rare_values(spark):
     """Eight values of fifteen rows each, late and on time in turn: a sample of 10,000 of the 120,000 rows misses some."""
     rare = "order_id % 1000 = 77"
@@ -105,3 +110,17 @@ def test_bins_are_split_as_ranges(spark):
     (0, 8, 1), (2_501, 8, 2), (50_000, 64, 20), (5_000_000, 64, 20), (10_000_000, 8, 8), (10_000_000, 64, 40)])
 def test_partitions_of_the_tree_table(rows, parallel, partitions):
     assert models.tree_partitions(rows, parallel) == partitions
+
+
+def test_boosting_takes_split_points_from_all_rows(spark, monkeypatch):
+    """Spark samples a table of more rows than the square of maxBins; no bound of the bins changes with it."""
+    asked = []
+    classifier = models.GBTClassifier
+    monkeypatch.setattr(models, "GBTClassifier", lambda **kw: asked.append(kw["maxBins"]) or classifier(**kw))
+    prep = prepared(spark, 75_000, "int(x + pmod(xxhash64(order_id), 40000) > 50000)", ["x"], x="double(order_id)")
+    fitted = models.fit_boosting(prep, rounds=2)
+    rest = models.tree_input(prep).table.where(~F.col(models.HELD_OUT)).count()
+    assert 65_025 < rest < 75_000 and all(most ** 2 > rest for most in asked)
+    found = fitted.transform(prep.test.where("order_id in (0, 74999)")).select("order_id", "late_delivery_probability").collect()
+    assert {r[0]: r[1] > 0.5 for r in found} == {0: False, 74999: True}
+    prep.release()
